@@ -2,10 +2,10 @@
 
 Each document's copies are a whole part and a fraction. Fractions are made integral in pairs: mass moves from one
 document to the other until one of the two is integral, in a direction drawn so that expectations hold, and in amounts
-that leave the pair's expected words unchanged. Each chunk of documents leaves one fraction; the residuals of the chunks
-are combined in further rounds, a reduction tree whose levels shrink by the chunk size. Documents are paired from the
-longest to the shortest, so what is left of a source at the end is a short document, and the words taken miss the
-target by less than its length.
+that leave the pair's expected words unchanged. Only documents of similar length are paired. Each chunk of them leaves
+one fraction; the residuals of the chunks are combined in further rounds, a reduction tree whose levels shrink by the
+chunk size. At its root a source has one residual of each length; these are settled from the longest to the shortest,
+drawn while the shorter ones can still make up for it, so the words taken miss the target by a short document's length.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def _round_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-    """One chunk's fractions made integral but for one; longest documents first."""
+    """One chunk's fractions made integral but for one."""
     rows = rows.sort_values(["size", "draw", "doc_id", "p"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
     p, size = rows["p"].to_numpy().copy(), rows["size"].to_numpy(float)
     key = int(np.bitwise_xor.reduce(rows["draw"].to_numpy().view(np.uint64))) if len(rows) else 0
@@ -85,14 +85,33 @@ def _round_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     return rows
 
 
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """A source's last residuals, one of each length, made integral from the longest to the shortest."""
+    rows = rows.sort_values(["size", "draw", "doc_id", "p"], ascending=[False, True, True, True], kind="stable", na_position="last").reset_index(drop=True)
+    p, size = rows["p"].to_numpy().copy(), rows["size"].to_numpy(float)
+    random = np.random.default_rng(int(np.bitwise_xor.reduce(rows["draw"].to_numpy().view(np.uint64)))).random(len(rows))
+    words, shorter = float(p @ size), float(size.sum())
+    for i in range(len(rows)):
+        shorter -= size[i]
+        may_take, may_leave = words >= size[i], words <= shorter
+        if may_take == may_leave:  # both, or what is nearer
+            take = random[i] < p[i] if may_take else size[i] - words < words - shorter
+        else:
+            take = may_take
+        p[i] = float(take)
+        words -= size[i] * take
+    rows["p"] = p
+    return rows
+
+
 def pivotal_rounding(rows: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Rows (row_id, doc_id, source, size, p) with p in [0, 1] made 0 or 1, keeping each source's expected words.
 
-    Level 0 rounds chunks of documents of one source and one binary order of size; the next levels round what is left of
-    those, until a source's residuals fit one chunk, whose last fraction is drawn by itself.
+    Level 0 rounds chunks of documents of one source and one half binary order of size; the next levels round what is
+    left of those, until each source has at most one residual of an order, a few dozen, which are settled together.
     """
     schema = "row_id long, doc_id long, source string, size long, p double, draw long, bin int, chunk long"
-    own = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bin", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
+    own = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bin", F.floor(2 * F.log2(F.greatest("size", F.lit(1)))).cast("int"))
     done, level = own.where("p <= 0 or p >= 1").select("row_id", "p"), 0
     left = own.where("p > 0 and p < 1")
     while True:
@@ -104,12 +123,11 @@ def pivotal_rounding(rows: DataFrame, seed: int = 0, chunk: int = CHUNK) -> Data
         else:
             number = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("n"))
             dealt = left.join(F.broadcast(chunks) if level else chunks, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at"))).withColumn("chunk", number.cast("long"))
-        rounded = stored(dealt.select("row_id", "doc_id", "source", "size", "p", "draw", "bin", "chunk").groupBy("source", "bin", "chunk").applyInPandas(_round_chunk, schema))
+        rounded = stored(dealt.select("row_id", "doc_id", "source", "size", "p", "draw", "bin", "chunk").groupBy("source", "bin", "chunk").applyInPandas(_settle if last else _round_chunk, schema))
         done = done.unionByName(rounded.where("p <= 0 or p >= 1").select("row_id", "p"))
         left, level = rounded.where("p > 0 and p < 1").drop("chunk"), level + 1
         if last:
-            uniform = F.pmod(F.xxhash64("draw", F.lit("last")), F.lit(1 << 30)) / float(1 << 30)
-            return done.unionByName(left.select("row_id", F.when(uniform < F.col("p"), 1.0).otherwise(0.0).alias("p")))
+            return done
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:

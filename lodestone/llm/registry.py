@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, simhash, tokens
+from . import decontamination, licenses, lines, media, mixing, simhash, tokens
 from .common import table
 
 #: Where the tokenizer file lies; a parameter of the query's operator.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.store_as_media(table(spark, sf_dir, "documents")))
 
@@ -50,6 +58,8 @@ SELECT doc_id, len(every) AS n_lines, len(every) - len(kept) AS n_dropped, CASE
 
 def queries() -> dict:
     return {
+        "op2_decontamination": op2_decontamination,
+        "op3_licenses": op3_licenses,
         "op4_media": op4_media,
         "op5_token_counts": op5_token_counts,
         "op7_simhash": op7_simhash,
