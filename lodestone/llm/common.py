@@ -36,10 +36,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read back: compact, and safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` written once as Parquet to the shared folder and read back: compact, and safe when executors are lost.
+
+    Its own shuffle files go when it is written, rather than when the driver happens to collect garbage.
+    """
+    conf = df.sparkSession.conf
+    path, before = f"{shared_dir(df.sparkSession).rstrip('/')}/lodestone-{uuid.uuid4().hex}", conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,8 +26,12 @@ from .graph import connected_components
 
 SHINGLE, SEED = 4, 42
 MAX_BITS = 4
-#: Fingerprints whose balls are built together: 2,081 values of 8 bytes each.
-BATCH = 4_096
+#: Fingerprints whose balls are built together: about 260 values of 8 bytes each in a phase.
+BATCH = 8_192
+#: Parts of the ball values that are shuffled one after another.
+PHASES = 8
+#: Links that a task holds before it reduces them to a forest.
+LINKS = 1_000_000
 #: Ball values that a bucket is meant to hold; the number of buckets follows the input.
 BUCKET_VALUES = 200_000
 #: Shingles whose bits are counted together.
@@ -88,51 +92,93 @@ def _unmixed(values: np.ndarray) -> np.ndarray:
     return (values ^ (values >> np.uint64(32))) * _UNMIX
 
 
+def _phase(values: np.ndarray) -> np.ndarray:
+    """Which of the PHASES a value belongs to: parities of fixed sets of its bits, so that _phase(x ^ y) is _phase(x) ^ _phase(y)."""
+    sets = [np.uint64(sum(1 << b for b in range(64) if (b % 7 + 1) >> i & 1)) for i in range(3)]
+    return sum((np.bitwise_count(values & s) & 1).astype(np.int64) << i for i, s in enumerate(sets))
+
+
 def ball_links(distinct: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
     """Links (u, v) between the distinct fingerprints of column fp, enough to connect all that differ in max_bits or fewer.
 
     count is the number of fingerprints; the bucket count is derived from it and is at least 4,096, as 12 bits of each
-    value stand in its bucket's number.
+    value stand in its bucket's number. The values are shuffled in PHASES parts one after another, each of which is
+    deleted when its links are written, so the disk holds one part at a time.
     """
     if max_bits % 2 or max_bits > 4:
         raise ValueError("max_bits must be 2 or 4")  # the ball's size: 65 and 2,081 values
     masks = _masks(max_bits // 2)
-    bits = max(_SLOT_BITS, int(count * len(masks) / BUCKET_VALUES).bit_length())
-    low = np.uint64(64 - bits)
+    bits = max(_SLOT_BITS, int(count * len(masks) / PHASES / BUCKET_VALUES).bit_length())
+    links = [stored(_phase_links(distinct, masks, bits, max_bits, phase)) for phase in range(PHASES)]
+    every = links[0]
+    for more in links[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
+
+
+def _phase_links(distinct: DataFrame, masks: np.ndarray, bits: int, max_bits: int, phase: int) -> DataFrame:
+    low, slot_mask = np.uint64(64 - bits), np.uint64((1 << _SLOT_BITS) - 1)
+    of_masks = _phase(masks)
 
     def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for start in range(0, len(own), BATCH):
-                part = own[start : start + BATCH]
-                values = _mixed(part[None, :] ^ masks[:, None])
-                slots = np.broadcast_to(np.arange(len(masks), dtype=np.uint64)[:, None], values.shape).ravel()
-                values = values.ravel()
-                bucket = (values >> low).astype(np.int64)
-                order = np.argsort(bucket.astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
+            prints = batch.column(0).to_numpy().view(np.uint64)
+            for start in range(0, len(prints), BATCH):
+                part = prints[start : start + BATCH]
+                own = _phase(part)
+                values, slots = [], []
+                for kind in range(PHASES):
+                    fitting = np.flatnonzero(of_masks == kind ^ phase)
+                    balls = _mixed(part[own == kind][None, :] ^ masks[fitting][:, None])
+                    values.append(balls.ravel())
+                    slots.append(np.repeat(fitting.astype(np.uint64), balls.shape[1]))
+                values, slots = np.concatenate(values), np.concatenate(slots)
+                bucket = values >> low
+                order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
                 records = ((values << np.uint64(bits)) >> np.uint64(bits) << np.uint64(_SLOT_BITS) | slots)[order]
                 found, first = np.unique(bucket[order], return_index=True)
-                ends = np.append(first[1:], len(records))
-                blocks = [records[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(blocks, pa.binary())], ["bucket", "block"])
+                offsets = np.append(first, len(records)).astype(np.int32) * 8
+                blocks = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(records)])
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), blocks], ["bucket", "block"])
 
-    def meet(rows: pa.Table) -> pa.Table:
-        high = np.uint64(rows.column(0)[0].as_py()) << low
-        records = np.sort(np.frombuffer(b"".join(x.as_py() for x in rows.column(1)), np.uint64))
+    def meet(bucket: int, blocks: list[bytes]) -> np.ndarray:
+        records = np.sort(np.frombuffer(b"".join(blocks), np.uint64))
         keys = records >> np.uint64(_SLOT_BITS)
         same = keys[1:] == keys[:-1]
-        in_run = np.append(same, False) | np.insert(same, 0, False)
-        keys, slots = keys[in_run], (records[in_run] & np.uint64((1 << _SLOT_BITS) - 1)).astype(np.int64)
-        prints = _unmixed(keys | high) ^ masks[slots]
-        first = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True)) if len(keys) else np.array([], np.int64)
-        leader = np.repeat(np.minimum.reduceat(prints.view(np.int64), first) if len(first) else np.array([], np.int64), np.diff(np.append(first, len(keys))))
-        near = np.bitwise_count(leader.view(np.uint64) ^ prints) <= max_bits
-        pairs = np.unique(np.stack([prints.view(np.int64)[near], leader[near]], axis=1), axis=0)
-        pairs = _forest(pairs[pairs[:, 0] != pairs[:, 1]])
-        return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+        met = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+        if not len(met):
+            return np.empty((0, 2), np.int64)
+        keys, slots = keys[met], (records[met] & slot_mask).astype(np.int64)
+        prints = (_unmixed(keys | np.uint64(bucket) << low) ^ masks[slots]).view(np.int64)
+        first = np.flatnonzero(np.insert(keys[1:] != keys[:-1], 0, True))
+        leader = np.repeat(np.minimum.reduceat(prints, first), np.diff(np.append(first, len(keys))))
+        near = np.bitwise_count(leader.view(np.uint64) ^ prints.view(np.uint64)) <= max_bits
+        return np.stack([prints, leader], axis=1)[near & (prints != leader)]
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, blocks, found = None, [], [np.empty((0, 2), np.int64)]
+        for batch in batches:
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != bucket and blocks:
+                    found.append(meet(bucket, blocks))
+                    blocks = []
+                bucket = key
+                blocks.append(block)
+            if sum(map(len, found)) > LINKS:
+                found = [_forest(np.unique(np.concatenate(found), axis=0))]
+                if len(found[0]) > LINKS // 2:
+                    yield _links(found.pop())
+                    found = [np.empty((0, 2), np.int64)]
+        if blocks:
+            found.append(meet(bucket, blocks))
+        yield _links(_forest(np.unique(np.concatenate(found), axis=0)))
 
     values = distinct.select("fp").mapInArrow(balls, "bucket long, block binary")
-    return values.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+    return values.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meetings, "u long, v long")
+
+
+def _links(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
