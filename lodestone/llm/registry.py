@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, media, mixing, simhash, tokens
+from . import decontamination, licenses, lines, media, mixing, quality, simhash, tokens
 from .common import table
 
 #: Where the tokenizer file lies; a parameter of the query's operator.
@@ -30,6 +30,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op3_licenses": op3_licenses,
         "op4_media": op4_media,
         "op5_token_counts": op5_token_counts,
+        "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
