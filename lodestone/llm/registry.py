@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, media, mixing, quality, simhash, tokens
+from . import decontamination, licenses, lines, media, mixing, quality, simhash, suffixes, tokens
 from .common import table
 
 #: Where the tokenizer file lies; a parameter of the query's operator.
@@ -39,6 +39,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
     }
