@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, lines, media, mixing, quality, simhash, suffixes, tokens
+import corpus_pipeline
+
+from . import decontamination, html, licenses, lines, media, mixing, quality, simhash, suffixes, tokens
 from .common import table
 
 #: Where the tokenizer file lies; a parameter of the query's operator.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +72,7 @@ SELECT doc_id, len(every) AS n_lines, len(every) - len(kept) AS n_dropped, CASE
 
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_decontamination": op2_decontamination,
         "op3_licenses": op3_licenses,
         "op4_media": op4_media,
@@ -75,8 +82,10 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_mixing": op9_mixing,
         "op10_line_dedup": op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    known = {"op10_line_dedup": OP10_SQL}
+    return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
