@@ -92,7 +92,7 @@ SQL = {
   CASE WHEN doc_id % 31 = 0 THEN 'fallback' ELSE 'model' END AS brief_source, text AS search_text, {EPOCH} + doc_id * {STEP} AS created_s,
   CASE WHEN doc_id % 3 = 0 THEN {EPOCH} + doc_id * {STEP} + 86400 END AS opened_s, CASE WHEN doc_id % 37 = 0 THEN {EPOCH} + doc_id * {STEP} + 172800 END AS deleted_s FROM documents)""",
     "memories": "memories AS (SELECT user_id, content_id, 'note for ' || source_domain || ' ' || category AS user_note, intent AS user_intent, id AS memory_of FROM items WHERE content_id IS NOT NULL AND id % 4 = 0)",
-    "log": "log AS (SELECT *, epoch(ts)::BIGINT AS at_s FROM events)",
+    "log": "log AS (SELECT *, floor(epoch(ts))::BIGINT AS at_s FROM events)",
 }
 
 
