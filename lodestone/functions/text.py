@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words without retrieval signal.
 STOPWORDS = (
@@ -157,7 +158,7 @@ def timed_sections(rows: DataFrame, key: str, text: str) -> DataFrame:
     return trimmed.select(key, F.col("at").alias("section_idx"), "start_timestamp", seconds_of(F.col("start_timestamp")).alias("start_seconds"), "body")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_source_text(texts: pd.Series) -> pd.Series:
     """Prose without markdown links, images, reader headers and interface lines."""
     return texts.map(clean_source)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import library, search
+from lodestone.plans import content, library, search
 
-MODULES = [library, search]
+MODULES = [library, search, content]
 
 
 def queries() -> dict:
