@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import content, library, search
+from lodestone.plans import content, jobs, library, search
 
-MODULES = [library, search, content]
+MODULES = [library, search, content, jobs]
 
 
 def queries() -> dict:
