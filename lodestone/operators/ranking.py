@@ -48,7 +48,7 @@ def fuse(ranked: DataFrame, now: int, weights: dict[str, float] = LIST_WEIGHTS,
         F.count("*").alias("n_lists"),
     )
     score = F.col("fused") + RECENCY_WEIGHT * recency(F.col("created_s"), F.lit(now))
-    return fused.where("admitted").select("query_id", "id", F.round(score, 9).alias("score"), "content_id", "n_lists")
+    return fused.where("admitted").select("query_id", "id", score.alias("score"), "content_id", "n_lists")
 
 
 def collapse(scored: DataFrame, n: int) -> DataFrame:

@@ -96,7 +96,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship; every query of the batch at once."""
     queries = query_table(spark)
     lists, shown = candidates(spark, sf_dir, queries, query_vectors(spark, sf_dir, queries))
-    best = ranking.collapse(ranking.fuse(lists, NOW), 10)
+    best = ranking.collapse(ranking.fuse(lists, NOW).withColumn("score", F.round("score", 9)), 10)
     chunk = ranking.best_chunk(shown).join(chunk_rows(spark, sf_dir), ["id", "chunk_idx"])
     own = items(spark, sf_dir).select("id", filters.display_title().alias("title"), F.concat_ws(" ", "search_text", filters.display_title(), filters.display_summary(), F.array_join("topics", " ")).alias("document"), "intent")
     joined = best.join(own, "id").join(chunk.select("query_id", "id", "chunk_text"), ["query_id", "id"], "left").join(F.broadcast(queries.select("query_id", "terms")), "query_id")
