@@ -63,6 +63,8 @@ def _places(block: _Items, ids: list, texts: list[bytes]) -> Iterator[tuple]:
     if not len(grams) or not len(block.grams):
         return
     at, which = block.find(grams, usable)
+    if not len(at):
+        return
     counts = block.first[which + 1] - block.first[which]
     items = block.item[np.repeat(block.first[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
     at, which = np.repeat(at, counts), np.repeat(which, counts)

@@ -72,7 +72,7 @@ class _Group:
         self.bands = 1 if likeness >= 1 else ceil(log(1 - COLLISION) / log(1 - likeness**ROWS))
         random = np.random.default_rng(most * 16 + shingle)
         self.factors = random.integers(1, 1 << 63, (self.bands, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        keys = np.array([[self._key([(s * f).min() for f in band]) for band in self.factors] for s in self.shingles], np.uint64)
+        keys = np.array([[self._key([(s * f).min(keepdims=True) for f in band])[0] for band in self.factors] for s in self.shingles], np.uint64)
         self.keys = [np.sort(keys[:, b]) for b in range(self.bands)]
         self.owner = [np.argsort(keys[:, b], kind="stable") for b in range(self.bands)]
         self.bits = np.zeros((self.bands, 1 << 16), bool)
