@@ -23,7 +23,7 @@ from .common import WORD, checkpointed, stored, whole_text
 WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Documents that one task rounds together.
-CHUNK = 4_096
+CHUNK = 1_024
 
 
 def word_count(column: str = "text") -> Column:
@@ -122,7 +122,7 @@ def pivotal_rounding(rows: DataFrame, seed: int = 0, chunk: int = CHUNK) -> Data
             dealt = left.withColumn("bin", F.lit(-1)).withColumn("chunk", F.lit(0).cast("long"))
         else:
             number = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("n"))
-            dealt = left.join(F.broadcast(chunks) if level else chunks, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at"))).withColumn("chunk", number.cast("long"))
+            dealt = left.join(chunks, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at"))).withColumn("chunk", number.cast("long"))
         rounded = stored(dealt.select("row_id", "doc_id", "source", "size", "p", "draw", "bin", "chunk").groupBy("source", "bin", "chunk").applyInPandas(_settle if last else _round_chunk, schema))
         done = done.unionByName(rounded.where("p <= 0 or p >= 1").select("row_id", "p"))
         left, level = rounded.where("p > 0 and p < 1").drop("chunk"), level + 1
