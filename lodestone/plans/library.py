@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import clock, text
 from lodestone.operators import filters, merges
 from lodestone.session import table
-from lodestone.sources import binders
+from lodestone.sources import binders, sinks
 from lodestone.sources.binders import NOW, TOPIC_LABELS, events, items, memories, with_tables
 
 QUERIES: dict = {}
@@ -370,3 +370,68 @@ def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat text that is indexed."""
     flat = F.concat_ws(" ", filters.display_title(), "summary", F.array_join("topics", " "), F.array_join("tools", " "), "url")
     return items(spark, sf_dir).select("id", text.whitespace(flat).alias("document"), F.sha2(F.concat_ws(" ", "title", "summary"), 256).alias("content_hash"))
+
+
+# -- sources and sinks -------------------------------------------------------
+
+
+@query(f"{ITEMS} SELECT id, 'raw/' || id || '/' || substr(sha256(search_text), 1, 16) || '.json' AS path FROM items")
+def snapshot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8, S9."""
+    return items(spark, sf_dir).select("id", sinks.snapshot_path(F.col("id"), F.col("search_text")).alias("path"))
+
+
+@query(f"{ITEMS} SELECT 'items_total{{status=\"' || status || '\"}} ' || count(*) AS line FROM items GROUP BY status")
+def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S11."""
+    return sinks.prometheus(items(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n")), "items_total", "status", "n")
+
+
+@query()
+def account_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every save as JSON with its owner's note."""
+    return sinks.export_saves(items(spark, sf_dir), memories(spark, sf_dir))
+
+
+@query()
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures split into accepted and rejected rows."""
+    pages = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 17 != 0, F.col("page_id")).alias("client_id"), F.when(F.col("page_id") % 13 == 0, F.lit("http://127.0.0.1/x")).otherwise(F.col("url")).alias("url"))
+    accepted, rejected = sinks.ingest_batch(pages)
+    return accepted.select("client_id", "canonical_url", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("client_id", F.lit(None).cast("string").alias("canonical_url"), "reason"))
+
+
+@query(f"""{ITEMS}, cached AS (SELECT i.id, a.id AS asset, a.opened_s AS processed_s FROM items i LEFT JOIN items a ON i.content_id = a.content_id AND a.status = 'ready' AND a.brief_source = 'model')
+SELECT id, arg_max(asset, (coalesce(processed_s, -1), asset)) AS asset FROM cached GROUP BY id""")
+def evidence_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's newest acceptable evidence, or null."""
+    own = items(spark, sf_dir)
+    assets = own.where("status = 'ready' and brief_source = 'model'").select("content_id", F.col("id").alias("asset"), F.col("opened_s").alias("processed_s"))
+    return own.select("id", "content_id").join(assets, "content_id", "left").groupBy("id").agg(F.max_by("asset", F.struct(F.coalesce("processed_s", F.lit(-1)), "asset")).alias("asset"))
+
+
+@query("""WITH q AS (SELECT event_id AS id, user_id, at_s FROM (SELECT *, floor(epoch(ts))::BIGINT AS at_s FROM events) WHERE event_type = 'error'), done AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS done_s FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT q.id, q.at_s, d.done_s IS NOT NULL AS enriched FROM q LEFT JOIN done d ON q.user_id = d.user_id ORDER BY q.at_s, q.id LIMIT 20""")
+def offline_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest twenty pending saves, with what is known of them."""
+    log = events(spark, sf_dir)
+    oldest = log.where("event_type = 'error'").select(F.col("event_id").alias("id"), "user_id", "at_s").orderBy("at_s", F.col("event_id")).limit(20)
+    done = log.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("at_s").alias("done_s"))
+    return oldest.join(done, "user_id", "left").select("id", "at_s", F.col("done_s").isNotNull().alias("enriched"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS owner, epoch(o_orderdate)::BIGINT AS due_s, o_orderstatus = 'F' AS delivered FROM orders)
+SELECT r.id, c_name AS owner_name, r.due_s, CASE WHEN r.due_s <= 1000000000 THEN true ELSE delivered END AS delivered FROM r JOIN customer ON owner = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reminders with their owner; those past are delivered."""
+    due = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("due_s"), (F.col("o_orderstatus") == "F").alias("delivered"))
+    owners = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("owner_name"))
+    return due.join(owners, "o_custkey").select("id", "owner_name", "due_s", (F.col("delivered") | (F.col("due_s") <= 1_000_000_000)).alias("delivered"))
+
+
+@query(f"{ITEMS} SELECT id, user_id, coalesce(nullif(trim(CASE WHEN id % 4 = 0 THEN 'kept' END), ''), CASE WHEN id % 4 = 1 THEN NULL ELSE 'old note' END) AS note, nullif(left(trim(CASE WHEN id % 5 = 0 THEN '  ' ELSE title END), 120), '') AS title FROM items")
+def note_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only supplied fields change; blank ones are null."""
+    i = F.col("id")
+    new, old = F.when(i % 4 == 0, "kept"), F.when(i % 4 != 1, "old note")
+    return items(spark, sf_dir).select("id", "user_id", F.coalesce(F.nullif(F.trim(new), F.lit("")), old).alias("note"), F.nullif(F.substring(F.trim(F.when(i % 5 == 0, "  ").otherwise(F.col("title"))), 1, 120), F.lit("")).alias("title"))
