@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import content, jobs, library, search
+from lodestone.plans import briefs, content, jobs, library, search
 
-MODULES = [library, search, content, jobs]
+MODULES = [library, search, content, jobs, briefs]
 
 
 def queries() -> dict:
