@@ -58,6 +58,9 @@ TEMPLATES = {
 RESULT = "doc_id long, license string, containment double, start_word long, end_word long, n_places int"
 
 
+_MOST = np.uint64(2**64 - 1)
+
+
 class _Group:
     """Templates of one shingle size and of up to ``most`` shingles, and their bands."""
 
@@ -70,8 +73,7 @@ class _Group:
         held = [(ceil(containment * len(s) - 1e-9), len(s)) for s in self.shingles]
         likeness = min(n / (self.width + m - n) for n, m in held)
         self.bands = 1 if likeness >= 1 else ceil(log(1 - COLLISION) / log(1 - likeness**ROWS))
-        random = np.random.default_rng(most * 16 + shingle)
-        self.factors = random.integers(1, 1 << 63, (self.bands, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = _factors(self.bands)
         keys = np.array([[self._key([(s * f).min(keepdims=True) for f in band])[0] for band in self.factors] for s in self.shingles], np.uint64)
         self.keys = [np.sort(keys[:, b]) for b in range(self.bands)]
         self.owner = [np.argsort(keys[:, b], kind="stable") for b in range(self.bands)]
@@ -86,30 +88,58 @@ class _Group:
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.asarray(m, np.uint64))
         return mixed(key)
 
-    def _minima(self, hashes: np.ndarray, factor: np.uint64) -> np.ndarray:
-        """The least of the scrambled hashes in every window."""
-        values = hashes * factor
-        if self.stride > 1:
-            values = np.pad(values, (0, -len(values) % self.stride), constant_values=np.uint64(2**64 - 1)).reshape(-1, self.stride).min(axis=1)
-        blocks, out = self.width // self.stride, values
-        done = 1
-        while done < blocks:
-            step = min(done, blocks - done)
-            out = np.minimum(out, np.concatenate([out[step:], np.full(step, np.uint64(2**64 - 1))]))
+    def _windows(self, blocks: np.ndarray) -> np.ndarray:
+        """The least value in every window, from the least ones of its blocks of one stride."""
+        length, done = self.width // self.stride, 1
+        while done < length:
+            step = min(done, length - done)
+            blocks = np.minimum(blocks, np.concatenate([blocks[step:], np.full(min(step, len(blocks)), _MOST)]))
             done += step
-        return out
+        return blocks
 
-    def candidates(self, hashes: np.ndarray) -> np.ndarray:
-        """Distinct (window, template) that meet in a band."""
+    def met(self, band: int, minima: list[_Blocks]) -> np.ndarray:
+        """(window, template) that meet in a band. minima: of each of the band's hashes."""
+        keys = self._key([self._windows(m.of(self.stride)) for m in minima])
+        at = np.flatnonzero(self.bits[band][(keys >> np.uint64(48)).astype(np.int64)])
+        low, high = (np.searchsorted(self.keys[band], keys[at], side=s) for s in ("left", "right"))
         found = [np.empty((0, 2), np.int64)]
-        for b, band in enumerate(self.factors):
-            keys = self._key([self._minima(hashes, f) for f in band])
-            at = np.flatnonzero(self.bits[b][(keys >> np.uint64(48)).astype(np.int64)])
-            low, high = (np.searchsorted(self.keys[b], keys[at], side=s) for s in ("left", "right"))
-            for shift in range(int((high - low).max()) if len(at) else 0):
-                some = low + shift < high
-                found.append(np.stack([at[some], self.owner[b][(low + shift)[some]]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+        for shift in range(int((high - low).max()) if len(at) else 0):
+            some = low + shift < high
+            found.append(np.stack([at[some], self.owner[band][(low + shift)[some]]], axis=1))
+        return np.concatenate(found)
+
+
+class _Blocks:
+    """Least values of blocks of a stride, each stride from the largest one that divides it."""
+
+    def __init__(self, values: np.ndarray):
+        self.known = {1: values}
+
+    def of(self, stride: int) -> np.ndarray:
+        if stride not in self.known:
+            base = max(s for s in self.known if stride % s == 0)
+            values, step = self.known[base], stride // base
+            values = np.concatenate([values, np.full(-len(values) % step, _MOST)])
+            out = values[::step]
+            for i in range(1, step):
+                out = np.minimum(out, values[i::step])
+            self.known[stride] = out
+        return self.known[stride]
+
+
+def _factors(bands: int) -> np.ndarray:
+    """The multipliers of the bands' hashes; all groups share them, so a hash of the text serves every group."""
+    return np.random.default_rng(7).integers(1, 1 << 63, (bands, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _candidates(groups: list[_Group], hashes: np.ndarray) -> dict[_Group, np.ndarray]:
+    """Distinct (window, template) of groups of one shingle size."""
+    found: dict[_Group, list[np.ndarray]] = {g: [] for g in groups}
+    for band, factors in enumerate(_factors(max(g.bands for g in groups))):
+        minima = [_Blocks(hashes * f) for f in factors]
+        for group in sorted((g for g in groups if band < g.bands), key=lambda g: g.stride):
+            found[group].append(group.met(band, minima))
+    return {g: np.unique(np.concatenate(x), axis=0) for g, x in found.items()}
 
 
 def _groups(templates: dict[str, str], containment: float) -> list[_Group]:
@@ -127,15 +157,13 @@ def _groups(templates: dict[str, str], containment: float) -> list[_Group]:
 
 
 def _scan(groups: list[_Group], ids: list, texts: list[bytes], containment: float) -> Iterator[tuple]:
-    words, hashed = Words(texts), {}
+    words = Words(texts)
     best: dict[tuple[int, str], list] = {}
-    for group in groups:
-        if group.shingle not in hashed:
-            hashed[group.shingle] = words.shingles(group.shingle)
+    hashed = {size: words.shingles(size) for size in {g.shingle for g in groups}}
+    met = [x for size, (hashes, _) in hashed.items() if len(hashes) for x in _candidates([g for g in groups if g.shingle == size], hashes).items()]
+    for group, pairs in met:
         hashes, whole = hashed[group.shingle]
-        if not len(hashes):
-            continue
-        for window, template in group.candidates(hashes).tolist():
+        for window, template in pairs.tolist():
             start = window * group.stride
             inside = np.arange(start, min(start + group.width, len(hashes)))
             inside = inside[whole[inside]]
