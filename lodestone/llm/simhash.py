@@ -27,7 +27,7 @@ from .graph import connected_components
 SHINGLE, SEED = 4, 42
 MAX_BITS = 4
 #: Fingerprints whose balls are built together: about 260 values of 8 bytes each in a phase.
-BATCH = 8_192
+BATCH = 4_096
 #: Parts of the ball values that are shuffled one after another.
 PHASES = 8
 #: Links that a task holds before it reduces them to a forest.
