@@ -154,3 +154,29 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(F.size("embedding") == 64, F.transform("embedding", lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double"))))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", unit.alias("n"))
     return rows.select("vec_id", F.round(F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("size"), F.size("n").alias("width"))
+
+
+@query(f"""{with_tables('items')} SELECT content_id, arg_max(coalesce(edited_title, title), (created_s, id)) AS title, max(created_s) AS updated_s, bool_or(id % 3 = 0) AS public FROM items WHERE content_id IS NOT NULL AND status = 'ready' AND user_id < 20 GROUP BY content_id""")
+def asset_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest finished save of an owner range overwrites its asset; only listed columns are read."""
+    own = items(spark, sf_dir).where("content_id is not null and status = 'ready' and user_id < 20")
+    newest = F.max_by(F.coalesce("edited_title", "title"), F.struct("created_s", "id"))
+    return own.groupBy("content_id").agg(newest.alias("title"), F.max("created_s").alias("updated_s"), F.bool_or(F.col("id") % 3 == 0).alias("public"))
+
+
+@query("""SELECT conv_id, string_agg('[' || printf('%02d:%02d', turn // 60, turn % 60) || '] ' || text, chr(10) ORDER BY turn, text) AS transcript, count(*) AS segments FROM conversations GROUP BY conv_id""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed segments as one text; media stages are recorded elsewhere and never run here."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"), F.count("*").alias("segments"))
+    line = lambda x: F.concat(F.format_string("[%02d:%02d] ", F.floor(x["turn"] / 60), x["turn"] % 60), x["text"])
+    return rows.select("conv_id", F.array_join(F.transform("s", line), "\n").alias("transcript"), "segments")
+
+
+@query("""WITH d AS (SELECT user_id, event_id % 97 AS token, CASE event_id % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' WHEN 2 THEN 'gone' ELSE 'sent' END AS outcome FROM events WHERE event_type = 'click')
+SELECT user_id, count(*) FILTER (outcome = 'sent') AS sent, count(*) FILTER (outcome = 'failed') AS failed, count(DISTINCT token) FILTER (outcome = 'gone') AS removed, 2 * count(*) FILTER (outcome = 'failed') AS published FROM d GROUP BY user_id""")
+def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of a delivery batch; dead tokens are removed once, failures stay to be published again."""
+    outcome = F.element_at(F.array(*map(F.lit, ("sent", "failed", "gone", "sent"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") % 97).alias("token"), outcome.alias("outcome"))
+    failed = F.count_if(F.col("outcome") == "failed")
+    return rows.groupBy("user_id").agg(F.count_if(F.col("outcome") == "sent").alias("sent"), failed.alias("failed"), F.countDistinct(F.when(F.col("outcome") == "gone", F.col("token"))).alias("removed"), (failed * 2).alias("published"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
+from lodestone.functions.stem import stems
 from lodestone.operators import filters, ranking
 from lodestone.session import table
 from lodestone.sources.binders import EPOCH, NOW, STEP, items, with_tables
@@ -211,3 +212,37 @@ def recall_and_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
     gold = docs.join(passages, "w").where(F.contains("text", F.col("passage"))).select("query_id", "id").distinct()
     return ranking.evaluate(_bag(spark, sf_dir).withColumnRenamed("doc_id", "id"), gold)
+
+
+@query(rf"""SELECT doc_id, array_to_string(list_filter(['tion', 'the', 'qu'], lambda t: regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || t)), '+') AS matched FROM documents""")
+def matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that a text holds at the start of a word."""
+    terms = F.array(F.lit("tion"), F.lit("the"), F.lit("qu"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.matched(terms, F.col("text")), "+").alias("matched"))
+
+
+@query()
+def stemmed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical score over stems; stems of text and query come from one UDF, ranks from the same operator."""
+    words = lambda c: stems(F.regexp_extract_all(F.lower(F.col(c)), F.lit(r"[\p{L}\p{N}]+"), 0))
+    docs = items(spark, sf_dir).where(filters.searchable()).select("id", F.array_join(words("search_text"), " ").alias("stemmed"))
+    queries = query_table(spark).select("query_id", F.explode(stems(text.match_terms(F.col("terms")))).alias("term")).distinct()
+    return ranking.top_rows(lexical_scores(queries, docs, ["id"], "stemmed"), "query_id", "raw", ["id"]).select("query_id", "id", "raw", "rank")
+
+
+@query(f"""WITH {RANKED} SELECT query_id, list, id, row_number() OVER (PARTITION BY query_id, list ORDER BY rank) AS position FROM ranked WHERE created_s >= {EPOCH + 20 * STEP} AND created_s <= {EPOCH + 120 * STEP}""")
+def filtered_after_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata filters cut each list after its fifty rows, and positions are counted on what is left."""
+    rows = _ranked(spark, sf_dir).where(F.col("created_s").between(EPOCH + 20 * STEP, EPOCH + 120 * STEP))
+    return rows.select("query_id", "list", "id", F.row_number().over(W.partitionBy("query_id", "list").orderBy("rank")).alias("position"))
+
+
+@query("""WITH r AS (SELECT user_id % 20 AS query_id, min(event_id % 9 + 1) AS place FROM events WHERE user_id % 20 < 18 GROUP BY 1), g AS (SELECT DISTINCT user_id % 20 AS query_id FROM events)
+SELECT count(*) AS n, round(avg((coalesce(r.place, 99) <= 5)::INT), 6) AS recall, coalesce(string_agg(CASE WHEN r.place > 5 THEN g.query_id END::VARCHAR, ',' ORDER BY g.query_id), '') AS buried, coalesce(string_agg(CASE WHEN r.place IS NULL THEN g.query_id END::VARCHAR, ',' ORDER BY g.query_id), '') AS missing FROM g LEFT JOIN r ON g.query_id = r.query_id""")
+def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall with the queries whose gold is buried or missing."""
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("query_id"), (F.col("event_id") % 9 + 1).alias("place"))
+    ranked = log.where("query_id < 18").groupBy("query_id").agg(F.min("place").alias("place"))
+    joined = log.select("query_id").distinct().join(ranked, "query_id", "left")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.col("query_id")))), lambda x: x.cast("string")), ",")
+    return joined.agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce("place", F.lit(99)) <= 5).cast("int")), 6).alias("recall"), listed(F.col("place") > 5).alias("buried"), listed(F.col("place").isNull()).alias("missing"))
