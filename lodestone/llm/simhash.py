@@ -67,14 +67,15 @@ def fingerprint(hashes: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the SimHash of each whole text as a signed long."""
+    """(doc_id, text_key, fp): a hash that names the text, and its SimHash as a signed long, of each whole text."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(shingle_hashes(text.as_py())) for text in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(shingle_hashes(text.as_py())) for text in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(build, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
+    return rows.mapInArrow(build, "doc_id long, text_key long, fp long")
 
 
 def _masks(radius: int) -> np.ndarray:
@@ -207,22 +208,28 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rows stay. A null doc_id is carried through and never names a group unless all of it is null. Very long texts are
     hashed shingle by shingle. An empty table gives an empty result; other columns are ignored.
     """
+    return _groups(docs, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _groups(docs: DataFrame, max_bits: int) -> DataFrame:
+    """(doc_id, text_key, fp, root, component_id): root is the group's smallest fingerprint."""
     own = stored(fingerprints(docs))
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
     roots = connected_components(ball_links(distinct, distinct.count(), max_bits))
     grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "smallest", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.join(grouped.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest doc_id; all columns stay.
 
-    Of rows that repeat that doc_id one stays; a group whose ids are all null keeps one row.
+    Ids that are null come last. Of rows that repeat the kept id and text one stays.
     """
-    groups = near_duplicates(docs, max_bits)
-    kept = stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")))
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = kept.groupBy("__id").count().where("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id"])
+    groups = stored(_groups(docs, max_bits))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    kept = stored(groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    rows = docs.join(kept, same, "left_semi")
+    repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
+    return rows if repeated.isEmpty() else rows.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -156,6 +156,8 @@ def test_groups_equal_brute_force(spark):
     assert Counter((r.doc_id, r.fp, r.component_id) for r in found) == expected
     kept = simhash.keep_one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in expected}) and kept.columns == docs.columns
+    nameless = frame(spark, [(None, t, "s", "en") for t in (texts[8], texts[8], "another text of five words", None)] + [(1, texts[8], "s", "en")])
+    assert sorted(repr((r.doc_id, r.text)) for r in simhash.keep_one_of_each(nameless).collect()) == sorted(repr(x) for x in [(1, texts[8]), (None, "another text of five words"), (None, None)])
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
