@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .words import Words, chunks, lowered
 
 GRAM = 3
@@ -122,12 +122,12 @@ def _block_leaks(docs: DataFrame, block: _Items, min_score: float) -> DataFrame:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
                 rows = list(_places(shared.value, ids, texts))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["doc_id", "item", "first", "grams", "words"])
 
-    held = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(places, PLACES))
+    held = stored(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(places, PLACES))
     counts = held.select(F.explode("grams").alias("gram")).groupBy("gram").count()  # at most one row a gram of the block
     frequency = np.zeros(len(block.grams), np.int64)
     for gram, n in counts.collect():

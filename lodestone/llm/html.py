@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: A subtree belongs to the template if it is on more than this share of its host's pages, pages of equal content
 #: counted once, and on so many at least.
@@ -217,9 +217,9 @@ def template_subtrees(pages: DataFrame, ratio: float = RATIO, min_pages: int = M
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, contents, subtrees = [], [], []
-            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own: set[int] = set()
-                roots = content_roots(parse(html))
+                roots = content_roots(parse(html.as_py()))
                 tops = [digests(r, own) for r in roots]
                 content = xxhash.xxh64_intdigest(repr(tops)) >> 1
                 found = [*own.difference(tops), 0]  # 0 stands for the page
@@ -242,7 +242,7 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PA
     leniently, and pages of any length whole. Repeated rows stay; a page without article or main element gives what is
     left of its body. An empty table gives an empty result; other columns are ignored.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
     template = stored(template_subtrees(rows, ratio, min_pages))
     known = template.groupBy(F.col("host").alias("of")).agg(F.collect_list("subtree").alias("template"))
     if template.count() <= BROADCAST_SUBTREES:
@@ -252,8 +252,8 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PA
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for html, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                roots = content_roots(parse(html))
+            for html, known in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                roots = content_roots(parse(html.as_py()))
                 for root in roots if known else ():
                     digests(root, set())
                 out.append("\n".join(blocks(roots, set(known or ()))))

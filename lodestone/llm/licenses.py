@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import Words, chunks, lowered, mixed
 
 SHINGLE = 5
@@ -202,10 +203,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for ids, texts in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
                 rows = list(_scan(shared.value, ids, texts, containment))
                 if rows:
                     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "license", "containment", "start_word", "end_word", "n_places"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, RESULT)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, RESULT)

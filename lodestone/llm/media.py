@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, utf8
+from .common import bounded_batches, sha256_hex, utf8
 
 #: Payloads are padded with zero bytes to a positive multiple of this.
 UNIT = 64
@@ -22,7 +22,7 @@ BLOCK = 4_096
 #: A peak is the strongest bin of its frame and of this many frames to either side; it is paired with the next ones.
 NEIGHBOURS, FAN_OUT = 1, 2
 #: Rows of stored media that are handed to Spark together.
-MEDIA_BYTES = 8 << 20
+MEDIA_BYTES = 4 << 20
 
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, peak_time array<int>, peak_hash array<int>"
 
@@ -99,7 +99,7 @@ def store_as_media(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(store, SCHEMA)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(store, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

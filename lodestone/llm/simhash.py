@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import bounded_batches, stored, utf8
 from .graph import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(shingle_hashes(text.as_py())) for text in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
     return rows.mapInArrow(build, "doc_id long, text_key long, fp long")
 
 
@@ -159,12 +159,12 @@ def _phase_links(distinct: DataFrame, masks: np.ndarray, bits: int, max_bits: in
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks, found = None, [], [np.empty((0, 2), np.int64)]
         for batch in batches:
-            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if key != bucket and blocks:
                     found.append(meet(bucket, blocks))
                     blocks = []
                 bucket = key
-                blocks.append(block)
+                blocks.append(block.as_py())
             if sum(map(len, found)) > LINKS:
                 found = [_forest(np.unique(np.concatenate(found), axis=0))]
                 if len(found[0]) > LINKS // 2:

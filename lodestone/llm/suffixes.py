@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import bounded_batches, stored, utf8
 from .words import CHUNK_BYTES, mixed, powers
 
 LENGTH = 200
@@ -287,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     document of its own, so all they share goes. Very long texts are searched in pieces that overlap by length - 1
     bytes. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
     ranges = repeated_ranges(rows, length, anchor)
     gathered = stored(ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
     met = rows.alias("d").join(gathered.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left")

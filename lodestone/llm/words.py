@@ -6,12 +6,12 @@ hash is a polynomial of its bytes modulo 2^64, mixed; equal words have equal has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Bytes of text that are hashed together. Bounds memory: about 60 bytes of arrays a byte of text.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x100000001B3
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -73,7 +73,7 @@ def lowered(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[bytes]]]:
+def chunks(ids: list, texts: Iterable[str | None]) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in groups of about CHUNK_BYTES, texts lower-cased and encoded; null counts as empty."""
     own, group, held = [], [], 0
     for key, text in zip(ids, texts, strict=True):
