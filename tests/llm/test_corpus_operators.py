@@ -308,3 +308,16 @@ def test_stages_take_effect(spark, data):
     clean = {r.doc_id for r in labels.where("quality = 1").collect()}
     judged = {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, data).select("doc_id").collect()}
     assert len(judged & junk) <= 0.4 * len(junk) and len(clean - judged) <= 0.03 * len(clean) + 1
+
+
+def test_sample_holds_whole_documents_within_its_bounds(spark, monkeypatch):
+    texts = {i: "w " * (30 if i % 3 == 0 else 5) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "LONGEST", 20)
+    monkeypatch.setattr(quality, "SAMPLE_WORDS", 22)
+    sample, trusted = quality.trusted_sample(docs, labels)
+    rows = sample.collect()
+    assert 0 < len(rows) <= 4 and all(r.text == texts[r["__id"]] and len(r.text.split()) == 5 for r in rows)
+    fit = {r["__id"]: r["__fit"] for r in trusted.collect()}
+    assert len(fit) == 40 and {i for i, f in fit.items() if f} == {r["__id"] for r in rows}
