@@ -3,7 +3,8 @@
 The benchmark is a query set that is taken in blocks of bounded size against all documents. A block's word 3-grams are
 broadcast; one map over the documents finds where they occur and keeps, for each place, the words around it. The places
 give each gram's document frequency over the whole corpus; grams that are rare, judged within their item, are seeds.
-Places with a seed are aligned with their item, so copies with words changed, added or left out are scored as well.
+Places are aligned with their item, so copies with words changed, added or left out are scored as well. Places without a
+seed are aligned too: what is copied often is not rare. Only those are left out whose words can't reach the score.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ GRAM = 3
 MIN_SCORE = 0.5
 #: Fixed values of the alignment: scores of equal words, of a changed word and of an extra or missing word.
 MATCH, CHANGE, GAP = 2, -1, -1
-#: A gram that is more than so many times as frequent as its item's median gram is no seed ...
+#: A gram that is more than so many times as frequent as the median of its item's grams that occur is no seed ...
 RARE = 10
 #: ... nor is one that more items share; but an item's rarest grams, so many, always are.
 SHARED_ITEMS, LEAST_SEEDS = 8, 3
@@ -95,11 +96,28 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def most_points(item: np.ndarray, words: np.ndarray) -> int:
+    """What the best local alignment's score can't exceed.
+
+    Each match uses up a word of either side, and a word that the other side has not costs a point wherever it is spanned.
+    """
+    kinds, own = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, words), len(kinds) - 1)
+    known = kinds[at] == words
+    there = np.bincount(at[known], minlength=len(kinds))
+    bound = MATCH * int(np.minimum(own, there).sum())
+    for same in (known, there[np.searchsorted(kinds, item)] > 0):
+        total = np.append(0, np.cumsum(np.where(same, MATCH, max(CHANGE, GAP))))
+        bound = min(bound, int((total - np.minimum.accumulate(total)).max()))
+    return bound
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents that hold a copy of a benchmark item, exact or edited.
 
-    Returns doc_id, item_id, score (1 for an exact copy), n_seeds, start_word, end_word (the copy's words in the
-    document), a row per document and item: the best place. Null and empty texts match nothing, and neither do items
+    Returns doc_id, item_id, score (1 for an exact copy), n_seeds (the item's seeds in the place, 0 if it was found by
+    common grams alone), start_word, end_word (the copy's words in the document), a row per document and item: the best
+    place. Null and empty texts match nothing, and neither do items
     of fewer than three words. Repeated rows of either table give one row for each pair of ids. Texts of any length are
     searched whole. Empty tables give an empty result; other columns are ignored.
     """
@@ -139,12 +157,12 @@ def _block_leaks(docs: DataFrame, block: _Items, min_score: float) -> DataFrame:
             rows = []
             for doc_id, item, first, grams, words in zip(*(batch.column(i) for i in range(5)), strict=True):
                 item, own = item.as_py(), shared.value.words[item.as_py()]
-                n_seeds = len(seeds.value[item].intersection(grams.as_py()))
-                if not n_seeds:
-                    continue
                 words = words.values.to_numpy().view(np.uint64)
+                if most_points(own, words) < min_score * MATCH * len(own):
+                    continue
                 points, end = align(own, words)
                 if points >= min_score * MATCH * len(own):
+                    n_seeds = len(seeds.value[item].intersection(grams.as_py()))
                     start = end - align(own[::-1], words[:end][::-1])[1]
                     rows.append((doc_id.as_py(), shared.value.ids[item], points / (MATCH * len(own)), n_seeds, first.as_py() + start, first.as_py() + end))
             if rows:
@@ -162,6 +180,7 @@ def _seeds(block: _Items, frequency: np.ndarray) -> list[set[int]]:
     bounds = np.searchsorted(block.item[order], np.arange(len(block.ids) + 1))
     for item, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         own = order[a:b]
+        own = own[frequency[gram[own]] > 0]
         if len(own):
             common = frequency[gram[own]]
             rare = (common <= RARE * max(1.0, float(np.median(common)))) & (shared[own] <= SHARED_ITEMS)

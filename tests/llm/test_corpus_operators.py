@@ -49,6 +49,26 @@ def test_alignment_equals_plain():
         assert decontamination.align(np.array(a, np.uint64), np.array(b, np.uint64))[0] == plain_alignment(a, b)
 
 
+def test_points_are_never_above_their_bound():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(12) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        assert plain_alignment(a, b) <= decontamination.most_points(np.array(a, np.uint64), np.array(b, np.uint64))
+
+
+@pytest.mark.parametrize("copies", [11, 1000])
+def test_equal_edited_copies_are_found_however_many_there_are(spark, copies):
+    rng = random.Random(5)
+    item = [f"item{i}" for i in range(37)]
+    edit = " ".join("other" if i % 4 == 3 else w for i, w in enumerate(item))
+    texts = [edit] * copies + [" ".join(words(rng, 60)) for _ in range(50)]
+    docs = frame(spark, [(i, t, "s", "en") for i, t in enumerate(texts)])
+    found = decontamination.find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    rows = found.collect()
+    assert {r.doc_id for r in rows} == set(range(copies)) and len(rows) == copies
+    assert {round(r.score, 3) for r in rows} == {round((2 * 28 - 9) / 74, 3)}
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 60])
 def test_leaks_are_found_and_clean_documents_left_alone(spark, block_words):
     rng = random.Random(4)
