@@ -138,6 +138,15 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.classify(docs.where("false"), label_table).count() == 0
 
 
+def test_a_language_without_labels_is_not_judged_by_others(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices([f"e{j}" for j in range(60)], k=60)), "s", "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choices([f"x{j}" for j in range(500)], k=60)), "s", "xx" if i < 100 else None) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = quality.classify(frame(spark, rows), labels).collect()
+    assert sum(not r.keep for r in found if r.doc_id >= 1000) <= 4
+
+
 # -- near duplicates ---------------------------------------------------------
 
 
