@@ -138,6 +138,24 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.classify(docs.where("false"), label_table).count() == 0
 
 
+def test_toxic_text_goes_on_held_out_labels(spark):
+    rng = random.Random(6)
+    kinds = {lang: ["".join(rng.choices("abcdefghijklm", k=7)) for _ in range(400)] for lang in ("en", "fr")}
+    insults, rows, labels = ["vile", "rotten", "odious"], [], []
+    for i in range(800):
+        lang = "en" if i % 2 else "fr"
+        text = rng.choices(kinds[lang], k=100)
+        if i % 8 < 2:
+            for _ in range(3):
+                text[rng.randrange(100)] = rng.choice(insults)
+        rows.append((i, " ".join(text), "s", lang))
+        if i < 600:
+            labels.append((i, 1, int(i % 8 < 2)))
+    found = {r.doc_id: r.keep for r in quality.classify(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not any(found[i] for i in range(600, 800) if i % 8 < 2)
+    assert sum(not found[i] for i in range(600, 800) if i % 8 >= 2) <= 6
+
+
 def test_a_language_without_labels_is_not_judged_by_others(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choices([f"e{j}" for j in range(60)], k=60)), "s", "en") for i in range(300)]
