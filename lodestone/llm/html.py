@@ -35,175 +35,220 @@ NOT_TEXT = {
     "object", "option", "script", "select", "style", "svg", "template", "textarea", "title", "video",
 }
 NOT_TEXT_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
-#: Words in class or id that name boilerplate.
+#: What names boilerplate as a whole class or id, alone or with words that only say what kind of part or place it is.
+#: Any other word beside them makes it a name of something else: ``ad-box`` is an advert, ``related-work`` is text.
 NOT_TEXT_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
     "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
     "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "replies", "responses",
     "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets",
 }
-#: An element of a key is closed by the start of one of its values.
+PART_WORDS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "form", "icons", "inner", "item", "items", "left",
+    "link", "links", "list", "outer", "page", "panel", "post", "posts", "reader", "right", "section", "site", "slot", "stories", "sticky", "thread",
+    "top", "unit", "user", "wrap", "wrapper",
+}
+COMMENT_NAMES = {"comment", "comments", "reply", "replies"}
+#: An element of a key is closed by the start of one of its values, unless one of the barriers is open in between.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+LISTS = {"ul", "ol", "dl", "table"}
 CONTAINERS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "article", "section", "div", "main", "body", "td", "th", "blockquote", "aside", "nav", "form", "header", "footer"}
 
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LONG_NUMBER = re.compile(r"&#\d{9,}")
 
 
-class Element:
-    __slots__ = ("tag", "parts", "dropped", "maybe", "digest")
-
-    def __init__(self, tag: str, dropped: bool = False, maybe: bool = False):
-        self.tag, self.dropped, self.maybe = tag, dropped, maybe
-        self.parts: list[Element | str] = []
-        self.digest: int | None = None
-
+class Page(HTMLParser):
+    """A page's elements in document order, with the end tags that may be left out put in.
 
-class _Builder(HTMLParser):
-    """A tree of elements, with the end tags that may be left out put in."""
+    Element i has tags[i], parents[i] and parts[i], its texts and the numbers of its children. A parent comes before its
+    children, so loops over the numbers replace recursion and nesting may be of any depth.
+    """
 
-    def __init__(self):
+    def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
-        self.root = Element("html")
-        self.open = [self.root]
+        self.tags, self.parents, self.dropped = ["html"], [-1], [False]
+        self.parts: list[list[str | int]] = [[]]
+        self.named, self.headers = [False], [False]
+        self._open, self._at = [0], {}  # open elements, and by tag where they stand among them
+        html = _shortened(html or "")
+        self._last_end = html.rfind("]]>")
+        self.feed(html)
+        self.close()
+        self.kept = self._kept()
+
+    # -- parsing
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
         if tag in BLOCK:
-            self._close_through("p", CONTAINERS - {"p"})
+            self._close_through("p", CONTAINERS)
         for held, closers in CLOSED_BY.items():
-            if tag in closers:
-                self._close_through(held, {"ul", "ol", "dl", "table"} | ({"tr"} if held in ("td", "th") and tag != "tr" else set()))
-        if tag in VOID:
-            self.open[-1].parts.append(Element(tag) if tag in BLOCK else " ")
+            if tag in closers and self._at.get(held):
+                self._close_through(held, LISTS | {"tr"} if held in ("td", "th") and tag != "tr" else LISTS)
+        if tag in VOID and tag not in BLOCK:
+            self.parts[self._open[-1]].append(" ")
             return
-        element = Element(tag, *_verdict(tag, dict(attrs)))
-        self.open[-1].parts.append(element)
-        self.open.append(element)
+        number = len(self.tags)
+        dropped, named, header = _verdict(tag, dict(attrs)) if attrs else (tag in NOT_TEXT, False, tag == "header")
+        self.tags.append(tag)
+        self.parents.append(self._open[-1])
+        self.parts.append([])
+        self.dropped.append(dropped)
+        self.named.append(named)
+        self.headers.append(header)
+        self.parts[self._open[-1]].append(number)
+        if tag not in VOID:
+            self._at.setdefault(tag, []).append(len(self._open))
+            self._open.append(number)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if places := self._at.get(tag):
+            self._close_from(places[-1])
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].parts.append(data)
+        self.parts[self._open[-1]].append(data)
 
-    def _close_through(self, tag: str, barriers: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in barriers:
-                return
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...``: a comment in HTML, whatever it says; to its own end if it has one, else to the next ``>``."""
+        mark = "]]>" if self.rawdata[i : i + 9].lower() == "<![cdata[" and i < self._last_end else ">"
+        end = self.rawdata.find(mark, i + 3)
+        return end + len(mark) if end >= 0 else -1
 
-
-def _verdict(tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is unless it holds the main heading."""
-    names = {n.lower() for n in _NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")} if "class" in attrs or "id" in attrs else set()
-    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-    maybe = tag == "header" or "header" in names
-    named = bool(names & NOT_TEXT_NAMES) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(names & {"comment", "comments", "reply", "replies"})
-    return tag in NOT_TEXT or hidden or (attrs.get("role") or "").lower() in NOT_TEXT_ROLES or named, maybe
-
-
-def parse(html: str | None) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
-
-def _settle(element: Element, inside: bool = False) -> bool:
-    """Drops headers without a main heading or outside the article; returns whether the subtree holds one."""
-    inside = inside or element.tag in ("article", "main")
-    held = element.tag == "h1"
-    for part in element.parts:
-        if isinstance(part, Element) and not part.dropped:
-            held |= _settle(part, inside)
-    if element.maybe and not (held and inside):
-        element.dropped = True
-    return held
-
-
-def _roots(element: Element, tags: tuple[str, ...]) -> list[Element]:
-    if element.dropped:
-        return []
-    if element.tag in tags:
-        return [element]
-    return [r for part in element.parts if isinstance(part, Element) for r in _roots(part, tags)]
-
-
-def content_roots(page: Element) -> list[Element]:
-    """The article elements, else the main ones, else the page."""
-    _settle(page)
-    for tags in (("article",), ("main",)):
-        found = [r for r in _roots(page, tags) if _has_text(r)]
-        if found:
-            return found
-    return [page]
-
-
-def _has_text(element: Element) -> bool:
-    return not element.dropped and any(bool(p.strip()) if isinstance(p, str) else _has_text(p) for p in element.parts)
-
-
-def digests(element: Element, out: set[int]) -> int:
-    """The element's subtree hash; those of block elements with text are added to ``out``."""
-    state, text = xxhash.xxh64(element.tag.encode()), False
-    for part in element.parts:
-        if isinstance(part, str):
-            words = _SPACE.sub(" ", part).strip()
-            if words:
-                text = True
-                state.update(b"\x01" + words.encode("utf-8", "replace"))
-        elif not part.dropped:
-            inner = digests(part, out)
-            if inner:
-                text = True
-                state.update(b"\x02" + inner.to_bytes(8, "big", signed=True))
-    if not text:
-        return 0
-    element.digest = int.from_bytes(state.digest(), "big", signed=True)
-    if element.tag in BLOCK:
-        out.add(element.digest)
-    return element.digest
-
-
-def blocks(roots: list[Element], template: set[int]) -> list[str]:
-    """The text blocks of the roots in page order, without template subtrees."""
-    out: list[str] = []
-    run: list[str] = []
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", "".join(run)).strip()
-        if text:
-            out.append(text)
-        run.clear()
-
-    def walk(element: Element, top: bool) -> None:
-        if element.dropped or (not top and element.digest in template):
-            return
-        block = element.tag in BLOCK
-        if block:
-            flush()
-        for part in element.parts:
-            if isinstance(part, str):
-                run.append(part)
+    def _close_through(self, tag: str, barriers: set[str]) -> None:
+        places = self._at.get(tag)
+        if places and places[-1] > max((self._at[b][-1] for b in barriers if self._at.get(b)), default=-1):
+            self._close_from(places[-1])
+
+    def _close_from(self, place: int) -> None:
+        for number in self._open[place:]:
+            self._at[self.tags[number]].pop()
+        del self._open[place:]
+
+    # -- what is text
+
+    def _kept(self) -> list[bool]:
+        """Whether an element may be text: not boilerplate itself and not within it."""
+        n = len(self.tags)
+        inside, article, heading = [False] * n, [False] * n, [False] * n
+        for i, tag in enumerate(self.tags):
+            inside[i] = tag in ("article", "main") or (i > 0 and inside[self.parents[i]])
+        for i in range(n - 1, 0, -1):
+            if self.dropped[i]:
+                continue
+            article[i] |= self.tags[i] in ("article", "main")
+            heading[i] |= self.tags[i] == "h1"
+            if (self.named[i] and not article[i]) or (self.headers[i] and not article[i] and not (heading[i] and inside[i])):
+                self.dropped[i] = True
             else:
-                walk(part, False)
-        if block:
+                article[self.parents[i]] |= article[i]
+                heading[self.parents[i]] |= heading[i]
+        kept = [True] * n
+        for i in range(1, n):
+            kept[i] = kept[self.parents[i]] and not self.dropped[i]
+        return kept
+
+    def roots(self) -> list[int]:
+        """The outermost article elements, else the main ones, else the page."""
+        n = len(self.tags)
+        text = [False] * n
+        for i in range(n - 1, -1, -1):
+            text[i] = self.kept[i] and (text[i] or any(isinstance(p, str) and not p.isspace() and p != "" for p in self.parts[i]))
+            if text[i] and i:
+                text[self.parents[i]] = True
+        for wanted in ("article", "main"):
+            within, found = [False] * n, []
+            for i, tag in enumerate(self.tags):
+                within[i] = i > 0 and within[self.parents[i]]
+                if tag == wanted and text[i] and not within[i]:
+                    within[i] = True
+                    found.append(i)
+            if found:
+                return found
+        return [0]
+
+    def digests(self, roots: list[int]) -> list[int]:
+        """Each element's subtree hash, 0 if it has no text; only those within the roots."""
+        n = len(self.tags)
+        within, out = [False] * n, [0] * n
+        for i in roots:
+            within[i] = True
+        for i in range(1, n):
+            within[i] = (within[i] or within[self.parents[i]]) and self.kept[i]
+        for i in range(n - 1, -1, -1):
+            if not within[i]:
+                continue
+            state, text = xxhash.xxh64(self.tags[i].encode()), False
+            for part in self.parts[i]:
+                if isinstance(part, str):
+                    words = _SPACE.sub(" ", part).strip()
+                    if words:
+                        text = True
+                        state.update(b"\x01" + words.encode("utf-8", "replace"))
+                elif out[part]:
+                    text = True
+                    state.update(b"\x02" + out[part].to_bytes(8, "big", signed=True))
+            if text:
+                out[i] = int.from_bytes(state.digest(), "big", signed=True)
+        return out
+
+    def blocks(self, roots: list[int], digests: list[int] | None = None, template: set[int] = frozenset()) -> list[str]:
+        """The text blocks of the roots in page order, without template subtrees."""
+        out: list[str] = []
+        run: list[str] = []
+
+        def flush() -> None:
+            text = _SPACE.sub(" ", "".join(run)).strip()
+            if text:
+                out.append(text)
+            run.clear()
+
+        for root in roots:
+            flush()
+            path = [(root, iter(self.parts[root]))]
+            while path:
+                element, rest = path[-1]
+                for part in rest:
+                    if isinstance(part, str):
+                        run.append(part)
+                    elif self.kept[part] and not (template and digests[part] in template):
+                        if self.tags[part] in BLOCK:
+                            flush()
+                        path.append((part, iter(self.parts[part])))
+                        break
+                else:
+                    path.pop()
+                    if self.tags[element] in BLOCK:
+                        flush()
             flush()
+        return out
+
+
+def _shortened(html: str) -> str:
+    """Character references of over eight digits, which no character has, cut; leading zeros of long ones go."""
+    if not _LONG_NUMBER.search(html):
+        return html
+    return re.sub(r"&#(\d{8})\d+", r"&#\1", re.sub(r"&#0+(?=\d)", "&#", html))
 
-    for root in roots:
-        walk(root, True)
-        flush()
-    return out
+
+def _names_boilerplate(token: str) -> bool:
+    words = {w.lower() for w in _NAME.findall(token)}
+    return bool(words & NOT_TEXT_NAMES) and words <= NOT_TEXT_NAMES | PART_WORDS
+
+
+def _verdict(tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate, whether its names say so, and whether it is a header."""
+    tokens = [*(attrs.get("class") or "").split(), *(attrs.get("id") or "").split()]
+    hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
+    comment = tag == "article" and any(t.lower() in COMMENT_NAMES for t in tokens)
+    named = tag not in ("article", "main") and any(map(_names_boilerplate, tokens))
+    dropped = tag in NOT_TEXT or hidden or comment or (attrs.get("role") or "").lower() in NOT_TEXT_ROLES
+    return dropped, named, tag == "header" or any(t.lower() in ("header", "page-header", "site-header") for t in tokens)
 
 
 def host(url: str = "url") -> Column:
@@ -218,10 +263,12 @@ def template_subtrees(pages: DataFrame, ratio: float = RATIO, min_pages: int = M
         for batch in batches:
             hosts, contents, subtrees = [], [], []
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own: set[int] = set()
-                roots = content_roots(parse(html.as_py()))
-                tops = [digests(r, own) for r in roots]
+                page = Page(html.as_py())
+                roots = page.roots()
+                digests = page.digests(roots)
+                tops = [digests[r] for r in roots]
                 content = xxhash.xxh64_intdigest(repr(tops)) >> 1
+                own = {d for d, tag in zip(digests, page.tags, strict=True) if d and tag in BLOCK}
                 found = [*own.difference(tops), 0]  # 0 stands for the page
                 hosts += [name] * len(found)
                 contents += [content] * len(found)
@@ -239,8 +286,8 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PA
 
     Returns page_id, url, text (blocks joined by line feeds), n_chars (code points), a row per input row. A null or empty
     page has an empty text; a null url, or one without a host, belongs to a host of its own. Malformed markup is parsed
-    leniently, and pages of any length whole. Repeated rows stay; a page without article or main element gives what is
-    left of its body. An empty table gives an empty result; other columns are ignored.
+    leniently, and pages of any length and nesting whole. Repeated rows stay; a page without article or main element gives
+    what is left of its body. An empty table gives an empty result; other columns are ignored.
     """
     rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
     template = stored(template_subtrees(rows, ratio, min_pages))
@@ -253,10 +300,9 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PA
         for batch in batches:
             out = []
             for html, known in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                roots = content_roots(parse(html.as_py()))
-                for root in roots if known else ():
-                    digests(root, set())
-                out.append("\n".join(blocks(roots, set(known or ()))))
+                page = Page(html.as_py())
+                roots = page.roots()
+                out.append("\n".join(page.blocks(roots, page.digests(roots), set(known)) if known else page.blocks(roots)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return met.mapInArrow(texts, "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
