@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns u and v, long): root is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the links no longer change. The minima are
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = checkpointed(edges), None
-    for _ in range(rounds):
+    while True:  # each round at least halves what is left, whatever the shape
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before or not now[0]:
             break

@@ -24,7 +24,7 @@ NEIGHBOURS, FAN_OUT = 1, 2
 #: Rows of stored media that are handed to Spark together.
 MEDIA_BYTES = 4 << 20
 
-SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, peak_time array<int>, peak_hash array<int>"
+SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, peak_time array<int>, peak_hash array<long>"
 
 
 def write_wav(payload: bytes) -> bytes:
@@ -67,12 +67,12 @@ def peak_pairs(time: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Time-coded fingerprints: the first peak's frame, and a hash of both bins and the distance between the frames."""
     times, hashes = [], []
     for step in range(1, FAN_OUT + 1):
-        gap = np.minimum(time[step:] - time[:-step], 1023)
+        gap = (time[step:] - time[:-step]).astype(np.int64)  # 31 bits: any distance there is
         times.append(time[:-step])
-        hashes.append((bins[:-step] << 18) | (bins[step:] << 10) | gap)
+        hashes.append((bins[:-step].astype(np.int64) << 40) | (bins[step:].astype(np.int64) << 32) | gap)
     times, hashes = np.concatenate(times), np.concatenate(hashes)
     order = np.lexsort((hashes, times))
-    return times[order].astype(np.int32), hashes[order].astype(np.int32)
+    return times[order].astype(np.int32), hashes[order]
 
 
 def store_as_media(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ encoded once per worker by the library and remembered. No pre-token is ever shuf
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -19,10 +20,12 @@ from .common import bounded_batches, whole_text
 
 #: Fixed value: how byte-level BPE splits text before its merges.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker's cache holds before it starts anew.
-CACHE_SIZE = 1 << 20
+#: Entries that a worker's cache holds before it starts anew, and the characters of the longest one it keeps.
+CACHE_SIZE, LONGEST = 1 << 20, 64
 #: Texts that are looked up together, so that misses are encoded in one call.
 GROUP = 64
+#: Between ASCII characters and before a space that stands alone every pre-token ends.
+_SURE_BOUNDARY = regex.compile(r"(?<=[!-~])(?= [!-~])")
 
 _workers: dict[int, Counter] = {}
 
@@ -50,10 +53,35 @@ def frequent_lengths(tokenizer_json: str) -> dict[str, int]:
     return {text: len(e.ids) for text, e in zip(entries, encoded, strict=True)}
 
 
+def checked(tokenizer_json: str) -> None:
+    """Raises if the file is no plain byte-level tokenizer, whose pre-tokens PRE_TOKEN gives."""
+    spec = json.loads(tokenizer_json)
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    odd = [t["content"] for t in spec.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    if spec.get("normalizer") or not plain or odd:
+        raise ValueError("count_tokens takes byte-level BPE without normalizer, prefix space or stripping special tokens")
+
+
+def unlike_characters(tokenizer_json: str) -> str:
+    """Characters that the library takes for another class (letter, number, space, other) than ``regex`` does.
+
+    Either follows some version of Unicode. Each assigned character is tried beside one of each class, a block at a time.
+    """
+    from tokenizers import Tokenizer
+
+    split, own = Tokenizer.from_str(tokenizer_json).pre_tokenizer, regex.compile(PRE_TOKEN)
+    assigned = regex.findall(r"[^\p{Cn}\p{Co}\p{Cs}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
+    probe = lambda block: "".join(f"a{c} 1{c} !{c} x" for c in block)
+    agree = lambda text: [x[1] for x in split.pre_tokenize_str(text)] == [m.span() for m in own.finditer(text)]
+    blocks = (assigned[i : i + 1024] for i in range(0, len(assigned), 1024))
+    return "".join(c for block in blocks if not agree(probe(block)) for c in block if not agree(probe(c)))
+
+
 class Counter:
     """Counts tokens within one worker."""
 
-    def __init__(self, tokenizer_json: str, frequent: dict[str, int]):
+    def __init__(self, tokenizer_json: str, frequent: dict[str, int], unlike: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,44 +91,34 @@ class Counter:
         self.frequent = frequent
         self.known = dict(frequent)
         self.split = regex.compile(PRE_TOKEN).findall
+        self.unsure = regex.compile(rf"[\p{{Cn}}\p{{Co}}\p{{Cs}}{regex.escape(unlike)}]").search
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
     def counts(self, texts: list[str]) -> list[int]:
-        pieces: list[list[str] | int] = []
-        missing: set[str] = set()
-        for text in texts:
-            if not _settled(text):  # letters of later Unicode versions: the library decides
-                pieces.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            own: list[str] = []
-            for part in self._parts(text):
-                own += self.split(part)
-            missing.update(set(own).difference(self.known))
-            pieces.append(own)
-        if missing:
-            if len(self.known) + len(missing) > CACHE_SIZE + len(self.frequent):
-                self.known = dict(self.frequent)
-                missing = set().union(*(p for p in pieces if isinstance(p, list))).difference(self.known)
-            words = list(missing)
-            self.known.update(zip(words, (len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)), strict=True))
-        length = self.known.__getitem__
-        return [(p if isinstance(p, int) else sum(map(length, p))) + self._specials(t, p) for t, p in zip(texts, pieces, strict=True)]
-
-    def _parts(self, text: str) -> list[str]:
-        return [p for p in self.special.split(text) if p] if self.special and "<|" in text else [text]
-
-    def _specials(self, text: str, pieces: list[str] | int) -> int:
-        return len(self.special.findall(text)) if self.special and "<|" in text and not isinstance(pieces, int) else 0
-
-
-def _settled(text: str) -> bool:
-    """Whether every character is one whose class all Unicode versions agree on (here: Latin-1)."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        known = self.known
+        specials = [len(self.special.findall(t)) if self.special else 0 for t in texts]
+        pieces = [self._pieces(text, bool(n)) for text, n in zip(texts, specials, strict=True)]
+        wanted = set().union(*pieces)
+        missing = wanted.difference(known)
+        if missing and len(known) + len(missing) > CACHE_SIZE + len(self.frequent):
+            known = self.known = dict(self.frequent)
+            missing = wanted.difference(known)
+        words = list(missing)
+        known.update(zip(words, (len(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)), strict=True))
+        found = [sum(map(known.__getitem__, p)) + n for p, n in zip(pieces, specials, strict=True)]
+        for word in words:
+            if len(word) > LONGEST:
+                del known[word]
+        return found
+
+    def _pieces(self, text: str, specials: bool) -> list[str]:
+        """The text's pre-tokens; where a character's class is unsure, the stretch up to the next sure boundaries instead."""
+        parts = [p for p in self.special.split(text) if p] if specials else [text]
+        if text.isascii() or not self.unsure(text):
+            return [piece for part in parts for piece in self.split(part)]
+        stretches = (s for part in parts for s in _SURE_BOUNDARY.split(part))
+        return [piece for s in stretches for piece in ([s] if self.unsure(s) else self.split(s))]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -108,11 +126,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
 
     Returns doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), a row per input row. A null text counts as empty
     (0 tokens); repeated rows are counted alike; strings of special tokens inside a text are matched as the library does
-    by default. Texts with characters beyond Latin-1 go to the library whole. Other columns are ignored.
+    by default. Characters on whose class Unicode versions differ leave their stretch of text to the library. Very long
+    pre-tokens are encoded but not remembered. Raises ValueError for a tokenizer of another kind. Other columns are ignored.
     """
     with open(tokenizer_path, encoding="utf-8") as file:  # a small file on the driver; executors get it broadcast
         tokenizer_json = file.read()
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_lengths(tokenizer_json)))
+    checked(tokenizer_json)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_lengths(tokenizer_json), unlike_characters(tokenizer_json)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value[0])

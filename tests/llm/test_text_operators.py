@@ -1,11 +1,15 @@
 """HTML text, licenses, token counts, media and line dedup against plain versions on small tables."""
 
+import cmath
 import hashlib
 import io
+import json
+import math
 import random
 import wave
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,10 +43,56 @@ def test_tokens_equal_the_library(spark, data):
 
 def test_worker_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_SIZE", 3)
+    monkeypatch.setattr(tokens, "LONGEST", 6)
     spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
-    counter = tokens.Counter(spec, tokens.frequent_lengths(spec))
-    texts = [f"qzx{i}v wqpt{i} zzq{i}kk" for i in range(20)]
+    counter = tokens.Counter(spec, tokens.frequent_lengths(spec), "é")
+    texts = [f"qzx{i}v wqpt{i} zzq{i}kk café  été — “quoted”\u0378 x<|endoftext|>\ue000 {'long' * 50}" for i in range(20)]
     assert [n for t in texts for n in counter.counts([t])] == [len(counter.tokenizer.encode(t).ids) for t in texts]
+    assert counter.counts(texts) == [len(counter.tokenizer.encode(t).ids) for t in texts]
+    assert max(map(len, set(counter.known) - set(counter.frequent))) <= 6
+
+
+def test_every_assigned_character_counts_as_in_the_library():
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    counter = tokens.Counter(spec, tokens.frequent_lengths(spec), tokens.unlike_characters(spec))
+    texts = ["".join(f"ab{chr(c)}c {chr(c)}1 {chr(c)}, {chr(c)}\n" for c in range(start, start + 500) if not 0xD800 <= c < 0xE000) for start in [*range(1, 0x3200, 500), *range(0xA000, 0x11000, 1500), *range(0x1E000, 0x1FC00, 500)]]
+    assert counter.counts(texts) == [len(counter.tokenizer.encode(t).ids) for t in texts]
+
+
+def test_other_tokenizers_are_refused():
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    tokens.checked(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        with pytest.raises(ValueError):
+            tokens.checked(json.dumps(json.loads(spec) | change))
+
+
+def test_peaks_far_apart_are_told_apart():
+    time, bins = np.array([0, 5_000, 5_000_000], np.int32), np.array([3, 4, 5], np.int32)
+    assert len(set(media.peak_pairs(time, bins)[1].tolist())) == 3
+    late = media.peak_pairs(time + np.array([0, 1, 0], np.int32), bins)[1]
+    assert set(late.tolist()) != set(media.peak_pairs(time, bins)[1].tolist())
+
+
+def plain_feature(payload):
+    """The peak pairs of a text by a plain Fourier sum."""
+    signal = [b - 128 for b in payload] + [0] * max(0, 128 - len(payload))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 127) for i in range(128)]
+    best = []
+    for start in range(0, len(signal) - 127, 64):
+        frame = [x * w for x, w in zip(signal[start : start + 128], window, strict=True)]
+        power = [abs(sum(x * cmath.exp(-2j * math.pi * k * i / 128) for i, x in enumerate(frame))) for k in range(1, 65)]
+        best.append((max(power), power.index(max(power)) + 1))
+    peaks = [(i, b) for i, (p, b) in enumerate(best) if p > 1e-3 and p >= max(x[0] for x in best[max(0, i - 1) : i + 2]) - 1e-4]
+    return sorted((peaks[i][0], peaks[i][1], peaks[j][1], peaks[j][0] - peaks[i][0]) for i in range(len(peaks)) for j in (i + 1, i + 2) if j < len(peaks))
+
+
+def test_feature_equals_a_plain_transform(spark):
+    texts = ["short", "The quick brown fox jumps over the lazy dog; " * 30, "ä" * 200 + "xyz" * 99]
+    rows = media.store_as_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        own = [(t, h >> 40, h >> 32 & 255, h & (1 << 32) - 1) for t, h in zip(r.peak_time, r.peak_hash, strict=True)]
+        assert sorted(own) == plain_feature(bytes(r.payload))
 
 
 def test_media_round_trip(spark):
