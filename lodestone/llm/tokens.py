@@ -63,25 +63,10 @@ def checked(tokenizer_json: str) -> None:
         raise ValueError("count_tokens takes byte-level BPE without normalizer, prefix space or stripping special tokens")
 
 
-def unlike_characters(tokenizer_json: str) -> str:
-    """Characters that the library takes for another class (letter, number, space, other) than ``regex`` does.
-
-    Either follows some version of Unicode. Each assigned character is tried beside one of each class, a block at a time.
-    """
-    from tokenizers import Tokenizer
-
-    split, own = Tokenizer.from_str(tokenizer_json).pre_tokenizer, regex.compile(PRE_TOKEN)
-    assigned = regex.findall(r"[^\p{Cn}\p{Co}\p{Cs}]", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))
-    probe = lambda block: "".join(f"a{c} 1{c} !{c} x" for c in block)
-    agree = lambda text: [x[1] for x in split.pre_tokenize_str(text)] == [m.span() for m in own.finditer(text)]
-    blocks = (assigned[i : i + 1024] for i in range(0, len(assigned), 1024))
-    return "".join(c for block in blocks if not agree(probe(block)) for c in block if not agree(probe(c)))
-
-
 class Counter:
     """Counts tokens within one worker."""
 
-    def __init__(self, tokenizer_json: str, frequent: dict[str, int], unlike: str):
+    def __init__(self, tokenizer_json: str, frequent: dict[str, int]):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,7 +76,7 @@ class Counter:
         self.frequent = frequent
         self.known = dict(frequent)
         self.split = regex.compile(PRE_TOKEN).findall
-        self.unsure = regex.compile(rf"[\p{{Cn}}\p{{Co}}\p{{Cs}}{regex.escape(unlike)}]").search
+        self.tried, self.unlike = set(map(chr, range(128))), set()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
@@ -112,6 +97,18 @@ class Counter:
                 del known[word]
         return found
 
+    def unsure(self, text: str) -> bool:
+        """Whether the text has a character that the library takes for another class (letter, number, space) than ``regex``.
+
+        Both follow some version of Unicode. A character is tried beside one of each class when it is first met.
+        """
+        for c in set(text).difference(self.tried):
+            probe = f"a{c} 1{c} !{c} x"
+            if [x[1] for x in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)] != [m.span() for m in regex.finditer(PRE_TOKEN, probe)]:
+                self.unlike.add(c)
+            self.tried.add(c)
+        return not self.unlike.isdisjoint(text)
+
     def _pieces(self, text: str, specials: bool) -> list[str]:
         """The text's pre-tokens; where a character's class is unsure, the stretch up to the next sure boundaries instead."""
         parts = [p for p in self.special.split(text) if p] if specials else [text]
@@ -132,7 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     with open(tokenizer_path, encoding="utf-8") as file:  # a small file on the driver; executors get it broadcast
         tokenizer_json = file.read()
     checked(tokenizer_json)
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_lengths(tokenizer_json), unlike_characters(tokenizer_json)))
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, frequent_lengths(tokenizer_json)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value[0])

@@ -45,7 +45,8 @@ def test_worker_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_SIZE", 3)
     monkeypatch.setattr(tokens, "LONGEST", 6)
     spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
-    counter = tokens.Counter(spec, tokens.frequent_lengths(spec), "é")
+    counter = tokens.Counter(spec, tokens.frequent_lengths(spec))
+    counter.unlike.add("é")
     texts = [f"qzx{i}v wqpt{i} zzq{i}kk café  été — “quoted”\u0378 x<|endoftext|>\ue000 {'long' * 50}" for i in range(20)]
     assert [n for t in texts for n in counter.counts([t])] == [len(counter.tokenizer.encode(t).ids) for t in texts]
     assert counter.counts(texts) == [len(counter.tokenizer.encode(t).ids) for t in texts]
@@ -54,7 +55,7 @@ def test_worker_cache_starts_anew(monkeypatch):
 
 def test_every_assigned_character_counts_as_in_the_library():
     spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
-    counter = tokens.Counter(spec, tokens.frequent_lengths(spec), tokens.unlike_characters(spec))
+    counter = tokens.Counter(spec, tokens.frequent_lengths(spec))
     texts = ["".join(f"ab{chr(c)}c {chr(c)}1 {chr(c)}, {chr(c)}\n" for c in range(start, start + 500) if not 0xD800 <= c < 0xE000) for start in [*range(1, 0x3200, 500), *range(0xA000, 0x11000, 1500), *range(0x1E000, 0x1FC00, 500)]]
     assert counter.counts(texts) == [len(counter.tokenizer.encode(t).ids) for t in texts]
 
