@@ -107,20 +107,46 @@ def _settle(rows: pd.DataFrame) -> pd.DataFrame:
 def pivotal_rounding(rows: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Rows (row_id, doc_id, source, size, p) with p in [0, 1] made 0 or 1, keeping each source's expected words.
 
-    Level 0 rounds chunks of documents of one source and one half binary order of size; the next levels round what is
-    left of those, until each source has at most one residual of an order, a few dozen, which are settled together.
+    Rows that are equal but for row_id are one unit, however many: what they get beyond whole rows is one fraction. Level
+    0 rounds chunks of units of one source and one half binary order of size; the next levels round what is left of
+    those, until each source has at most one residual of an order, a few dozen, which are settled together.
     """
+    open_rows = rows.where("p > 0 and p < 1")
+    unit = ["source", "doc_id", "size", "p"]
+    units = stored(open_rows.groupBy(*unit).agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")))
+    total = F.col("n") * F.col("p")
+    split = units.withColumn("whole", F.floor(total + 1e-9)).withColumn("part", F.greatest(total - F.col("whole"), F.lit(0.0)))
+    rounded = _round_units(split.select("row_id", "doc_id", "source", "size", F.when(F.col("n") == 1, F.col("p")).otherwise(F.col("part")).alias("p")), seed, chunk)
+    done = rows.where("p <= 0 or p >= 1").select("row_id", "p")
+    many = units.where("n > 1")
+    if many.isEmpty():
+        return done.unionByName(rounded)
+    extra = split.where("n > 1").join(rounded.select("row_id", F.col("p").alias("one")), "row_id").select(*(F.col(c).alias(f"of_{c}") for c in unit), (F.col("whole") + F.col("one")).alias("extra"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in unit]
+    equal = open_rows.join(extra, same).select("row_id", F.shiftright("row_id", 33).alias("part"), *(f"of_{c}" for c in unit), "extra")
+    # equal rows are numbered within their input part, and parts by what comes before them: no task meets a whole unit
+    keys = [f"of_{c}" for c in unit]
+    before = equal.groupBy(*keys, "part").count().withColumn("before", F.sum("count").over(W.partitionBy(*keys).orderBy("part")) - F.col("count"))
+    before = before.select(*(F.col(k).alias(f"b_{k}") for k in keys), F.col("part").alias("b_part"), "before")
+    numbered = equal.withColumn("at", F.row_number().over(W.partitionBy(*keys, "part").orderBy("row_id")))
+    met = numbered.join(before, [*(F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys), F.col("part") == F.col("b_part")])
+    given = met.select("row_id", (F.col("before") + F.col("at") <= F.col("extra")).cast("double").alias("p"))
+    return done.unionByName(rounded.join(many.select("row_id"), "row_id", "left_anti")).unionByName(given)
+
+
+def _round_units(units: DataFrame, seed: int, chunk: int) -> DataFrame:
+    """(row_id, p) of units, of which no two are equal in doc_id, source, size and p, made 0 or 1."""
     schema = "row_id long, doc_id long, source string, size long, p double, draw long, bin int, chunk long"
-    own = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bin", F.floor(2 * F.log2(F.greatest("size", F.lit(1)))).cast("int"))
+    own = units.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bin", F.floor(2 * F.log2(F.greatest("size", F.lit(1)))).cast("int"))
     done, level = own.where("p <= 0 or p >= 1").select("row_id", "p"), 0
     left = own.where("p > 0 and p < 1")
     while True:
         counts = checkpointed(left.groupBy("source", "bin").count()) if level else left.groupBy("source", "bin").count()
-        chunks = counts.select(F.col("source").alias("of"), F.col("bin").alias("at"), F.ceil(F.col("count") / chunk).alias("n"))
-        last = level > 0 and (chunks.agg(F.max("n")).first()[0] or 1) <= 1
+        last = level > 0 and (counts.agg(F.max("count")).first()[0] or 1) <= 1
         if last:  # every (source, bin) has one residual: those of all bins meet
             dealt = left.withColumn("bin", F.lit(-1)).withColumn("chunk", F.lit(0).cast("long"))
         else:
+            chunks = counts.select(F.col("source").alias("of"), F.col("bin").alias("at"), F.ceil(F.col("count") / chunk).alias("n"))
             number = F.pmod(F.xxhash64("draw", F.lit(level)), F.col("n"))
             dealt = left.join(chunks, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at"))).withColumn("chunk", number.cast("long"))
         rounded = stored(dealt.select("row_id", "doc_id", "source", "size", "p", "draw", "bin", "chunk").groupBy("source", "bin", "chunk").applyInPandas(_settle if last else _round_chunk, schema))
@@ -135,8 +161,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Returns doc_id, source, size (words), source_size, target (the source's), copies (0 to 3), taken (copies x size), a
     row per input row. A null text has size 0 and a null source is a source of its own, ranked last. A document without
-    words takes nothing. Rows that repeat are rounded each by itself; the same input always gives the same mix. An empty
-    table gives an empty result; other columns are ignored.
+    words takes nothing. Of rows that repeat in id, source and size, the number that gets a copy more is rounded, and they
+    share it among them; the same input always gives the same mix. An empty table gives an empty result; other columns are ignored.
     """
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")).withColumn("row_id", F.monotonically_increasing_id()))
     targets = checkpointed(source_targets(rows)).withColumnRenamed("source", "of")

@@ -4,7 +4,8 @@ A corpus-wide suffix array would sort every byte. Anchors leave only what can ma
 by its content alone, one anchor (the least hash among its ANCHOR-byte substrings), so equal windows share an anchor.
 Neighbouring windows with one anchor form a block.
 
-1. Blocks are counted by anchor and content. All windows of a block that occurs twice are repeated.
+1. Blocks are counted by anchor and content, which two independent hashes stand for, 128 bits in all. All windows of a
+   block that occurs twice are repeated.
 2. A block that occurs once, but whose anchor occurs elsewhere, may hold some repeated windows. Such blocks, with one
    copy of each block they could match, are dealt to shards by anchor; a shard's suffix array is built by
    Larsson-Sadakane refinement in numpy, and Kasai's common prefixes of neighbours say which windows are repeated.
@@ -33,20 +34,47 @@ SHARD_BLOCKS, SHARD_BYTES = 4_096, 2 << 20
 #: Window keys that are merged in one task.
 MERGE_KEYS = 1 << 20
 
-BLOCKS = "doc_id long, text_key long, start long, size int, anchor long, block long"
+BLOCKS = "doc_id long, text_key long, start long, size int, anchor long, block long, proof long"
 RANGES = "doc_id long, text_key long, start long, stop long"
 
 
 # -- blocks ------------------------------------------------------------------
 
 
+class _Sums:
+    """Running sums of a byte array, from which two independent 64-bit hashes of any stretch of it follow.
+
+    The second one takes eight bytes at a time through a mixing function before it sums, so texts on which the first, a
+    plain polynomial, collides by their structure are told apart.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.up, self.down = powers(len(data) + 1)
+        self.plain = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.plain[1:])
+        m = max(len(data) - 7, 0)
+        eights = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view("<u8").ravel() if m else np.array([], np.uint64)
+        self.wide = np.zeros(m + 1, np.uint64)
+        np.cumsum(mixed(eights + np.uint64(1)) * self.up[:m], out=self.wide[1:])
+
+    def key(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return mixed((self.plain[high] - self.plain[low]) * self.down[low] + (high - low).astype(np.uint64))
+
+    def proof(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Of stretches of eight bytes or more."""
+        return mixed((self.wide[high - 7] - self.wide[low]) * self.down[low] + (high - low).astype(np.uint64))
+
+
+def span_keys(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sums = _Sums(data)
+    return sums.key(low, high), sums.proof(low, high)
+
+
 def _blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Of the texts data[begin:end]: text, first window, last window, anchor hash and content hash of each block."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    """Of the texts data[begin:end]: text, first window, last window, anchor hash and both content hashes of each block."""
+    sums = _Sums(data)
     n = len(data) - anchor + 1
-    hashes = mixed((total[anchor:] - total[:n]) * down[:n])
+    hashes = mixed((sums.plain[anchor:] - sums.plain[:n]) * sums.down[:n])
     places = np.uint64((1 << 26) - 1)
     least = (hashes & ~places) | np.arange(n, dtype=np.uint64)
     width, span = 1, length - anchor + 1
@@ -66,8 +94,7 @@ def _blocks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int,
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     low, high = at[first], at[last] + length
-    content = mixed((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))
-    return texts[text[first]], low, high, hashes[chosen[first]], content
+    return texts[text[first]], low, high, hashes[chosen[first]], sums.key(low, high), sums.proof(low, high)
 
 
 def text_blocks(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -92,10 +119,10 @@ def text_blocks(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
         ids, keys, starts, parts = zip(*group, strict=True)
         sizes = np.array([len(p) for p in parts])
         begins = np.cumsum(sizes) - sizes
-        text, low, high, anchors, content = _blocks(np.frombuffer(b"".join(parts), np.uint8), begins, begins + sizes, length, anchor)
+        text, low, high, *hashes = _blocks(np.frombuffer(b"".join(parts), np.uint8), begins, begins + sizes, length, anchor)
         where = pa.array(text)
-        columns = [pa.array(ids, pa.int64()).take(where), pa.array(keys, pa.int64()).take(where), pa.array(low - begins[text] + np.array(starts)[text]), pa.array((high - low).astype(np.int32)), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "start", "size", "anchor", "block"])
+        columns = [pa.array(ids, pa.int64()).take(where), pa.array(keys, pa.int64()).take(where), pa.array(low - begins[text] + np.array(starts)[text]), pa.array((high - low).astype(np.int32)), *(pa.array(h.view(np.int64)) for h in hashes)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "start", "size", "anchor", "block", "proof"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(build, BLOCKS)
 
@@ -200,18 +227,18 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, text_key, start, stop): byte ranges whose union is what repeated windows cover. docs: doc_id, text_key, text (bytes)."""
     blocks = stored(text_blocks(docs, length, anchor))
-    counts = blocks.groupBy("anchor", "block").agg(F.count("*").alias("n"), F.min_by(F.struct("doc_id", "text_key", "start", "size"), F.xxhash64("doc_id", "text_key", "start")).alias("one"))
-    counts = stored(counts)
+    content = ["anchor", "block", "proof"]
+    counts = stored(blocks.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "size")).alias("one")))
     anchors = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("total > 1")
     kinds = stored(counts.join(anchors, "anchor").drop("total"))
-    twice = kinds.where("n > 1").select("anchor", "block")
-    whole = blocks.join(twice, ["anchor", "block"]).select("doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("stop"))
+    twice = kinds.where("n > 1").select(*content)
+    whole = blocks.join(twice, content).select("doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("stop"))
 
-    sought = kinds.where("kinds > 1 and singles > 0").select("anchor", "block", "n", "kinds", "one.*")
-    per_text = sought.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "block", "n", "kinds", "start", "size")).alias("cut"))
+    sought = kinds.where("kinds > 1 and singles > 0").select(*content, "n", "kinds", "one.*")
+    per_text = sought.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*content, "n", "kinds", "start", "size")).alias("cut"))
     met = docs.alias("d").join(per_text.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key")))
     cut = met.select("d.doc_id", "d.text_key", F.col("d.text").alias("text"), F.explode("c.cut").alias("cut")).select("doc_id", "text_key", "cut.*", F.expr("substring(text, cast(cut.start as int) + 1, cut.size)").alias("data"))
-    cut = stored(cut.dropDuplicates(["anchor", "block"]))
+    cut = stored(cut.dropDuplicates(content))
     volume = cut.agg(F.sum(F.col("size").cast("long"))).first()[0] or 0
     shards = int(volume // SHARD_BYTES) + 1
     parts = F.ceil(F.col("kinds") / SHARD_BLOCKS).cast("int")
@@ -244,15 +271,11 @@ def _merged_ranges(dealt: DataFrame, length: int) -> DataFrame:
         own = rows.select(["anchor", "buckets", "doc_id", "text_key", "start", "n", "data"]).to_pylist()
         found = []
         for i, row in enumerate(own):
-            data = np.frombuffer(row["data"], np.uint8)
-            up, down = powers(len(data) + 1)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-            m = max(len(data) - length + 1, 0)
-            found.append((mixed((total[length : length + m] - total[:m]) * down[:m]), np.full(m, i), np.arange(m)))
-        hashes, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            at = np.arange(max(len(row["data"]) - length + 1, 0))
+            found.append((*span_keys(np.frombuffer(row["data"], np.uint8), at, at + length), np.full(len(at), i), at))
+        hashes, proofs, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(hashes, kind="stable")
-        hashes, of, at = hashes[order], of[order], at[order]
+        hashes, proofs, of, at = hashes[order], proofs[order], of[order], at[order]
         ids = np.array([[r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text_key"], r["start"], r["n"]] for r in own], np.int64)
         bucket = (hashes % np.uint64(own[0]["buckets"])).astype(np.int64)
         for b in np.unique(bucket):
@@ -260,25 +283,31 @@ def _merged_ranges(dealt: DataFrame, length: int) -> DataFrame:
             out["anchor"].append(own[0]["anchor"])
             out["bucket"].append(int(b))
             out["keys"].append(hashes[some].tobytes())
-            out["rows"].append(np.column_stack([ids[of[some]], at[some]]).astype(np.int64).tobytes())
+            out["rows"].append(np.column_stack([ids[of[some]], at[some], proofs[some].view(np.int64)]).astype(np.int64).tobytes())
         return pa.table({"anchor": pa.array(out["anchor"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "rows": pa.array(out["rows"], pa.binary())})
 
     def merge(rows: pa.Table) -> pa.Table:
         runs = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
         merged = np.sort(np.concatenate(runs))
-        out = []
+        met, keys = [np.empty((0, 6), np.int64)], [np.array([], np.uint64)]
         for run, ids in zip(runs, rows.column("rows"), strict=True):
-            places = np.frombuffer(ids.as_py(), np.int64).reshape(-1, 5)
             many = np.searchsorted(merged, run, side="right") - np.searchsorted(merged, run, side="left") > 1
-            for doc_id, key, start, n, at in places[many].tolist():
-                if n == 1:
-                    out.append((doc_id if doc_id != -(1 << 63) else None, key, start + at, start + at + length))
-        return _range_table(out)
+            met.append(np.frombuffer(ids.as_py(), np.int64).reshape(-1, 6)[many])
+            keys.append(run[many])
+        places, keys = np.concatenate(met), np.concatenate(keys).view(np.int64)
+        _, which, times = np.unique(np.column_stack([keys, places[:, 5]]), axis=0, return_inverse=True, return_counts=True)
+        same = places[(times[which.ravel()] > 1) & (places[:, 3] == 1)]
+        return _range_table([(d if d != -(1 << 63) else None, key, start + at, start + at + length) for d, key, start, _, at, _ in same.tolist()])
 
     runs = dealt.withColumn("buckets", buckets).groupBy("shard", "part").applyInArrow(keys, "anchor long, bucket long, keys binary, rows binary")
     return stored(runs.groupBy("anchor", "bucket").applyInArrow(merge, RANGES))
 
 
+def gathered_ranges(ranges: DataFrame) -> DataFrame:
+    """(doc_id, text_key, ranges): each range once, though rows that are equal throughout have given it many times."""
+    return ranges.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Whole texts as UTF-8 without the bytes that a ``length``-byte string covers which also starts anywhere else.
 
@@ -289,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
     ranges = repeated_ranges(rows, length, anchor)
-    gathered = stored(ranges.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+    gathered = stored(gathered_ranges(ranges))
     met = rows.alias("d").join(gathered.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

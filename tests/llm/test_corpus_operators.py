@@ -269,6 +269,26 @@ def test_repeats_equal_brute_force(spark, monkeypatch, shard_blocks, piece):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter((row[0], *e) for row, e in zip(rows, expected, strict=True))
 
 
+def test_equal_rows_stay_linear(spark):
+    rng = random.Random(3)
+    shared = " ".join(words(rng, 60))
+    text = " ".join(words(rng, 40)) + shared + " ".join(words(rng, 40))
+    rows = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(6, "x" + shared + "y"), (None, text)], "doc_id long, text string"))
+    own = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("text"))
+    most = suffixes.gathered_ranges(suffixes.repeated_ranges(own)).agg(F.max(F.size("ranges"))).first()[0]
+    assert most < len(text)
+    found = suffixes.digest(suffixes.remove_repeats(rows)).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {(r.doc_id, r.n_removed, r.n_spans, r["count"]) for r in found} == {(5, len(text), 1, 20_000), (None, len(text), 1, 1), (6, len(shared), 1, 1)}
+
+
+def test_blocks_that_differ_differ_in_the_check():
+    """Texts on which a polynomial hash modulo 2^64 collides for any odd base: the Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    a, b = (np.frombuffer(bytes(97 + (x ^ flip) for x in bits), np.uint8) for flip in (0, 1))
+    hashes = [suffixes.span_keys(x, np.array([0]), np.array([2048])) for x in (a, b)]
+    assert hashes[0][0] == hashes[1][0] and hashes[0][1] != hashes[1][1]
+
+
 def test_suffix_array_and_prefixes_equal_plain():
     rng = random.Random(9)
     for _ in range(40):
@@ -337,6 +357,27 @@ def test_rounding_keeps_expectations(spark, monkeypatch):
         assert abs(sum(rows[r.row_id][3] * r.p for r in found) - 0.3 * sum(r[3] for r in rows)) <= 15
 
 
+def test_equal_rows_are_one_unit(spark, monkeypatch):
+    most = []
+    rows = spark.range(100_000, numPartitions=8).select(F.col("id").alias("row_id"), F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(7).cast("long").alias("size"), F.lit(0.37).alias("p"))
+    rows = rows.withColumn("row_id", F.monotonically_increasing_id()).unionByName(spark.createDataFrame([(-1 - i, i, None, 3 + i, 0.5) for i in range(50)], "row_id long, doc_id long, source string, size long, p double"))
+    real = mixing._round_units
+    monkeypatch.setattr(mixing, "_round_units", lambda units, *a: (most.append(units.count()), real(units, *a))[1])
+    found = mixing.pivotal_rounding(rows).collect()
+    assert most == [51] and len(found) == len({r.row_id for r in found}) == 100_050
+    taken = [r.p for r in found if r.row_id >= 0]
+    assert set(taken) == {0.0, 1.0} and sum(taken) == 37_000
+    assert abs(sum((3 - 1 - r.row_id) * r.p for r in found if r.row_id < 0) - sum(0.5 * (3 + i) for i in range(50))) <= 5
+
+
+def test_residuals_of_many_chunks_meet_in_the_tree(spark):
+    rows = spark.createDataFrame([(i, i, "s", 20 + i % 3, 0.37) for i in range(3_000)], "row_id long, doc_id long, source string, size long, p double")
+    for chunk in (16, 1_024):  # all of one bin, in several levels
+        found = mixing.pivotal_rounding(rows, chunk=chunk).collect()
+        assert len(found) == 3_000 and {r.p for r in found} == {0.0, 1.0}
+        assert abs(sum((20 + r.row_id % 3) * r.p for r in found) - sum((20 + i % 3) * 0.37 for i in range(3_000))) <= 22
+
+
 # -- the pipeline ------------------------------------------------------------
 
 
