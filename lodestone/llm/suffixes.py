@@ -9,8 +9,8 @@ Neighbouring windows with one anchor form a block.
 2. A block that occurs once, but whose anchor occurs elsewhere, may hold some repeated windows. Such blocks, with one
    copy of each block they could match, are dealt to shards by anchor; a shard's suffix array is built by
    Larsson-Sadakane refinement in numpy, and Kasai's common prefixes of neighbours say which windows are repeated.
-3. Anchors with too many different blocks for one shard are split over several. Every such shard gives the sorted keys
-   of its windows, and the runs are merged by binary search.
+3. Anchors with too many different blocks for one shard are split over several. Every such shard counts its windows, the
+   counts are added up, and the shards merge what is repeated with their own sorted windows by binary search.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ ANCHOR = 100
 PIECE = 4 << 20
 #: Different blocks of one anchor that a shard takes, and bytes of blocks that a shard is meant to hold.
 SHARD_BLOCKS, SHARD_BYTES = 4_096, 2 << 20
-#: Window keys that are merged in one task.
-MERGE_KEYS = 1 << 20
 
 BLOCKS = "doc_id long, text_key long, start long, size int, anchor long, block long, proof long"
 RANGES = "doc_id long, text_key long, start long, stop long"
@@ -243,7 +241,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     shards = int(volume // SHARD_BYTES) + 1
     parts = F.ceil(F.col("kinds") / SHARD_BLOCKS).cast("int")
     shard = F.when(parts > 1, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    dealt = cut.withColumn("parts", parts).withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
+    dealt = cut.withColumn("parts", parts).withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("long"))
     found = stored(dealt.groupBy("shard", "part").applyInArrow(lambda rows: _shard_ranges(rows, length), RANGES))
     return whole.unionByName(found).unionByName(_merged_ranges(dealt.where("parts > 1"), length))
 
@@ -262,45 +260,51 @@ def _range_table(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "text_key", "start", "stop"), columns, strict=True)})
 
 
+def _windows(rows: pa.Table, length: int) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks, and of each of their windows both keys, its block's number and where it starts in it, in order of the keys."""
+    own = rows.select(["doc_id", "text_key", "start", "n", "data"]).to_pylist()
+    found = []
+    for i, row in enumerate(own):
+        at = np.arange(max(len(row["data"]) - length + 1, 0))
+        found.append((*span_keys(np.frombuffer(row["data"], np.uint8), at, at + length), np.full(len(at), i), at))
+    keys, proofs, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((proofs, keys))
+    return own, keys[order], proofs[order], of[order], at[order]
+
+
 def _merged_ranges(dealt: DataFrame, length: int) -> DataFrame:
-    """Windows of anchors that are split over shards: the shards' sorted keys, merged by binary search."""
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("kinds") * 101 / MERGE_KEYS)).cast("int")
-
-    def keys(rows: pa.Table) -> pa.Table:
-        out: dict[str, list] = {k: [] for k in ("anchor", "bucket", "keys", "rows")}
-        own = rows.select(["anchor", "buckets", "doc_id", "text_key", "start", "n", "data"]).to_pylist()
-        found = []
-        for i, row in enumerate(own):
-            at = np.arange(max(len(row["data"]) - length + 1, 0))
-            found.append((*span_keys(np.frombuffer(row["data"], np.uint8), at, at + length), np.full(len(at), i), at))
-        hashes, proofs, of, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(hashes, kind="stable")
-        hashes, proofs, of, at = hashes[order], proofs[order], of[order], at[order]
-        ids = np.array([[r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text_key"], r["start"], r["n"]] for r in own], np.int64)
-        bucket = (hashes % np.uint64(own[0]["buckets"])).astype(np.int64)
-        for b in np.unique(bucket):
-            some = bucket == b
-            out["anchor"].append(own[0]["anchor"])
-            out["bucket"].append(int(b))
-            out["keys"].append(hashes[some].tobytes())
-            out["rows"].append(np.column_stack([ids[of[some]], at[some], proofs[some].view(np.int64)]).astype(np.int64).tobytes())
-        return pa.table({"anchor": pa.array(out["anchor"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "rows": pa.array(out["rows"], pa.binary())})
-
-    def merge(rows: pa.Table) -> pa.Table:
-        runs = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("keys")]
-        merged = np.sort(np.concatenate(runs))
-        met, keys = [np.empty((0, 6), np.int64)], [np.array([], np.uint64)]
-        for run, ids in zip(runs, rows.column("rows"), strict=True):
-            many = np.searchsorted(merged, run, side="right") - np.searchsorted(merged, run, side="left") > 1
-            met.append(np.frombuffer(ids.as_py(), np.int64).reshape(-1, 6)[many])
-            keys.append(run[many])
-        places, keys = np.concatenate(met), np.concatenate(keys).view(np.int64)
-        _, which, times = np.unique(np.column_stack([keys, places[:, 5]]), axis=0, return_inverse=True, return_counts=True)
-        same = places[(times[which.ravel()] > 1) & (places[:, 3] == 1)]
-        return _range_table([(d if d != -(1 << 63) else None, key, start + at, start + at + length) for d, key, start, _, at, _ in same.tolist()])
-
-    runs = dealt.withColumn("buckets", buckets).groupBy("shard", "part").applyInArrow(keys, "anchor long, bucket long, keys binary, rows binary")
-    return stored(runs.groupBy("anchor", "bucket").applyInArrow(merge, RANGES))
+    """Windows of anchors that are split over shards.
+
+    Each shard gives its distinct windows with their counts, Spark adds these up, and a shard gets back, in order, those
+    of its windows that occur twice in all; its own sorted windows are merged with them by binary search. However many
+    blocks share a window, a shard counts it once, so no group grows with a window's occurrences.
+    """
+
+    def counted(key: tuple, rows: pa.Table) -> pa.Table:
+        own, keys, proofs, of, _ = _windows(rows, length)
+        first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (proofs[1:] != proofs[:-1])))
+        times = np.add.reduceat(np.array([r["n"] for r in own], np.int64)[of], first)
+        where = [np.full(len(first), k.as_py(), np.int64) for k in key]
+        return pa.table({n: pa.array(c) for n, c in zip(("shard", "part", "key", "proof", "n"), (*where, keys[first].view(np.int64), proofs[first].view(np.int64), times), strict=True)})
+
+    def ranges(rows: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not rows.num_rows or not repeated.num_rows:
+            return _range_table([])
+        own, keys, proofs, of, at = _windows(rows, length)
+        wanted, proven = (repeated.column(c).to_numpy().view(np.uint64) for c in ("key", "proof"))
+        order = np.argsort(wanted, kind="stable")
+        wanted, proven = wanted[order], proven[order]
+        low, high = (np.searchsorted(wanted, keys, side=s) for s in ("left", "right"))
+        hit = np.zeros(len(keys), bool)
+        for shift in range(int((high - low).max())):  # once, but for windows that only the second key tells apart
+            hit |= (low + shift < high) & (proven[np.minimum(low + shift, len(proven) - 1)] == proofs)
+        met = ((own[i], start) for i, start in zip(of[hit].tolist(), at[hit].tolist(), strict=True))
+        return _range_table([(r["doc_id"], r["text_key"], r["start"] + a, r["start"] + a + length) for r, a in met if r["n"] == 1])
+
+    windows = stored(dealt.groupBy("shard", "part").applyInArrow(counted, "shard long, part long, key long, proof long, n long"))
+    twice = windows.groupBy("key", "proof").agg(F.sum("n").alias("total")).where("total > 1").select("key", "proof")
+    back = windows.select("shard", "part", "key", "proof").join(twice, ["key", "proof"])
+    return stored(dealt.groupBy("shard", "part").cogroup(back.groupBy("shard", "part")).applyInArrow(ranges, RANGES))
 
 
 def gathered_ranges(ranges: DataFrame) -> DataFrame:

@@ -281,6 +281,16 @@ def test_equal_rows_stay_linear(spark):
     assert {(r.doc_id, r.n_removed, r.n_spans, r["count"]) for r in found} == {(5, len(text), 1, 20_000), (None, len(text), 1, 1), (6, len(shared), 1, 1)}
 
 
+def test_a_passage_of_very_many_surroundings_is_counted_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARD_BLOCKS", 20)
+    rng = random.Random(4)
+    shared = " ".join(words(rng, 70))
+    texts = [f"{' '.join(words(rng, 9))} {shared} {' '.join(words(rng, 9))}" for _ in range(300)]
+    found = suffixes.digest(suffixes.remove_repeats(frame(spark, [(i, t, "s", "en") for i, t in enumerate(texts)]))).collect()
+    expected = plain_removal([t.encode() for t in texts], 200)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == Counter((i, *e) for i, e in enumerate(expected))
+
+
 def test_blocks_that_differ_differ_in_the_check():
     """Texts on which a polynomial hash modulo 2^64 collides for any odd base: the Thue-Morse word and its complement."""
     bits = [bin(i).count("1") & 1 for i in range(2048)]
