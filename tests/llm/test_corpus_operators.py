@@ -1,6 +1,7 @@
 """Decontamination, the quality classifier, SimHash groups, suffix arrays, mixing and the pipeline against plain versions."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -98,18 +99,55 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, block_words):
 # -- quality -----------------------------------------------------------------
 
 
-def test_model_sums_to_one(spark):
+def plain_kneser_ney(texts):
+    """The log-probability of a text by the interpolated modified Kneser-Ney formulas, on tuples of words."""
+    grams = Counter(tuple(padded[i - 2 : i + 1]) for t in texts for padded in [["<s>", "<s>", *t.split()]] for i in range(2, len(padded)))
+    levels = {3: grams}
+    for n in (2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discounts, totals, held = {}, {}, {}
+    for n, level in levels.items():
+        n1, n2, n3, n4 = (sum(c == k for c in level.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discounts[n] = [0.5] * 3 if not (n1 and n2 and n3) else [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        for g, c in level.items():
+            totals[g[:-1]] = totals.get(g[:-1], 0) + c
+            held[g[:-1]] = held.get(g[:-1], 0) + discounts[n][min(c, 3) - 1]
+
+    def probability(gram):
+        if not gram:
+            return 1 / (len(levels[1]) + 1)
+        lower, context = probability(gram[1:]), gram[:-1]
+        if context not in totals:
+            return lower
+        c = levels[len(gram)].get(gram, 0)
+        return (max(c - discounts[len(gram)][min(c, 3) - 1], 0) if c else 0) / totals[context] + held[context] / totals[context] * lower
+
+    def score(text):
+        padded = ["<s>", "<s>", *text.split()]
+        return sum(math.log(probability(tuple(padded[i - 2 : i + 1]))) for i in range(2, len(padded)))
+
+    return score
+
+
+@pytest.mark.parametrize(("hot", "bits", "piece"), [(1 << 17, 26, 1 << 20), (0, 12, 1 << 20), (7, 26, 40)])
+def test_scores_equal_plain_kneser_ney(spark, monkeypatch, hot, bits, piece):
+    monkeypatch.setattr(quality, "FILTER_BITS", bits)
+    monkeypatch.setattr(quality, "PIECE", piece)
+    monkeypatch.setattr(quality, "GROUP_BYTES", 500)
     rng = random.Random(0)
-    common = [f"c{i}" for i in range(12)]
-    sample = spark.createDataFrame([(i, " ".join(rng.choices(common, k=30) + [f"rare{i}"])) for i in range(40)], "__id long, text string")
-    model = quality.train(sample)
-    vocabulary = ["c0 c1 " + w for w in [*model.words]]
-    last = np.exp([model.score([t])[0][0] - model.score(["c0 c1"])[0][0] for t in vocabulary])
-    unknown = np.exp(model.score(["c0 c1 never"])[0][0] - model.score(["c0 c1"])[0][0] - model.spelling)
-    start = np.exp(model.unigrams[quality._START])
-    assert 0.97 < last.sum() + unknown + start < 1.03
-    sums, counts = model.score(["", "c1 c2", "c1 c2"])
-    assert list(counts) == [0, 2, 2] and sums[0] == 0 and sums[1] == sums[2] < 0
+    speak = lambda n: " ".join(f"c{int(rng.paretovariate(0.7))}" for _ in range(n))
+    sample = [speak(rng.randrange(40)) for _ in range(60)]
+    texts = [*(speak(rng.randrange(60)) for _ in range(40)), *sample[:9], "", None, "é never seen", "c1", " c1\tc1  c2\n", "c1 " * 200]
+    docs = spark.createDataFrame([(i if i != 3 else None, "en", t) for i, t in enumerate(texts)], "__id long, __lang string, text string")
+    model = quality.train(spark.createDataFrame(list(enumerate(sample)), "__id long, text string"))
+    found = quality.perplexities(docs, model, hot=hot).collect()
+    score = plain_kneser_ney(sample)
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r["__id"] if r["__id"] is not None else 3] or ""
+        assert r["__n"] == len(text.split())
+        assert r["__log"] == pytest.approx(score(text), abs=1e-5 * (1 + r["__n"]))
 
 
 def test_junk_goes_and_clean_stays(spark):
