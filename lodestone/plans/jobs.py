@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.functions import identity
 from lodestone.session import table
 from lodestone.sources.binders import NOW, events, items, with_tables
 from lodestone.streaming import jobs
@@ -112,14 +113,29 @@ def reusable_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier("content_id", 1).unionByName(tier("url", 2)).groupBy("id").agg(F.min_by("asset", F.struct("tier", "at", "asset")).alias("asset"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'subject' WHEN c_custkey % 3 = 0 AND c_acctbal > 0 THEN 'bind' WHEN c_custkey % 3 = 0 THEN 'refuse' ELSE 'create' END AS outcome,
-CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false WHEN c_custkey % 4 = 2 THEN lower('TRUE') = 'true' ELSE false END AS verified FROM customer""")
+_CLAIMS = {"1-URGENT": "true", "2-HIGH": '"true"', "3-MEDIUM": '"false"', "4-NOT SPECIFIED": '"2026-01-01T00:00:00Z"'}
+
+
+@query("""WITH accounts AS (SELECT c_custkey AS account_id, lower(c_name) AS email, CASE WHEN c_acctbal >= 4000 THEN 'sub-' || c_custkey END AS subject FROM customer),
+gone AS (SELECT 'sub-' || c_custkey AS subject FROM customer WHERE c_acctbal < -900),
+logins AS (SELECT o_orderkey AS login_id, 'sub-' || o_custkey AS subject, CASE WHEN o_orderstatus = 'P' THEN 'team-' || c_nationkey ELSE lower(c_name) END AS email,
+  coalesce(o_orderpriority IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED'), false) AS proven FROM orders JOIN customer ON o_custkey = c_custkey),
+met AS (SELECT l.*, g.subject IS NOT NULL AS gone, k.account_id AS own, h.account_id AS holder, h.subject AS held_by FROM logins l LEFT JOIN gone g ON l.subject = g.subject
+  LEFT JOIN accounts k ON l.subject = k.subject LEFT JOIN accounts h ON l.email = h.email),
+judged AS (SELECT *, CASE WHEN gone THEN 'deleted' WHEN own IS NOT NULL THEN 'already bound' WHEN held_by IS NOT NULL THEN 'refused' WHEN holder IS NOT NULL AND NOT proven THEN 'unproven' END AS fixed FROM met),
+firsts AS (SELECT email, min(login_id) AS first_id, arg_min(subject, login_id) AS first_subject FROM judged WHERE fixed IS NULL GROUP BY email),
+done AS (SELECT j.*, coalesce(fixed, CASE WHEN first_subject <> subject THEN 'refused' WHEN first_id <> login_id THEN 'already bound' WHEN holder IS NOT NULL THEN 'bound' ELSE 'created' END) AS outcome FROM judged j LEFT JOIN firsts f ON j.email = f.email)
+SELECT login_id, outcome, CASE outcome WHEN 'already bound' THEN coalesce(own, holder) WHEN 'bound' THEN holder END AS account_id FROM done""")
 def resolve_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A known subject first, then a verified address of an unbound account, else a new one."""
-    k = F.col("c_custkey")
-    outcome = F.when(k % 5 == 0, "subject").when((k % 3 == 0) & (F.col("c_acctbal") > 0), "bind").when(k % 3 == 0, "refuse").otherwise("create")
-    claim = F.when(k % 4 == 0, "true").when(k % 4 == 1, "false").when(k % 4 == 2, "TRUE")
-    return table(spark, sf_dir, "customer").select("c_custkey", outcome.alias("outcome"), F.coalesce(F.lower(claim) == "true", F.lit(False)).alias("verified"))
+    """Orders as logins of their customers, some by a shared address; customers as accounts, those of low balance without a subject."""
+    who = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", F.lower("c_name").alias("email"))
+    subject = lambda c: F.concat(F.lit("sub-"), F.col(c).cast("string"))
+    accounts = who.select(F.col("c_custkey").alias("account_id"), "email", F.when(F.col("c_acctbal") >= 4000, subject("c_custkey")).alias("subject"))
+    claims = F.create_map(*(F.lit(x) for pair in _CLAIMS.items() for x in pair))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").join(who, F.col("o_custkey") == F.col("c_custkey"))
+    address = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("team-"), F.col("c_nationkey").cast("string"))).otherwise(F.col("email"))
+    logins = orders.select(F.col("o_orderkey").alias("login_id"), subject("o_custkey").alias("subject"), address.alias("email"), F.try_element_at(claims, F.col("o_orderpriority")).alias("claim"))
+    return identity.resolve_logins(logins, accounts, who.where("c_acctbal < -900").select(subject("c_custkey").alias("subject")))
 
 
 @query(f"""{with_tables('items')} SELECT id, CASE WHEN edited_title IS NOT NULL THEN 'confirm' WHEN status = 'pending' THEN 'busy' WHEN id % 10 = 3 THEN 'quota' ELSE 'queued' END AS regenerate,

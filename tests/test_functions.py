@@ -20,15 +20,48 @@ from lodestone.functions import clock, identity, text
         (None, None),
     ],
 )
-def test_canonical_url(url, expected):
-    assert identity.describe_url(url)[0] == expected
+def test_canonical_url(spark, url, expected):
+    assert parts(spark, url).canonical == expected
 
 
-def test_credentials_and_safety():
-    assert identity.describe_url("https://a.org/?api_key=1")[2]
-    assert not identity.describe_url("https://a.org/?q=1")[2]
-    assert identity.describe_url("https://a.org/")[3]
-    assert not any(identity.describe_url(u)[3] for u in ("http://127.0.0.1/", "http://localhost/", "https://u:p@a.org/", "http://a.org:99/"))
+def parts(spark, url):
+    return spark.createDataFrame([(url,)], "url string").select(identity.url_parts("url").alias("p")).first().p
+
+
+def test_credentials_and_safety(spark):
+    assert parts(spark, "https://a.org/?api_key=1").has_credentials and parts(spark, "https://u:p@a.org/").has_credentials
+    assert not parts(spark, "https://a.org/?q=1").has_credentials
+    safe = ["https://a.org/", "a.org", "http://8.8.8.8/", "http://a-b.example.com.:443/x", "http://[2606:4700::1111]/", "https://deadbeef.org"]
+    unsafe = [
+        "http://127.0.0.1/", "http://localhost/", "http://u:p@a.org/", "http://a.org:99/", "http://127.1/", "http://0x7f.0.0.1/", "http://2130706433/",
+        "http://[::ffff:8.8.8.8]/", "http://[::1]/", "http://[fe80::1]/", "http://[2001:db8::1]/", "http://a_b.c/", "http://intranet/", "http://x.local/", "http://x.localhost./",
+        "http://10.0.0.1/", "http://172.31.0.1/", "http://192.168.1.1/", "http://169.254.169.254/", "http://100.64.0.1/", "http://240.0.0.1/", "ftp://a.org/", "javascript://a.org/", "", None,
+    ]
+    rows = spark.createDataFrame([(u, True) for u in safe] + [(u, False) for u in unsafe], "url string, ok boolean")
+    assert [r.url for r in rows.where(identity.url_parts("url")["safe"] != F.col("ok")).collect()] == []
+
+
+def test_queries_are_put_in_one_form(spark):
+    assert parts(spark, "http://a.org/x?b=%C3%A9+1&a=~*&c=%zz&b=2&e").canonical == "https://a.org/x?a=~%2A&b=2&b=%C3%A9+1&c=%25zz&e="
+    assert parts(spark, "https://www.youtube.com/watch?list=1&v=abcdefghijk").platform_id == "youtube:abcdefghijk"
+    assert parts(spark, "https://youtube.com/watch?v=short").platform_id is None
+    assert parts(spark, "https://a.org:80").canonical == "https://a.org/"
+
+
+def test_claims_fail_closed(spark):
+    cases = {"true": True, "false": False, '"TRUE"': True, '" no "': False, '"unverified"': False, '"2026-01-01T00:00:00Z"': True, "1": False, "null": False, "{}": False, '""': False, None: False}
+    rows = spark.createDataFrame([(c, v) for c, v in cases.items()], "claim string, v boolean")
+    assert rows.where(identity.email_verified(F.col("claim")) != F.col("v")).count() == 0
+
+
+def test_logins_reach_one_account(spark):
+    logins = [(1, "s1", "a", "false"), (2, "new", "legacy", "false"), (3, "new", "legacy", "true"), (4, "other", "legacy", "true"), (5, "s9", "a", "true"), (6, "n1", "fresh", None), (7, "n2", "fresh", "true"), (8, "n1", "fresh", None), (9, "gone", "x", "true"), (10, None, "y", "true"), (11, "new", "legacy", "true")]
+    accounts = spark.createDataFrame([(100, "a", "s1"), (101, "legacy", None)], "account_id long, email string, subject string")
+    found = identity.resolve_logins(spark.createDataFrame(logins, "login_id long, subject string, email string, claim string"), accounts, spark.createDataFrame([("gone",)], "subject string"))
+    assert {r.login_id: (r.outcome, r.account_id) for r in found.collect()} == {
+        1: ("already bound", 100), 2: ("unproven", None), 3: ("bound", 101), 4: ("refused", None), 5: ("refused", None), 6: ("created", None), 7: ("refused", None),
+        8: ("already bound", None), 9: ("deleted", None), 10: ("no subject", None), 11: ("already bound", 101),
+    }
 
 
 def test_normalized_text():
