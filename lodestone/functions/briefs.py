@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -98,28 +99,70 @@ def flattened(texts: pd.Series) -> pd.Series:
 
 
 def tolerant_object(text: str | None) -> str | None:
-    """The JSON object in a model's answer, or null: within prose or fences, encoded twice, or cut off."""
-    body = text or ""
-    start = body.find("{")
-    if body.strip().startswith('"'):
+    """The JSON object in a model's answer, or null: within prose or fences, encoded twice, or cut off.
+
+    The first object that says anything counts; braces that open no object are prose. One that the text ends within is
+    closed where it stands, else after its last whole part.
+    """
+    body, empty = text or "", None
+    while body.lstrip().startswith('"'):
         try:
-            return tolerant_object(json.loads(body))
+            inner = json.loads(body)
         except (ValueError, RecursionError):
-            pass
-    if start < 0:
-        return None
-    decoder = json.JSONDecoder()
-    for end in [None, *range(len(body), start, -1)][: 4096 + 1]:
-        piece = body[start:end]
-        for ending in ("", "}", "]}", '"}', '"]}', "}}", '"}}', "]}}"):
-            try:
-                value, _ = decoder.raw_decode(piece.rstrip().rstrip(",") + ending)
-            except ValueError:
-                continue
-            return json.dumps(value, ensure_ascii=False) if isinstance(value, dict) else None
+            break
+        if not isinstance(inner, str) or inner == body:
+            return None
+        body = inner
+    decoder, at = json.JSONDecoder(), 0
+    while found := _OBJECT.search(body, at):
+        at = found.start()
+        try:
+            value, end = decoder.raw_decode(body, at)
+        except RecursionError:
+            return None
+        except ValueError:
+            value, end = _closed(body, at), at + 1
+        if value:
+            return json.dumps(value, ensure_ascii=False)
+        if value is not None:
+            empty = "{}"
+        at = end
+    return empty
+
+
+_OBJECT = re.compile(r'\{\s*["}]')
+_STEP = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}\[\],]', re.S)
+
+
+def _closed(body: str, start: int) -> dict | None:
+    """The object from ``start`` on if the text ends within it, else None."""
+    closers, whole, quote = [], None, ""
+    for step in _STEP.finditer(body, start):
+        sign = step.group()
+        if sign[0] == '"':
+            quote = "" if _STRING.fullmatch(sign) else '"'
+        elif sign in "{[":
+            closers.append("}" if sign == "{" else "]")
+            whole = (step.end(), "".join(reversed(closers)))
+        elif sign == ",":
+            whole = (step.start(), "".join(reversed(closers)))
+        elif not closers or closers.pop() != sign or not closers:
+            return None
+    ends = "".join(reversed(closers))
+    rest = body[start:].rstrip()
+    half = bool(quote) and (len(rest) - len(rest.rstrip("\\"))) % 2 == 1  # an escape that lacks its second character
+    for piece in (rest[: len(rest) - half] + quote + ends, body[start : whole[0]] + whole[1]):
+        try:
+            value = json.loads(piece)
+        except (ValueError, RecursionError):
+            continue
+        return value if isinstance(value, dict) else None
     return None
 
 
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+
+
 @F.pandas_udf(T.StringType())
 def json_object(texts: pd.Series) -> pd.Series:
     return texts.map(tolerant_object)

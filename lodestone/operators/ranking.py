@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +22,67 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot / size)
 
 
+def exact_neighbours(queries: DataFrame, rows: DataFrame, n: int, block: int = 4_096) -> DataFrame:
+    """(query_id, id, cosine, rank): the n nearest rows (id, vector) of each query (query_id, vector), ties by id.
+
+    The query set is taken in blocks of bounded size, each of which goes to every task as one matrix. A task multiplies
+    it with its rows a slice at a time and keeps the n best of each query, so what is merged by query afterwards is n
+    rows a task and query. Cosines have six decimals. Vectors of another width, of length zero or null match nothing.
+    """
+    count = queries.count()
+    blocks, out = max(1, -(-count // block)), []
+    for number in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).where("vector is not null").select("query_id", "vector").toArrow()
+        out.append(_nearest(rows, part.column("query_id").to_numpy(), [np.array(v, float) for v in part.column("vector").to_pylist()], n))
+    scored = out[0]
+    for more in out[1:]:
+        scored = scored.unionByName(more)
+    return top_rows(scored, "query_id", "cosine", ["id"], n)
+
+
+def _nearest(rows: DataFrame, ids: np.ndarray, vectors: list[np.ndarray], n: int, rows_at_once: int = 512) -> DataFrame:
+    """The best n rows of each query within each task."""
+    width = len(vectors[0]) if vectors else 0
+    usable = [i for i, v in enumerate(vectors) if len(v) == width and np.linalg.norm(v) > 0]
+    matrix = np.array([vectors[i] / np.linalg.norm(vectors[i]) for i in usable]).reshape(len(usable), width)
+    shared = rows.sparkSession.sparkContext.broadcast((ids[usable], matrix))
+
+    def best(found: list[tuple]) -> tuple:
+        query, row, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((row, -score, query))
+        query, row, score = query[order], row[order], score[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.array([], np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        return query[place < n], row[place < n], score[place < n]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = shared.value
+        floor = np.full(len(names), -np.inf)
+        kept, held = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.int64))], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(names) else 0, rows_at_once):
+                part = batch.slice(start, rows_at_once)
+                own, vectors = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+                sizes = np.linalg.norm(vectors, axis=1)
+                own, vectors = own[sizes > 0], vectors[sizes > 0] / sizes[sizes > 0, None]
+                scores = np.rint(queries @ vectors.T * 1e6).astype(np.int64)
+                query, at = np.nonzero(scores >= floor[:, None])
+                kept.append((query, own[at], scores[query, at]))
+                held += len(query)
+                if held > 4 * n * len(names) or floor[0] == -np.inf:
+                    kept = [best(kept)]
+                    held = len(kept[0][0])
+                    full = np.bincount(kept[0][0], minlength=len(names)) == n
+                    worst = np.zeros(len(names), np.int64)
+                    worst[kept[0][0]] = kept[0][2]  # the last of each query is its worst
+                    floor = np.where(full, worst, -np.inf)
+        query, row, score = best(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.int64()), pa.array(row, pa.int64()), pa.array(score / 1e6, pa.float64())], ["query_id", "id", "cosine"])
+
+    own = rows.where((F.size("vector") == width) & ~F.exists("vector", lambda x: x.isNull())).select("id", "vector")
+    return own.mapInArrow(search, "query_id long, id long, cosine double")
+
+
 def recency(created: Column, now: Column) -> Column:
     """1 for a save of this moment, halved every thirty days; 0 without a time."""
     days = F.greatest((now - created) / 86_400.0, F.lit(0.0))

@@ -99,7 +99,7 @@ def _case(hay: str, families: dict[str, list[str]]) -> str:
 CASE {_case("lower(coalesce(title, '') || ' ' || search_text)", text.CATEGORY_WORDS)} ELSE 'article' END AS category, CASE {_case("lower(search_text)", text.INTENT_PHRASES)} END AS intent FROM items""")
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X24, X25, X27, Q8."""
-    return items(spark, sf_dir).select("id", text.profile(F.col("title"), F.col("search_text")).alias("profile"), text.guess_category(F.col("title"), F.col("search_text")).alias("category"), text.infer_intent(F.col("search_text")).alias("intent"))
+    return text.classified(items(spark, sf_dir), "id", "title", "search_text")
 
 
 @query(r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM documents),
@@ -130,7 +130,7 @@ def numbered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose of captured texts, empty for what isn't usable."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Title: x\nLog in\n[home](https://a.b/c) "), "text").alias("raw"))
-    return rows.select("doc_id", text.clean_source_text(text.usable_text(F.col("raw"))).alias("plain"))
+    return rows.select("doc_id", text.clean_source(text.usable_text(F.col("raw"))).alias("plain"))
 
 
 @query(rf"""{with_tables("items")} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(topics, tools, ['saved', 'The ' || category]), lambda t: lower(t)), lambda t: t <> 'saved' AND NOT starts_with(t, 'the ')))), '|') AS tags FROM items""")

@@ -107,10 +107,21 @@ def reusable_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, i = items(spark, sf_dir), F.col("id")
     visibility = F.when(i % 3 == 0, "PUBLIC").when(i % 3 == 1, "PRIVATE").otherwise("UNKNOWN")
     assets = own.where("content_id is not null").select("content_id", "url", visibility.alias("visibility"), F.col("user_id").alias("owner"), ((i % 2 != 0) | (i % 4 == 0)).alias("complete"), F.col("created_s").alias("at"), i.alias("asset"))
-    may = ((F.col("visibility") == "PUBLIC") & F.col("complete")) | ((F.col("visibility") != "PUBLIC") & (F.col("owner") == F.col("user_id")))
     asks = own.select("id", "user_id", "content_id", "url")
-    tier = lambda key, n: asks.join(assets.drop(*({"content_id", "url"} - {key})), key).where(may).select("id", "asset", "at", F.lit(n).alias("tier"))
-    return tier("content_id", 1).unionByName(tier("url", 2)).groupBy("id").agg(F.min_by("asset", F.struct("tier", "at", "asset")).alias("asset"))
+    open_, mine = (F.col("visibility") == "PUBLIC") & F.col("complete"), F.col("visibility") != "PUBLIC"
+    earliest = F.min(F.struct("at", "asset"))
+
+    def tier(key: str, n: int) -> list:
+        """The earliest public asset of a key and the earliest one of each owner: two equi-joins, a row a key each."""
+        public = assets.where(open_).groupBy(key).agg(earliest.alias(f"public_{n}"))
+        private = assets.where(mine).groupBy(key, F.col("owner").alias("user_id")).agg(earliest.alias(f"private_{n}"))
+        return [(public, [key]), (private, [key, "user_id"])]
+
+    for n, key in ((1, "content_id"), (2, "url")):
+        for side, on in tier(key, n):
+            asks = asks.join(side, on, "left")
+    best = F.coalesce(F.least("public_1", "private_1"), F.least("public_2", "private_2"))
+    return asks.select("id", best["asset"].alias("asset")).where("asset is not null")
 
 
 _CLAIMS = {"1-URGENT": "true", "2-HIGH": '"true"', "3-MEDIUM": '"false"', "4-NOT SPECIFIED": '"2026-01-01T00:00:00Z"'}

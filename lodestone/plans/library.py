@@ -142,8 +142,8 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{with_tables('items', 'memories')} SELECT i.id, i.user_id, m.user_note FROM items i JOIN memories m ON i.content_id = m.content_id AND i.user_id = m.user_id AND i.id = m.memory_of")
 def memory_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite key keeps notes with their author."""
-    own = items(spark, sf_dir).select("id", "user_id", "content_id")
-    return own.join(memories(spark, sf_dir), ["content_id", "user_id"]).where("id = memory_of").select("id", "user_id", "user_note")
+    notes = memories(spark, sf_dir).select("content_id", "user_id", F.col("memory_of").alias("id"), "user_note")
+    return items(spark, sf_dir).select("id", "user_id", "content_id").join(notes, ["content_id", "user_id", "id"]).select("id", "user_id", "user_note")
 
 
 @query(f"""{ITEMS}, copies AS (SELECT content_id, count(*) AS n, min(created_s) AS first_s FROM items WHERE content_id IS NOT NULL GROUP BY content_id)
@@ -406,8 +406,9 @@ SELECT id, arg_max(asset, (coalesce(processed_s, -1), asset)) AS asset FROM cach
 def evidence_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's newest acceptable evidence, or null."""
     own = items(spark, sf_dir)
-    assets = own.where("status = 'ready' and brief_source = 'model'").select("content_id", F.col("id").alias("asset"), F.col("opened_s").alias("processed_s"))
-    return own.select("id", "content_id").join(assets, "content_id", "left").groupBy("id").agg(F.max_by("asset", F.struct(F.coalesce("processed_s", F.lit(-1)), "asset")).alias("asset"))
+    newest = F.max_by("id", F.struct(F.coalesce("opened_s", F.lit(-1)), "id")).alias("asset")
+    assets = own.where("status = 'ready' and brief_source = 'model'").groupBy("content_id").agg(newest)
+    return own.select("id", "content_id").join(assets, "content_id", "left").select("id", "asset")
 
 
 @query("""WITH q AS (SELECT event_id AS id, user_id, at_s FROM (SELECT *, floor(epoch(ts))::BIGINT AS at_s FROM events) WHERE event_type = 'error'), done AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS done_s FROM events WHERE event_type = 'purchase' GROUP BY user_id)

@@ -124,24 +124,8 @@ COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (s
 @query(f"SELECT query_id, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {COS} AS cosine FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20 against all, in blocks of the query set."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return exact_neighbours(rows.where("vec_id % 20 = 0"), rows, 10)
-
-
-#: Query vectors that one pass over the corpus takes along (512 bytes each at 64 dimensions).
-QUERY_BLOCK = 4_096
-
-
-def exact_neighbours(queries: DataFrame, rows: DataFrame, n: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, cosine, rank): the n nearest rows of each query, the query set taken in blocks of bounded size."""
-    count = queries.count()
-    blocks, out = -(-max(count, 1) // block), None
-    for number in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-        scored = rows.crossJoin(F.broadcast(part)).select("query_id", F.col("vec_id").alias("id"), F.round(ranking.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine"))
-        top = ranking.top_rows(scored.where("cosine is not null"), "query_id", "cosine", ["id"], n)
-        out = top if out is None else out.unionByName(top)
-    return out
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return ranking.exact_neighbours(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), rows, 10)
 
 
 RANKED = f"""ranked AS (SELECT query_id, list, id, rank, raw, {EPOCH} + id * {STEP} AS created_s, CASE WHEN id % 9 <> 0 THEN 'c' || (id % 13) END AS content_id FROM (
@@ -207,10 +191,12 @@ r AS (SELECT query_id, doc_id AS id, position FROM (SELECT *, row_number() OVER
 best AS (SELECT g.query_id, min(position) AS position FROM g LEFT JOIN r ON g.query_id = r.query_id AND g.id = r.id GROUP BY g.query_id)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN position <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / position, 0)), 6) AS mrr FROM best""")
 def recall_and_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage are its gold; candidates share a long word before texts are compared."""
-    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split("text", " ")[1].alias("w"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    gold = docs.join(passages, "w").where(F.contains("text", F.col("passage"))).select("query_id", "id").distinct()
+    """Documents that hold a passage are its gold; candidates share its second word before texts are fetched."""
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    words = docs.select("id", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
+    pairs = words.join(passages.select("query_id", F.split("passage", " ")[1].alias("w")), "w").select("query_id", "id").distinct()
+    gold = docs.join(pairs, "id").join(passages, "query_id").where(F.contains("text", F.col("passage"))).select("query_id", "id").distinct()
     return ranking.evaluate(_bag(spark, sf_dir).withColumnRenamed("doc_id", "id"), gold)
 
 

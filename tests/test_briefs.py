@@ -14,6 +14,17 @@ from lodestone.functions import briefs
         ('"{\\"a\\": 1}"', '{"a": 1}'),
         ('{"a": {"b": "cut o', '{"a": {"b": "cut o"}}'),
         ('{"a": [1, 2', '{"a": [1, 2]}'),
+        ('say {x} then {"a": 1}', '{"a": 1}'),
+        ('say {x then {"a": 1}', '{"a": 1}'),
+        ('fill {} with {"a": 1}', '{"a": 1}'),
+        ("only {}", "{}"),
+        ('{"a": {"b": 1}, "c": "cut', '{"a": {"b": 1}, "c": "cut"}'),
+        ('{"a": 1, "b": tru', '{"a": 1}'),
+        ('{"a": {"b', '{"a": {}}'),
+        ('{"a": "x\\\\', '{"a": "x\\\\"}'),
+        ('{"a": "say \\"hi\\"", "b": [{"c": "d}"}, {"e": 1', '{"a": "say \\"hi\\"", "b": [{"c": "d}"}, {"e": 1}]}'),
+        ('{"a": "' + "x" * 100_000, '{"a": "' + "x" * 100_000 + '"}'),
+        ('{"a": 1} ' + "tail } " * 10_000, '{"a": 1}'),
         ("no json", None),
         ("", None),
         (None, None),

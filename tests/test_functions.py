@@ -1,9 +1,11 @@
 """Literal cases of the identity, text and time functions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import clock, identity, text
+from lodestone.operators import ranking
 
 
 @pytest.mark.parametrize(
@@ -106,6 +108,44 @@ def test_tags_profile_intent(spark):
     assert text.close_tags(["kubernetes"], ["kubernets", "the"]) == ["kubernets", "the", "kubernetes"]
 
 
+def test_sources_are_cleaned(spark):
+    clean = lambda t, **k: one(spark, text.clean_source(F.col("t"), **k), t=t)
+    page = "Title: x\nMarkdown Content:\n# Heading\n![i](u) Real [prose](https://a.b) here\nLog in\n12K views · 3 likes\n5 comments | Kept words\nAnn sent you a reel\n[1]: https://x.y z\nPublic"
+    assert clean(page) == "Heading\nReal prose here\nKept words\nPublic"
+    assert clean(page + "\nOriginal audio").endswith("Kept words")  # a social wrapper's own word goes too
+    assert clean("My page | Facebook", title=True) == "My page" and clean("Instagram", title=True) == ""
+    usable = lambda t, **k: one(spark, text.usable_text(F.col("t"), **k), schema="t string", t=t)
+    assert [usable(t) for t in (None, " ", "Link: https://a.b/c", "please verify you are human", "Target URL returned error 404")] == [""] * 5
+    assert usable("Target URL returned error 503") is None
+    assert usable("Log in\nonly four words here") == "" and usable("Log in\nnow these are five words") == "now these are five words"
+    assert usable("short text") == "short text" and usable("short text", video=True) == ""
+
+
+def test_neighbours_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = {i: rng.integers(-3, 4, 6).astype(float) for i in range(700)}  # many ties
+    vectors |= {700: np.zeros(6), 701: np.ones(3)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + [(702, None)], "id long, vector array<double>")
+    queries = rows.where("id % 9 = 0").withColumnRenamed("id", "query_id")
+    for block in (4_096, 20):
+        found = {}
+        for r in ranking.exact_neighbours(queries, rows, 7, block).collect():
+            found.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.cosine)
+        usable = {i: v / np.linalg.norm(v) for i, v in vectors.items() if len(v) == 6 and v.any()}
+        for q in (i for i in usable if i % 9 == 0):
+            best = sorted((-round(float(usable[q] @ v), 6), i) for i, v in usable.items())[:7]
+            assert [(i, -c) for c, i in best] == [found[q][k] for k in range(1, 8)]
+        assert len(found) == sum(i % 9 == 0 for i in usable)
+
+
+def test_misspelt_terms_meet_the_owners_tags(spark):
+    tags = spark.createDataFrame([(1, t) for t in ("kubernetes", "zebra", "kubernetes")] + [(2, "zebras")], "owner long, tag string")
+    queries = spark.createDataFrame([(1, 1, ["kubernets", "the"]), (2, 2, ["zebrs"]), (3, 3, ["alone"])], "owner long, query_id long, terms array<string>")
+    found = {r.query_id: r.terms for r in text.typo_expand(queries, tags).collect()}
+    assert found == {1: ["kubernets", "the", "kubernetes"], 2: ["zebrs", "zebras"], 3: ["alone"]}
+    assert {r.query_id: r.terms for r in text.typo_expand(queries, tags, most=0).collect()}[1] == ["kubernets", "the"]
+
+
 def test_clock(spark):
     assert [one(spark, clock.backoff(F.col("n")), n=n) for n in (1, 2, 8, 9, 99)] == [2, 4, 256, 300, 300]
     thursday = 1_767_225_600  # 2026-01-01
