@@ -1,10 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is a query set that is taken in blocks of bounded size against all documents. A block's word 3-grams are
-broadcast; one map over the documents finds where they occur and keeps, for each place, the words around it. The places
-give each gram's document frequency over the whole corpus; grams that are rare, judged within their item, are seeds.
-Places are aligned with their item, so copies with words changed, added or left out are scored as well. Places without a
-seed are aligned too: what is copied often is not rare. Only those are left out whose words can't reach the score.
+The benchmark is a query set that is taken in blocks of bounded size against all documents. A first, narrow pass counts
+in how many documents each word 3-gram of a block occurs. Grams that are rare, judged within their item, are seeds. A
+second pass looks up the grams that may lead to an item, and aligns the places they lead to with it, so copies with words
+changed, added or left out are scored as well.
+
+What is copied often is not rare, so common grams lead to their items too, as long as few items share them. Grams that
+many items share (stock phrases) lead to an item only as far as its other grams leave so many of its words that a copy of
+these alone could reach the score. So what a document is held against does not grow with the items that share a phrase.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .words import Words, chunks, lowered
+from .words import Words, chunks, lowered, mixed
 
 GRAM = 3
 #: An alignment counts if it reaches this share of the score of the item aligned with itself.
@@ -31,7 +34,6 @@ SHARED_ITEMS, LEAST_SEEDS = 8, 3
 #: Words of benchmark items that are broadcast together.
 BLOCK_WORDS = 1_000_000
 
-PLACES = "doc_id long, item int, first long, grams array<int>, words array<long>"
 RESULT = "doc_id long, item_id long, score double, n_seeds int, start_word long, end_word long"
 
 
@@ -47,9 +49,18 @@ class _Items:
         self.grams, self.first = np.unique(pairs[:, 0], return_index=True)  # a gram's items: item[first[g]:first[g + 1]]
         self.item = pairs[:, 1].astype(np.int64)
         self.first = np.append(self.first, len(pairs))
+        self.length = np.array([len(w) for w in self.words], np.int64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[(self.grams >> np.uint64(44)).astype(np.int64)] = True
 
+    def gram_places(self, item: int) -> dict[int, np.ndarray]:
+        """By gram, where an item's words are that it covers."""
+        value = self.words[item][: len(self.words[item]) - GRAM + 1]
+        for i in range(1, GRAM):
+            value = mixed(value * np.uint64(0x9E3779B97F4A7C15) + self.words[item][i : i + len(value)])
+        which = np.searchsorted(self.grams, value)
+        return {int(g): (np.flatnonzero(which == g)[:, None] + np.arange(GRAM)).ravel() for g in np.unique(which)}
+
     def find(self, grams: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of known grams, and which they are."""
         at = np.flatnonzero(self.bits[(grams >> np.uint64(44)).astype(np.int64)] & usable)
@@ -58,29 +69,70 @@ class _Items:
         return at[same], which[same]
 
 
-def _places(block: _Items, ids: list, texts: list[bytes]) -> Iterator[tuple]:
-    words = Words(texts)
-    grams, usable = words.shingles(GRAM)
-    if not len(grams) or not len(block.grams):
-        return
-    at, which = block.find(grams, usable)
-    if not len(at):
-        return
-    counts = block.first[which + 1] - block.first[which]
-    items = block.item[np.repeat(block.first[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    at, which = np.repeat(at, counts), np.repeat(which, counts)
-    order = np.lexsort((at, items, words.doc[at]))
-    at, which, items = at[order], which[order], items[order]
-    docs = words.doc[at]
-    length = np.array([len(w) for w in block.words], np.int64)[items]
-    new = np.ones(len(at), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (at[1:] - at[:-1] > length[1:])
-    first = np.flatnonzero(new)
-    for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
-        doc, item = int(docs[a]), int(items[a])
-        low = max(words.first_word[doc], at[a] - length[a])
-        high = min(words.first_word[doc + 1], at[b - 1] + GRAM + length[a])
-        yield ids[doc], item, int(low - words.first_word[doc]), np.unique(which[a:b]), words.hash[low:high].view(np.int64)
+class _Search:
+    """What leads to which item: the pairs of grams and items that are looked up, and each item's seeds."""
+
+    def __init__(self, block: _Items, frequency: np.ndarray, min_score: float):
+        self.block, self.min_score, self.seeds = block, min_score, _seeds(block, frequency)
+        gram = np.repeat(np.arange(len(block.grams)), np.diff(block.first))
+        shared = np.diff(block.first)[gram]
+        leads = (shared <= SHARED_ITEMS) | (frequency[gram] == 0)
+        order = np.argsort(block.item, kind="stable")
+        bounds = np.searchsorted(block.item[order], np.arange(len(block.ids) + 1))
+        for item, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            own = order[a:b]
+            leads[own] |= np.isin(gram[own], list(self.seeds[item]))
+            if leads[own].all():
+                continue
+            places = block.gram_places(item)
+            left = np.ones(len(block.words[item]), bool)
+            for pair in own[leads[own]]:
+                left[places[gram[pair]]] = False
+            for pair in sorted(own[~leads[own]], key=lambda x: (frequency[gram[x]] * shared[x], x)):
+                if left.sum() < min_score * len(left):
+                    break
+                left[places[gram[pair]]] = False
+                leads[pair] = True
+        self.item = block.item[leads]
+        self.first = np.append(0, np.cumsum(np.bincount(gram[leads], minlength=len(block.grams))))
+
+    def places(self, ids: list, texts: list[bytes]) -> Iterator[tuple]:
+        """(id, item, first word, seeds met, words) of every place that looked-up grams lead to."""
+        words = Words(texts)
+        grams, usable = words.shingles(GRAM)
+        if not len(grams) or not len(self.block.grams):
+            return
+        at, which = self.block.find(grams, usable)
+        counts = self.first[which + 1] - self.first[which]
+        at, which, counts = at[counts > 0], which[counts > 0], counts[counts > 0]
+        if not len(at):
+            return
+        items = self.item[np.repeat(self.first[which], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+        at, which = np.repeat(at, counts), np.repeat(which, counts)
+        order = np.lexsort((at, items, words.doc[at]))
+        at, which, items = at[order], which[order], items[order]
+        docs = words.doc[at]
+        length = self.block.length[items]
+        new = np.ones(len(at), bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (at[1:] - at[:-1] > length[1:])
+        first = np.flatnonzero(new)
+        for a, b in zip(first, np.append(first[1:], len(at)), strict=True):
+            doc, item = int(docs[a]), int(items[a])
+            low = max(words.first_word[doc], at[a] - length[a])
+            high = min(words.first_word[doc + 1], at[b - 1] + GRAM + length[a])
+            yield ids[doc], item, int(low - words.first_word[doc]), len(self.seeds[item].intersection(which[a:b].tolist())), words.hash[low:high]
+
+    def leaks(self, ids: list, texts: list[bytes]) -> Iterator[tuple]:
+        """Rows of RESULT."""
+        for doc_id, item, first, n_seeds, words in self.places(ids, texts):
+            own = self.block.words[item]
+            enough = self.min_score * MATCH * len(own)
+            if most_points(own, words) < enough:
+                continue
+            points, end = align(own, words)
+            if points >= enough:
+                start = end - align(own[::-1], words[:end][::-1])[1]
+                yield doc_id, self.block.ids[item], points / (MATCH * len(own)), n_seeds, first + start, first + end
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -135,40 +187,35 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
 
 def _block_leaks(docs: DataFrame, block: _Items, min_score: float) -> DataFrame:
-    context = docs.sparkSession.sparkContext
+    context, rows = docs.sparkSession.sparkContext, bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = context.broadcast(block)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(shared.value.grams)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids, texts in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
-                rows = list(_places(shared.value, ids, texts))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["doc_id", "item", "first", "grams", "words"])
+            for _, texts in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
+                words = Words(texts)
+                grams, usable = words.shingles(GRAM)
+                if len(grams) and size:
+                    at, which = shared.value.find(grams, usable)
+                    total += np.bincount(np.unique(words.doc[at] * size + which) % size, minlength=size)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(total[met])], ["gram", "n"])
 
-    held = stored(bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(places, PLACES))
-    counts = held.select(F.explode("grams").alias("gram")).groupBy("gram").count()  # at most one row a gram of the block
     frequency = np.zeros(len(block.grams), np.int64)
-    for gram, n in counts.collect():
+    for gram, n in rows.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():  # at most one row a gram of the block
         frequency[gram] = n
-    seeds = context.broadcast(_seeds(block, frequency))
+    search = context.broadcast(_Search(block, frequency, min_score))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, item, first, grams, words in zip(*(batch.column(i) for i in range(5)), strict=True):
-                item, own = item.as_py(), shared.value.words[item.as_py()]
-                words = words.values.to_numpy().view(np.uint64)
-                if most_points(own, words) < min_score * MATCH * len(own):
-                    continue
-                points, end = align(own, words)
-                if points >= min_score * MATCH * len(own):
-                    n_seeds = len(seeds.value[item].intersection(grams.as_py()))
-                    start = end - align(own[::-1], words[:end][::-1])[1]
-                    rows.append((doc_id.as_py(), shared.value.ids[item], points / (MATCH * len(own)), n_seeds, first.as_py() + start, first.as_py() + end))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
-
-    return held.mapInArrow(score, RESULT)
+            for ids, texts in chunks(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1))):
+                found = list(search.value.leaks(ids, texts))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "n_seeds", "start_word", "end_word"])
+
+    return rows.mapInArrow(leaks, RESULT)
 
 
 def _seeds(block: _Items, frequency: np.ndarray) -> list[set[int]]:

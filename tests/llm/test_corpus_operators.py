@@ -96,6 +96,35 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, block_words):
     assert decontamination.find_leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_equal_all_pairs_aligned(spark):
+    rng = random.Random(12)
+    items = [words(rng, rng.randrange(4, 30), 300) for _ in range(7)]
+    texts = [words(rng, rng.randrange(60), 300) + (edited(rng, items[i % 7], rng.random() * 0.4) if i % 2 else []) + words(rng, rng.randrange(40), 300) for i in range(70)]
+    expected, shared = set(), set()
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            if plain_alignment(item, text) >= len(item):
+                expected.add((i, j))
+                if {tuple(item[a : a + 3]) for a in range(len(item) - 2)} & {tuple(text[a : a + 3]) for a in range(len(text) - 2)}:
+                    shared.add((i, j))
+    docs = frame(spark, [(i, " ".join(t), "s", "en") for i, t in enumerate(texts)])
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert shared == found <= expected and len(found) >= 0.9 * len(expected)
+
+
+def test_stock_phrases_lead_to_no_item_but_their_copies_are_found():
+    rng = random.Random(13)
+    stock = words(rng, 8)
+    items = [[*words(rng, 12), *stock, *words(rng, 8)] for _ in range(500)] + [[*stock, f"own{i}"] for i in range(20)]
+    block = decontamination._Items(list(range(520)), [" ".join(i) for i in items])
+    texts = [" ".join([*words(rng, 20), *stock, *words(rng, 20)]).encode() for _ in range(50)]
+    frequency = np.full(len(block.grams), 50)
+    search = decontamination._Search(block, frequency, 0.5)
+    assert {x[1] for x in search.places(list(range(50)), texts)} <= set(range(500, 520))
+    assert {x[:2] for x in search.leaks(list(range(50)), texts)} == {(i, j) for i in range(50) for j in range(500, 520)}
+    assert {x[1] for x in search.leaks([0], [" ".join(items[77]).encode()])} >= {77}
+
+
 # -- quality -----------------------------------------------------------------
 
 
