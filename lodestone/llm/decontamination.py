@@ -29,7 +29,7 @@ MIN_SCORE = 0.5
 MATCH, CHANGE, GAP = 2, -1, -1
 #: A gram that is more than so many times as frequent as the median of its item's grams that occur is no seed ...
 RARE = 10
-#: ... nor is one that more items share; but an item's rarest grams, so many, always are.
+#: ... nor is one that more items share; but an item's rarest grams, so many, counted in documents and items, always are.
 SHARED_ITEMS, LEAST_SEEDS = 8, 3
 #: Words of benchmark items that are broadcast together.
 BLOCK_WORDS = 1_000_000
@@ -231,7 +231,7 @@ def _seeds(block: _Items, frequency: np.ndarray) -> list[set[int]]:
         if len(own):
             common = frequency[gram[own]]
             rare = (common <= RARE * max(1.0, float(np.median(common)))) & (shared[own] <= SHARED_ITEMS)
-            rarest = own[np.argsort(common, kind="stable")[:LEAST_SEEDS]]
+            rarest = own[np.argsort(common * shared[own], kind="stable")[:LEAST_SEEDS]]
             out[item] = {int(g) for g in np.concatenate([gram[own][rare], gram[rarest]])}
     return out
 

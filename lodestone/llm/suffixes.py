@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, discard, stored, utf8
 from .words import CHUNK_BYTES, mixed, powers
 
 LENGTH = 200
@@ -222,13 +222,17 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, text_key, start, stop): byte ranges whose union is what repeated windows cover. docs: doc_id, text_key, text (bytes)."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text_key, start, stop): byte ranges whose union is what repeated windows cover. docs: doc_id, text_key, text (bytes).
+
+    The stored tables that the result still reads are added to ``scratch``, for the caller to discard.
+    """
     blocks = stored(text_blocks(docs, length, anchor))
     content = ["anchor", "block", "proof"]
     counts = stored(blocks.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "size")).alias("one")))
     anchors = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).where("total > 1")
     kinds = stored(counts.join(anchors, "anchor").drop("total"))
+    discard(counts)
     twice = kinds.where("n > 1").select(*content)
     whole = blocks.join(twice, content).select("doc_id", "text_key", "start", (F.col("start") + F.col("size")).alias("stop"))
 
@@ -243,7 +247,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     shard = F.when(parts > 1, F.xxhash64("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     dealt = cut.withColumn("parts", parts).withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("long"))
     found = stored(dealt.groupBy("shard", "part").applyInArrow(lambda rows: _shard_ranges(rows, length), RANGES))
-    return whole.unionByName(found).unionByName(_merged_ranges(dealt.where("parts > 1"), length))
+    merged = _merged_ranges(dealt.where("parts > 1"), length)
+    if scratch is not None:
+        scratch += [blocks, kinds, cut, found, merged]
+    return whole.unionByName(found).unionByName(merged)
 
 
 def _shard_ranges(rows: pa.Table, length: int) -> pa.Table:
@@ -304,7 +311,9 @@ def _merged_ranges(dealt: DataFrame, length: int) -> DataFrame:
     windows = stored(dealt.groupBy("shard", "part").applyInArrow(counted, "shard long, part long, key long, proof long, n long"))
     twice = windows.groupBy("key", "proof").agg(F.sum("n").alias("total")).where("total > 1").select("key", "proof")
     back = windows.select("shard", "part", "key", "proof").join(twice, ["key", "proof"])
-    return stored(dealt.groupBy("shard", "part").cogroup(back.groupBy("shard", "part")).applyInArrow(ranges, RANGES))
+    merged = stored(dealt.groupBy("shard", "part").cogroup(back.groupBy("shard", "part")).applyInArrow(ranges, RANGES))
+    discard(windows)
+    return merged
 
 
 def gathered_ranges(ranges: DataFrame) -> DataFrame:
@@ -321,8 +330,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     bytes. An empty table gives an empty result; other columns are ignored.
     """
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8().alias("text"))
-    ranges = repeated_ranges(rows, length, anchor)
-    gathered = stored(gathered_ranges(ranges))
+    scratch: list[DataFrame] = []
+    gathered = stored(gathered_ranges(repeated_ranges(rows, length, anchor, scratch)))
+    discard(*scratch)
     met = rows.alias("d").join(gathered.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.text_key") == F.col("r.text_key")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
