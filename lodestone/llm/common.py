@@ -77,6 +77,17 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, lengthened until ``df`` has no such columns, whatever their case."""
+    known = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        out.append(name)
+    return tuple(out)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, stored, unused
 from .words import Words, chunks, lowered, mixed
 
 GRAM = 3
@@ -242,6 +242,7 @@ BROADCAST_IDS = 1_000_000
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without those that hold a copy of a benchmark item; all columns stay. A null doc_id is never flagged."""
-    flagged = stored(find_leaks(docs, benchmark, min_score).select(F.col("doc_id").alias("__id")).where("__id is not null").distinct())
+    (bad,) = unused(docs, "__bad_id")
+    flagged = stored(find_leaks(docs, benchmark, min_score).where("doc_id is not null").select(F.col("doc_id").alias(bad)).distinct())
     small = flagged.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(flagged) if small else flagged, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    return docs.join(F.broadcast(flagged) if small else flagged, F.col("doc_id").cast("long") == F.col(bad), "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored, utf8
+from .common import bounded_batches, stored, unused, utf8
 from .graph import connected_components
 
 SHINGLE, SEED = 4, 42
@@ -226,10 +226,11 @@ def keep_one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Ids that are null come last. Of rows that repeat the kept id and text one stays.
     """
+    kept_id, kept_key, own_key = unused(docs, "__kept_id", "__kept_key", "__own_key")
     groups = stored(_groups(docs, max_bits))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    kept = stored(groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    kept = stored(groups.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key"), order).alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.text_key").alias(kept_key)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64("text") == F.col(kept_key))
     rows = docs.join(kept, same, "left_semi")
     repeated = groups.groupBy("doc_id", "text_key").count().where("count > 1")
-    return rows if repeated.isEmpty() else rows.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return rows if repeated.isEmpty() else rows.withColumn(own_key, F.xxhash64("text")).dropDuplicates(["doc_id", own_key]).drop(own_key)

@@ -476,6 +476,49 @@ def test_stages_take_effect(spark, data):
     assert len(judged & junk) <= 0.4 * len(junk) and len(clean - judged) <= 0.03 * len(clean) + 1
 
 
+def odd_tables(spark, folder):
+    rng = random.Random(8)
+    rows = [(i, " ".join(words(rng, 60)), "en", "a") for i in range(12)]
+    rows += [(None, " ".join(words(rng, 50)), "en", "a"), (None, None, None, None), (20, None, "en", None), (21, "", None, "b"), (22, " \n ", "de", "b")]
+    rows += [rows[3]] * 5 + [(30, rows[4][1], None, "b"), (31, " ".join(words(rng, 30_000)), "fr", "a"), (32, "x" * 50_000, "en", None)]
+    rows += [(40 + i, f"the menu of this site\n{' '.join(words(rng, 40))}", "de", "b") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    for name in ("__id", "__bad_id", "__kept_id", "__KEY", "__site", "__known", "__n_lines", "__n_dropped", "size", "fp", "root", "page", "score"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    item = rows[7][1]
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, None, None), (None, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return rows
+
+
+def test_the_pipeline_takes_odd_tables(spark, tmp_path):
+    rows = odd_tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        kept = out.collect()
+        assert out.columns == docs.columns and all(r["__known"] == r["__n_lines"] == r["__bad_id"] == "clash" for r in kept), name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        if name == "line dedup":
+            assert len(kept) == len(rows) and not any("menu" in (r.text or "") for r in kept)
+            assert {r.doc_id: r.text for r in kept if r.doc_id == 3} == {3: rows[3][1]}
+        if name == "near duplicates":  # equal texts, and those without words, are one group each
+            assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, x) for x in (*range(12), 20, 31, 32, *range(40, 46))] + [(True, 0)]
+        if name == "decontamination":
+            assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept} == {7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(mixed) == len({r.doc_id for r in mixed}) and all(0 <= r.copies <= 3 and r.taken == r.copies * r.size for r in mixed)
+
+
+def test_lines_of_a_language_are_counted_by_themselves(spark):
+    rows = [(i, f"english {i}", "en", "hot") for i in range(200)] + [(300 + i, f"toute la une\nligne {i}", "fr", "hot") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert found == {i: t.removeprefix("toute la une\n") for i, t, _, _ in rows}
+
+
 def test_sample_holds_whole_documents_within_its_bounds(spark, monkeypatch):
     texts = {i: "w " * (30 if i % 3 == 0 else 5) for i in range(40)}
     docs = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
