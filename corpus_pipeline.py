@@ -1,6 +1,8 @@
 """The corpus pipeline: documents in, a mix of clean, distinct, uncontaminated documents out.
 
-Each stage reads all that the stage before kept. All but the last return the columns of ``documents``.
+Each stage reads all that the stage before kept. All but the last return the columns of ``documents``, whatever others
+there are besides doc_id, text, lang and source and whatever they are called. In every stage any column may be null, texts
+may be empty or of any length, rows may repeat, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,22 +15,25 @@ from lodestone.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; those without an id or without words are never rejected."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of each source are cut from the texts."""
-    return lines.drop_boilerplate_lines(docs).select(*docs.columns)
+    """Boilerplate lines are cut from the texts; a source's pages of one language are a site. A null text stays null.
+
+    A source mixes languages, and a template line of one of them may be rare among all pages of the source.
+    """
+    return lines.drop_boilerplate_lines(docs, F.struct("source", "lang"), counts=None)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest id."""
+    """One document of each near-duplicate group stays: that with the smallest id, null last. Null texts are equal to empty ones."""
     return simhash.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go."""
+    """Documents that hold a copy of a benchmark item go; those without an id stay."""
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
