@@ -314,3 +314,13 @@ def test_registered_sql(spark, data, duck):
         found = [c[0] for c in result.description]
         expected = sorted(repr(tuple(row[found.index(c)] for c in columns)) for row in result.fetchall())
         assert sorted(repr(tuple(r[c] for c in columns)) for r in frame.collect()) == expected
+
+
+def test_every_notice_is_told_from_its_likes(spark):
+    names = list(licenses.TEMPLATES)
+    texts = [f"before it {licenses.TEMPLATES[n]} and after" for n in names]
+    best = {}
+    for r in licenses.scan_licenses(documents_by_position(spark, texts)).collect():
+        best.setdefault(r.doc_id, {})[r.license] = r.containment
+    assert all(best[i][n] == 1.0 for i, n in enumerate(names))
+    assert best[names.index("gpl-2.0")]["gpl-3.0"] < 1.0 and best[names.index("agpl-3.0")]["gpl-3.0"] < 1.0
