@@ -15,6 +15,21 @@ def media_delay(attempt: Column) -> Column:
     return backoff(attempt, 30, 3600)
 
 
+def retry_delay(header: Column, attempt: Column, now: Column, jitter: Column | None = None) -> Column:
+    """Seconds until a provider is asked again: what Retry-After says, in seconds or as a date, else doubled from 0.5 up to 8.
+
+    Only a delay that the header doesn't set is spread, by ``jitter`` in [0, 1): from 0.8 of it to 1.2. Seconds that are
+    negative or no finite number, and dates that can't be read, are no answer; a date gone by is no wait.
+    """
+    said = F.trim(header)
+    seconds = F.when(said.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), said.try_cast("double"))
+    date = F.regexp_extract(said, r"^(?:[A-Za-z]{3}, )?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.unix_seconds(F.try_to_timestamp(F.when(date != "", F.concat(date, F.lit(" +0000"))), F.lit("d MMM yyyy HH:mm:ss xx")))
+    doubled = F.least(F.lit(8.0), F.lit(0.5) * F.pow(F.lit(2.0), attempt - 1)) * (F.lit(0.8) + F.lit(0.4) * (F.rand() if jitter is None else jitter))
+    asked = F.when((seconds >= 0) & (seconds < float("inf")), seconds)
+    return F.coalesce(asked, F.greatest(F.lit(0), at - now).cast("double") + F.when(at.isNull(), F.lit(None)).otherwise(F.lit(0.0)), doubled)
+
+
 def local_seconds(utc_seconds: Column, zone: Column) -> Column:
     """Wall-clock seconds in a zone; the zone must be a known one (filter first)."""
     return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(utc_seconds), zone))

@@ -182,6 +182,18 @@ def timed_sections(rows: DataFrame, key: str, text: str) -> DataFrame:
     return trimmed.select(key, F.col("at").alias("section_idx"), "start_timestamp", seconds_of(F.col("start_timestamp")).alias("start_seconds"), "body")
 
 
+def timed_chunks(rows: DataFrame, key: str, text: str, size: int = CHUNK_WORDS, step: int = CHUNK_STEP) -> DataFrame:
+    """(key, chunk_idx, chunk_text, start_timestamp, start_seconds): each section in windows of words, numbered through the text.
+
+    A chunk has its section's time, or none; a blank or null text has no chunk.
+    """
+    section = F.struct(F.col(key).alias("of"), "section_idx", "start_timestamp", "start_seconds")
+    cut = word_chunks(timed_sections(rows, key, text).select(section.alias("section"), "body"), "section", "body", size, step)
+    place = F.row_number().over(W.partitionBy("section.of").orderBy("section.section_idx", "chunk_idx")) - 1
+    numbered = cut.withColumn("place", place)
+    return numbered.select(F.col("section.of").alias(key), F.col("place").alias("chunk_idx"), F.trim("chunk_text").alias("chunk_text"), "section.start_timestamp", "section.start_seconds")
+
+
 #: Interface lines of social pages and readers, in full.
 CONTROL_LINES = [
     "reel", "reels", "log in", "login", "sign in", "signin", "sign up", "signup", "forgot password", "forgot password?", "forgot account", "forgot account?",
@@ -247,6 +259,34 @@ def redact_long_runs(text: Column) -> Column:
     return F.regexp_replace(text, r"(?=[^\n]{0,199} )[^\n]{200,}", "<redacted prose>")
 
 
+def redact_known(text: Column, known: Column) -> Column:
+    """A text with each of the known values (an array) replaced by a digest of it, the longest first; null and empty ones hide nothing."""
+    longer = lambda a, b: F.char_length(b) - F.char_length(a)
+    order = lambda a, b: F.when(longer(a, b) != 0, longer(a, b)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    values = F.array_sort(F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")), order)
+    return F.aggregate(values, text, lambda said, v: F.replace(said, v, F.concat(F.lit("<"), F.substring(F.sha2(v, 256), 1, 12), F.lit(">"))))
+
+
+def mask_share_paths(path: Column) -> Column:
+    """A path, or a line with paths, without the tokens of shares."""
+    return F.regexp_replace(path, r"(/(?:s|api/v1/shares)/)[^/?#\s]+", "$1<share-token>")
+
+
+#: How reasons begin that explain nothing.
+VACUOUS = ["matched:", "similar meaning", "related"]
+
+
+def reason_terms(reason: Column) -> Column:
+    """The terms that a reason claims: split at plus signs and commas, without what stands in brackets."""
+    plain = F.regexp_replace(F.coalesce(reason, F.lit("")), r"\([^)]*\)", " ")
+    return F.filter(F.transform(F.split(plain, "[+,]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def vacuous_reason(reason: Column) -> Column:
+    low = F.lower(F.regexp_replace(F.coalesce(reason, F.lit("")), r"^\s+|\s+$", ""))
+    return (low == "") | low.rlike("^(?:" + "|".join(VACUOUS) + ")")
+
+
 def close_tags(vocabulary: list[str], terms: list[str], least: float = 0.8) -> list[str]:
     """Terms with, for each of four letters or more that the vocabulary lacks, its closest entry appended."""
     out = list(terms)

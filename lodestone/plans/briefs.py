@@ -122,7 +122,7 @@ def memory_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')}, old AS (SELECT id, title, summary FROM items WHERE id % 2 = 0), new AS (SELECT id, 'New ' || title AS title, NULL AS summary, id % 3 = 0 AS failed FROM items WHERE id % 4 = 0)
 SELECT o.id, CASE WHEN n.id IS NULL OR n.failed THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN 'kept' WHEN n.failed THEN 'restored' ELSE 'replaced' END AS outcome FROM old o LEFT JOIN new n ON o.id = n.id""")
 def reprocess_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A failed reprocessing restores the saved fields."""
+    """U16, R2: a failed reprocessing restores the saved fields."""
     own = items(spark, sf_dir)
     old = own.where("id % 2 = 0").select("id", "title")
     new = own.where("id % 4 = 0").select("id", F.concat(F.lit("New "), "title").alias("new_title"), (F.col("id") % 3 == 0).alias("failed"))
@@ -133,7 +133,7 @@ def reprocess_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')}, dead AS (SELECT DISTINCT url FROM items WHERE deleted_s IS NOT NULL), c AS (SELECT user_id, category, url FROM items)
 SELECT user_id, category, count(DISTINCT url) AS kept FROM c WHERE url NOT IN (SELECT url FROM dead) GROUP BY ALL""")
 def collection_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted links leave every collection."""
+    """Deleted links leave every collection."""
     own = items(spark, sf_dir)
     dead = own.where("deleted_s is not null").select("url").distinct()
     return own.join(dead, "url", "left_anti").groupBy("user_id", "category").agg(F.countDistinct("url").alias("kept"))

@@ -112,7 +112,7 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def timed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcripts with a marker a turn."""
+    """Conversations as transcripts with a marker a turn."""
     turns = table(spark, sf_dir, "conversations")
     line = F.concat(F.lit("["), clock.stamp(F.col("turn") * 75), F.lit("] "), F.col("text"))
     scripts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("script"))
@@ -168,7 +168,7 @@ def typo_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, len(text) - len(regexp_replace(text, '[0-9]{4,}', '#', 'g')) > 0 AS has_long_number, sha256(source)[1:12] AS source_hash, 'Text(' || len(text) || ' chars)' AS described FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions without content."""
+    """Descriptions without content."""
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("[0-9]{4,}").alias("has_long_number"), identity.short_hash(F.col("source")).alias("source_hash"), F.format_string("Text(%d chars)", F.char_length("text")).alias("described"))
 
 
@@ -256,6 +256,6 @@ def brief_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{with_tables('items')} SELECT id, contains(lower(search_text), 'the') AND contains(lower(search_text), 'and') AS right_reason FROM items""")
 def explanation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term that a reason claims must be in what it was matched on."""
+    """Every term that a reason claims must be in what it was matched on."""
     claimed = F.split(F.regexp_replace(F.lit("the + and (in the content)"), r"\s*\([^)]*\)", ""), r"\s*[+,]\s*")
     return items(spark, sf_dir).select("id", F.forall(claimed, lambda t: F.contains(F.lower("search_text"), t)).alias("right_reason"))

@@ -30,8 +30,8 @@ def query(sql: str | None = None):
 
 @query()
 def job_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state of every job after its log."""
-    return jobs.replay(jobs.as_log(events(spark, sf_dir)))
+    """The state of every job after its log, long after its last event: lost workers hold no lease."""
+    return jobs.replay(jobs.as_log(events(spark, sf_dir)), until=2**40)
 
 
 @query()
@@ -45,7 +45,7 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        jobs.stream(log).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        jobs.stream(log, wait_s=None).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
@@ -202,7 +202,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT user_id, event_id % 97 AS token, CASE event_id % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' WHEN 2 THEN 'gone' ELSE 'sent' END AS outcome FROM events WHERE event_type = 'click')
 SELECT user_id, count(*) FILTER (outcome = 'sent') AS sent, count(*) FILTER (outcome = 'failed') AS failed, count(DISTINCT token) FILTER (outcome = 'gone') AS removed, 2 * count(*) FILTER (outcome = 'failed') AS published FROM d GROUP BY user_id""")
 def delivery_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of a delivery batch; dead tokens are removed once, failures stay to be published again."""
+    """Outcomes of a delivery batch; dead tokens are removed once, failures stay to be published again."""
     outcome = F.element_at(F.array(*map(F.lit, ("sent", "failed", "gone", "sent"))), (F.col("event_id") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", (F.col("event_id") % 97).alias("token"), outcome.alias("outcome"))
     failed = F.count_if(F.col("outcome") == "failed")

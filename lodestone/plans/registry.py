@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import briefs, content, jobs, library, search
+from lodestone.plans import briefs, content, jobs, library, lifecycle, search
 
-MODULES = [library, search, content, jobs, briefs]
+MODULES = [library, search, content, jobs, briefs, lifecycle]
 
 
 def queries() -> dict:

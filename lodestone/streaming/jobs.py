@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 #: Attempts before a job fails, seconds of a lease, and the bounds of backoff.
 MOST_ATTEMPTS, LEASE, BACKOFF_BASE, BACKOFF_MOST = 5, 300, 2, 300
@@ -42,10 +43,16 @@ def _failed(job: Job, at: int) -> Job:
     return replace(job, status="PENDING", attempts=attempts, token=-1, locked_s=-1, available_s=at + wait)
 
 
+def expire(job: Job, at: int) -> Job:
+    """The job at a time without an event: a lease that ran out before it is one failed attempt."""
+    if job.status == "PROCESSING" and job.locked_s >= 0 and at - job.locked_s > LEASE:
+        return _failed(job, job.locked_s + LEASE)
+    return job
+
+
 def step(job: Job, action: str, at: int, token: int) -> Job:
     """The job after one event."""
-    if job.status == "PROCESSING" and job.locked_s >= 0 and at - job.locked_s > LEASE:
-        job = _failed(job, job.locked_s + LEASE)  # the lease ran out before this event
+    job = expire(job, at)
     held = job.status == "PROCESSING" and job.token == token
     if action == "record":
         return Job("PENDING", available_s=at, rejected=job.rejected, completed=job.completed) if job.status in ("NONE", "READY", "FAILED") else job
@@ -64,26 +71,30 @@ def step(job: Job, action: str, at: int, token: int) -> Job:
     return _failed(job, at)
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """Every job's final state from its log (job, at_s, seq, action, token), in time order.
+def replay(log: DataFrame, until: int | None = None) -> DataFrame:
+    """Every job's state from its log (job, at_s, seq, action, token), in time order, as of its last event or of ``until``.
 
-    Rows of a job stream through one task in order with only its state in memory, so a long log is no group to collect.
+    With ``until``, a lost worker's job whose lease ran out by then has failed once, though no event says so. Rows of a job
+    stream through one task in order with only its state in memory, so a long log is no group to collect.
     """
 
+    def row(key: int, job: Job) -> tuple:
+        return (key, *astuple(job if until is None else expire(job, until)))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state, out = None, Job(), []
         for frame in frames:
             for key, at, action, token in zip(frame["job"], frame["at_s"], frame["action"], frame["token"], strict=True):
                 if key != held:
                     if held is not None:
-                        out.append((held, *astuple(state)))
+                        out.append(row(held, state))
                     held, state = key, Job()
                 state = step(state, action, int(at), int(token))
             if len(out) >= 10_000:
                 yield _frame(out)
                 out = []
         if held is not None:
-            out.append((held, *astuple(state)))
+            out.append(row(held, state))
         yield _frame(out)
 
     return log.where("job is not null").repartition("job").sortWithinPartitions("job", "at_s", "seq").mapInPandas(run, RESULT)
@@ -94,26 +105,52 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 class JobProcessor(StatefulProcessor):
-    """The same transitions over a stream; the state of a job is one value in the state store."""
+    """The same transitions over a stream; the state of a job is one value in the state store.
+
+    With ``wait_s``, a job under way has a timer: if no event of it comes within that many seconds of processing time, its
+    lease counts as run out. The timer starts at the last event's arrival, so a log that comes late loses no job.
+    """
+
+    def __init__(self, wait_s: int | None) -> None:
+        self.wait_s = wait_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", STATE)
+        self.handle, self.state = handle, handle.getValueState("job", STATE)
+
+    def _stored(self) -> Job:
+        return Job(*self.state.get()) if self.state.exists() else Job()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        job = Job(*self.state.get()) if self.state.exists() else Job()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        job = self._stored()
         events = pd.concat(list(rows)).sort_values(["at_s", "seq"])  # one job's events of one micro-batch
         for at, action, token in zip(events["at_s"], events["action"], events["token"], strict=True):
             job = step(job, action, int(at), int(token))
         self.state.update(astuple(job))
+        if self.wait_s is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if job.status == "PROCESSING":
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_s * 1000)
+        yield _frame([(key[0], *astuple(job))])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        job = self._stored()
+        job = expire(job, job.locked_s + LEASE + 1)
+        self.state.update(astuple(job))
         yield _frame([(key[0], *astuple(job))])
 
     def close(self) -> None:
         pass
 
 
-def stream(log: DataFrame) -> DataFrame:
-    """A streaming DataFrame of job states from a streaming log; the last row of a job is its state."""
-    return log.where("job is not null").groupBy("job").transformWithStateInPandas(JobProcessor(), RESULT, "Update", "None")
+def stream(log: DataFrame, wait_s: int | None = LEASE) -> DataFrame:
+    """A streaming DataFrame of job states from a streaming log; the last row of a job is its state.
+
+    ``wait_s`` is how long a silent job under way keeps its lease; None, for runs that end, sets no timers, as these would
+    ask for ever more micro-batches.
+    """
+    mode = "None" if wait_s is None else "ProcessingTime"
+    return log.where("job is not null").groupBy("job").transformWithStateInPandas(JobProcessor(wait_s), RESULT, "Update", mode)
 
 
 def as_log(events: DataFrame) -> DataFrame:

@@ -152,3 +152,29 @@ def test_clock(spark):
     due = lambda local, hour: one(spark, clock.weekly_due(F.col("l"), F.lit(3), F.lit(hour), F.lit(50)), l=local)
     assert due(thursday + 86_400 + 240, 23) and not due(thursday + 23 * 3600 + 49 * 60, 23) and not due(thursday + 24 * 3600 + 5 * 60, 23)
     assert one(spark, clock.iso_week(F.col("l")), l=thursday) == "2026-W01"
+
+
+def test_retry_delays(spark):
+    cases = [("3.5", 3.5), ("-1", 0.5), ("NaN", 0.5), ("1e999", 0.5), ("10d", 0.5), ("Thu, 01 Jan 1970 00:01:40 GMT", 90.0), ("Thu, 01 Jan 1970 00:00:01 GMT", 0.0), ("Thu, 41 Foo 1970 00:00:01 GMT", 0.5), ("", 0.5), (None, 0.5)]
+    rows = spark.createDataFrame(cases, "header string, delay double")
+    found = rows.select("header", "delay", clock.retry_delay(F.col("header"), F.lit(1), F.lit(10), F.lit(0.5)).alias("found")).collect()
+    assert [(r.header, r.found) for r in found] == cases
+    assert one(spark, clock.retry_delay(F.lit(None).cast("string"), F.col("n"), F.lit(0), F.lit(0.0)), n=9) == pytest.approx(6.4)
+
+
+def test_known_values_leave_no_part(spark):
+    digest = lambda v: f"<{__import__('hashlib').sha256(v.encode()).hexdigest()[:12]}>"
+    out = one(spark, text.redact_known(F.col("t"), F.array(F.lit("ann"), F.lit("ann lee"), F.lit(""), F.lit(None).cast("string"))), t="ann lee met ann")
+    assert out == f"{digest('ann lee')} met {digest('ann')}"
+    assert one(spark, text.redact_known(F.col("t"), F.lit(None).cast("array<string>")), t="x") == "x"
+
+
+def test_reasons(spark):
+    assert one(spark, text.reason_terms(F.col("t")), t="aws + deployment (at 01:20), ecs ,") == ["aws", "deployment", "ecs"]
+    assert [one(spark, text.vacuous_reason(F.col("t")), t=t) for t in (" Related to x", "aws", "  ", "matched: x")] == [True, False, True, True]
+
+
+def test_timed_chunks_are_numbered_through_the_text(spark):
+    rows = spark.createDataFrame([(1, "a b c d e [00:10] f g [01:00] "), (2, "  "), (3, None)], "id long, t string")
+    found = text.timed_chunks(rows, "id", "t", size=3, step=2).orderBy("chunk_idx").collect()
+    assert [tuple(r) for r in found] == [(1, 0, "a b c", None, None), (1, 1, "c d e", None, None), (1, 2, "f g", "00:10", 10)]

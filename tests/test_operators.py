@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import filters, merges, ranking
+from lodestone.operators import filters, lifecycle, merges, ranking
 from lodestone.streaming import jobs
 
 
@@ -80,3 +80,56 @@ def test_replay_equals_the_plain_fold(spark):
         plain[job] = jobs.step(plain.get(job, jobs.Job()), action, at, token)
     found = jobs.replay(spark.createDataFrame([*rows, (None, 1, 1, "record", 0)], "job long, at_s long, seq long, action string, token long"))
     assert {r.job: jobs.row_state(r) for r in found.collect()} == plain
+
+
+def test_lost_worker_fails_without_an_event(spark):
+    log = spark.createDataFrame([(1, 0, 1, "record", 0), (1, 5, 2, "claim", 7)], "job long, at_s long, seq long, action string, token long")
+    state = lambda until: tuple(jobs.replay(log, until).select("status", "attempts", "available_s").first())
+    assert state(None) == state(305) == ("PROCESSING", 0, 0)
+    assert state(306) == ("PENDING", 1, 307)
+
+
+def test_lost_worker_fails_by_timer_in_a_stream(spark, tmp_path):
+    schema = "job long, at_s long, seq long, action string, token long"
+    spark.createDataFrame([(1, 0, 1, "record", 0), (1, 5, 2, "claim", 7), (2, 0, 3, "record", 0)], schema).write.parquet(f"{tmp_path}/in")
+    log, seen = spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), []
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        keep = lambda batch, number: seen.extend((r.job, r.status, r.attempts) for r in batch.collect())
+        run = jobs.stream(log, wait_s=1).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+        for _ in range(60):
+            if (1, "PENDING", 1) in seen or run.awaitTermination(1):
+                break
+        run.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert (1, "PROCESSING", 0) in seen and seen[-1] == (1, "PENDING", 1) and seen.count((2, "PENDING", 0)) == 1
+
+
+def test_stages_resume_after_the_last_one(spark):
+    rows = spark.createDataFrame([(1, "BRIEF"), (2, "EMBED"), (3, None), (4, "other")], "id long, last string")
+    left = lifecycle.remaining_stages(rows, "id", "last").collect()
+    assert sorted((r.stage_idx, r.stage) for r in left if r.id == 1) == [(4, "CHUNK"), (5, "EMBED")]
+    assert not [r for r in left if r.id == 2] and len([r for r in left if r.id == 3]) == len([r for r in left if r.id == 4]) == 6
+
+
+def test_links_are_kept_and_jobs_closed(spark):
+    saves = [(1, "a", "failed", False, False), (2, "a", "failed", False, False), (3, "b", "failed", False, False), (4, "b", "ready", False, False), (5, "c", "ready", True, False), (6, "d", "ready", False, True), (7, None, "failed", None, False)]
+    items = spark.createDataFrame(saves, "id long, content_id string, status string, needs_retry boolean, link_only boolean")
+    held = spark.createDataFrame([("a", False), ("b", False), ("b", None), ("c", True)], "content_id string, held boolean")
+    asked = spark.createDataFrame([(i,) for i in (1, 3, 3, 4, 5, 6, 7, 99)], "id long")
+    found = {r.id: (r.outcome, r.closes_job) for r in lifecycle.keep_links(items, held, asked).collect()}
+    assert found == {1: ("kept", False), 3: ("kept", True), 4: ("refused", False), 5: ("busy", False), 6: ("unchanged", False), 7: ("kept", False)}
+
+
+def test_chunks_are_copied_as_they_were(spark):
+    chunks = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (2, 1, "bb"), (3, 0, "c")], "item_id long, chunk_idx int, chunk_text string")
+    copies = spark.createDataFrame([(2, 1), (2, 3), (3, 2), (1, 1), (9, None)], "target long, source long")
+    assert sorted(map(tuple, lifecycle.copy_chunks(chunks, copies).select("item_id", "chunk_idx", "chunk_text").collect())) == [(1, 0, "a"), (2, 0, "a"), (3, 0, "b"), (3, 1, "bb")]
+
+
+def test_work_at_once(spark):
+    day = lifecycle.DAY
+    holds = [("ai", 0, 10), ("ai", 5, day + 5), ("ai", 10, 20), ("ai", day, day + 9), ("ai", 3, 3), ("fetch", 1, 2), (None, 1, 2)]
+    found = {r.stage: (r.total, r.peak, r.within) for r in lifecycle.busiest(spark.createDataFrame(holds, "stage string, started_s long, ended_s long"), {"ai": 1, "fetch": 1}).collect()}
+    assert found == {"ai": (4, 2, False), "fetch": (1, 1, True)}
