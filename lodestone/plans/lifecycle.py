@@ -103,6 +103,15 @@ def reason_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select("id", F.array_join("terms", "|").alias("terms"), text.vacuous_reason(F.col("reason")).alias("vacuous"), F.array_join(lacking, "|").alias("unfounded"))
 
 
+@query(r"""SELECT page_id, coalesce(CASE WHEN page_id % 2 = 0 THEN '/' || regexp_extract(url, '^https?://([^/?#:]*)', 1) || '/{page_id}' END, 'unmatched') AS route, 'page-' || page_id AS request_id, NULL::VARCHAR AS forged FROM pages""")
+def logged_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route templates may be logged, addresses may not; a request id of more than one line is none."""
+    host = F.regexp_extract("url", r"^https?://([^/?#:]*)", 1)
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/"), host, F.lit("/{page_id}"))).otherwise(F.col("url"))
+    request = F.concat(F.lit("page-"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", text.safe_route(path).alias("route"), text.safe_request_id(request).alias("request_id"), text.safe_request_id(F.concat(request, F.lit("\n"), "url")).alias("forged"))
+
+
 @query(r"""SELECT page_id, regexp_replace('/s/' || sha256(url) || '/view?page=' || page_id || ' /api/v1/shares/' || page_id, '(/(?:s|api/v1/shares)/)[^/?#\s]+', '\1<share-token>', 'g') AS masked FROM pages""")
 def masked_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share tokens never stand in a logged path."""

@@ -174,6 +174,15 @@ def test_reasons(spark):
     assert [one(spark, text.vacuous_reason(F.col("t")), t=t) for t in (" Related to x", "aws", "  ", "matched: x")] == [True, False, True, True]
 
 
+def test_only_closed_forms_are_logged(spark):
+    routes = {"/api/v1/items/{item_id}": "/api/v1/items/{item_id}", " READY ": "READY", "https://example.test/a/page": "unmatched", "/items/7": "unmatched", "two words": "unmatched", "": "unmatched", "a" * 65: "unmatched", "//{x}": "unmatched", None: "unmatched", "é.1": "é.1"}
+    rows = spark.createDataFrame(list(routes.items()), "path string, expected string")
+    assert rows.where(text.safe_route(F.col("path")) != F.col("expected")).count() == 0
+    ids = {" a-1:/x ": "a-1:/x", "a\nb": None, "a{b}": None, "": None, "x" * 128: "x" * 128, "x" * 129: None, None: None}
+    rows = spark.createDataFrame(list(ids.items()), "id string, expected string")
+    assert rows.where(~text.safe_request_id(F.col("id")).eqNullSafe(F.col("expected"))).count() == 0
+
+
 def test_timed_chunks_are_numbered_through_the_text(spark):
     rows = spark.createDataFrame([(1, "a b c d e [00:10] f g [01:00] "), (2, "  "), (3, None)], "id long, t string")
     found = text.timed_chunks(rows, "id", "t", size=3, step=2).orderBy("chunk_idx").collect()
