@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the word pattern of the contracts (anything but ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
+#: What stands between such words.
+BLANK = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
