@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import briefs, content, jobs, library, lifecycle, search
+from lodestone.plans import briefs, content, jobs, library, lifecycle, schedule, search
 
-MODULES = [library, search, content, jobs, briefs, lifecycle]
+MODULES = [library, search, content, jobs, briefs, lifecycle, schedule]
 
 
 def queries() -> dict:

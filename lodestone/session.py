@@ -25,3 +25,9 @@ def local_session(app: str = "lodestone", cores: str = "*", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below ``sf_dir``; Spark's own reader, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodestone"
+    return folder.rstrip("/")
