@@ -90,7 +90,7 @@ def rarity_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def channel_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item's rank and raw score in each of the five lists."""
     queries = search.query_table(spark)
-    lists, _ = search.candidates(spark, sf_dir, queries, search.query_vectors(spark, sf_dir, queries))
+    lists, _ = search.candidates(spark, sf_dir, queries)
     return lists.groupBy("query_id", "id", "list").agg(F.min("rank").alias("rank"), F.round(F.max("raw"), 6).alias("raw"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import briefs, content, jobs, library, lifecycle, schedule, search
+from lodestone.plans import briefs, content, jobs, library, lifecycle, retrieval, schedule, search
 
-MODULES = [library, search, content, jobs, briefs, lifecycle, schedule]
+MODULES = [library, search, content, jobs, briefs, lifecycle, schedule, retrieval]
 
 
 def queries() -> dict:

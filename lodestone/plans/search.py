@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
+from lodestone.functions import embed, text
 from lodestone.functions.stem import stems
 from lodestone.operators import filters, ranking
 from lodestone.session import table
-from lodestone.sources.binders import EPOCH, NOW, STEP, items, with_tables
+from lodestone.sources.binders import EPOCH, NOW, STEP, items, memories, with_tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,54 +54,68 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.match_terms(F.col("terms"))).alias("term"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for each item, by its position among the embeddings."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return v
+#: Chunks of one save at most, by which a save and a chunk share one number.
+PLACES = 1 << 20
+
+
+def searchable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).where(filters.searchable())
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.word_chunks(items(spark, sf_dir).where(filters.searchable()), "id", "search_text")
+    """(id, chunk_idx, chunk_no, chunk_text, start_timestamp): timed chunks of every searchable save."""
+    cut = text.timed_chunks(searchable_items(spark, sf_dir), "id", "search_text")
+    return cut.select("id", "chunk_idx", (F.col("id") * PLACES + F.col("chunk_idx")).alias("chunk_no"), "chunk_text", "start_timestamp")
 
 
 def _listed(top: DataFrame, name: str, info: DataFrame) -> DataFrame:
     return top.join(info, "id").select("query_id", F.lit(name).alias("list"), "id", "rank", F.col("raw").cast("double").alias("raw"), "created_s", "content_id")
 
 
-def candidates(spark: SparkSession, sf_dir: str, queries: DataFrame, query_vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates of all lists, chunk candidates with their chunk)."""
-    found = items(spark, sf_dir).where(filters.searchable())
+def _own_chunk(top: DataFrame) -> DataFrame:
+    """Best rows by number as rows of a save and a chunk."""
+    return top.select("query_id", F.floor(F.col("id") / PLACES).alias("id"), (F.col("id") % PLACES).cast("int").alias("chunk_idx"), "rank", "raw")
+
+
+def candidates(spark: SparkSession, sf_dir: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates of all lists, chunk candidates with their chunk) of a batch of queries, which its caller bounds.
+
+    Notes are the owner's own on the save's content. Queries, saves and chunks are embedded alike; every chunk has a vector.
+    """
+    found = searchable_items(spark, sf_dir)
     info, words = found.select("id", "created_s", "content_id"), query_words(queries)
+    asked = embed.embedded(queries, "query_id", "query").where("vector is not null")
     lexical = ranking.top_rows(lexical_scores(words, found, ["id"], "search_text"), "query_id", "raw", ["id"])
     chunks = chunk_rows(spark, sf_dir)
-    chunk_lexical = ranking.top_rows(lexical_scores(words, chunks, ["id", "chunk_idx"], "chunk_text"), "query_id", "raw", ["id", "chunk_idx"])
-    notes = found.where("id % 4 = 0").select("id", F.concat_ws(" ", F.lit("note for"), "source_domain", "category", "intent").alias("note"))
-    note = ranking.top_rows(lexical_scores(words, notes, ["id"], "note"), "query_id", "raw", ["id"])
-    scored = vectors(spark, sf_dir).crossJoin(F.broadcast(query_vectors)).select("query_id", "id", F.round(ranking.cosine(F.col("embedding"), F.col("q")), 9).alias("raw"))  # the batch of queries is bounded by its caller
-    vector = ranking.top_rows(scored.where("raw is not null"), "query_id", "raw", ["id"])
-    first = chunks.where("chunk_idx = 0").select("id", "chunk_idx")
-    chunk_vector = ranking.top_rows(scored.join(first, "id"), "query_id", "raw", ["id", "chunk_idx"])
+    chunk_lexical = _own_chunk(ranking.top_rows(lexical_scores(words, chunks, ["chunk_no"], "chunk_text").withColumnRenamed("chunk_no", "id"), "query_id", "raw", ["id"]))
+    note = ranking.top_rows(lexical_scores(words, notes(spark, sf_dir), ["id"], "note"), "query_id", "raw", ["id"])
+    nearest = lambda rows, key, body: ranking.exact_neighbours(asked, embed.embedded(rows, key, body).withColumnRenamed(key, "id").where("vector is not null"), ranking.LIST_SIZE).withColumnRenamed("cosine", "raw")
+    vector, chunk_vector = nearest(found, "id", "search_text"), _own_chunk(nearest(chunks, "chunk_no", "chunk_text"))
     lists = _listed(lexical, "lexical", info).unionByName(_listed(vector, "vector", info)).unionByName(_listed(note, "note", info))
     lists = lists.unionByName(_listed(chunk_vector, "chunk_vector", info)).unionByName(_listed(chunk_lexical, "chunk_lexical", info))
     shown = chunk_vector.select("query_id", "id", "chunk_idx", "rank", F.lit("chunk_vector").alias("list")).unionByName(chunk_lexical.select("query_id", "id", "chunk_idx", "rank", F.lit("chunk_lexical").alias("list")))
     return lists, shown
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    """A stand-in for an embedding provider: the vector whose number is the query's."""
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(queries.select("query_id"), "query_id")
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, user_note, user_intent, note): what the owner of a searchable save wrote about its content; the earliest memory of each."""
+    own = memories(spark, sf_dir).groupBy("user_id", "content_id").agg(F.min_by(F.struct("user_note", "user_intent"), "memory_of").alias("m"))
+    met = searchable_items(spark, sf_dir).select("id", "user_id", "content_id").join(own, ["user_id", "content_id"])
+    return met.select("id", "m.user_note", "m.user_intent", F.concat_ws(" ", "m.user_note", "m.user_intent").alias("note"))
 
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship; every query of the batch at once."""
+    """The flagship; every query of the batch at once."""
     queries = query_table(spark)
-    lists, shown = candidates(spark, sf_dir, queries, query_vectors(spark, sf_dir, queries))
+    lists, shown = candidates(spark, sf_dir, queries)
     best = ranking.collapse(ranking.fuse(lists, NOW).withColumn("score", F.round("score", 9)), 10)
-    chunk = ranking.best_chunk(shown).join(chunk_rows(spark, sf_dir), ["id", "chunk_idx"])
-    own = items(spark, sf_dir).select("id", filters.display_title().alias("title"), F.concat_ws(" ", "search_text", filters.display_title(), filters.display_summary(), F.array_join("topics", " ")).alias("document"), "intent")
-    joined = best.join(own, "id").join(chunk.select("query_id", "id", "chunk_text"), ["query_id", "id"], "left").join(F.broadcast(queries.select("query_id", "terms")), "query_id")
-    reason = text.evidence_reason(F.col("terms"), F.col("document"), F.col("chunk_text"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("intent"))
+    chosen = best.join(ranking.best_chunk(shown).select("query_id", "id", "chunk_idx"), ["query_id", "id"], "left")
+    # a save's texts are fetched for the few that are shown: ten a query
+    chunk = chunk_rows(spark, sf_dir).select("id", "chunk_idx", "chunk_text", "start_timestamp")
+    own = items(spark, sf_dir).select("id", filters.display_title().alias("title"), F.concat_ws(" ", "search_text", filters.display_title(), filters.display_summary(), F.array_join("topics", " ")).alias("document"))
+    joined = chosen.join(chunk, ["id", "chunk_idx"], "left").join(own, "id").join(notes(spark, sf_dir).drop("note"), "id", "left").join(F.broadcast(queries.select("query_id", "terms")), "query_id")
+    reason = text.evidence_reason(F.col("terms"), F.col("document"), F.col("chunk_text"), F.col("start_timestamp"), F.col("user_note"), F.col("user_intent"))
     return joined.select("query_id", "position", "id", "score", "n_lists", "title", reason.alias("reason"))
 
 
