@@ -194,77 +194,45 @@ def timed_chunks(rows: DataFrame, key: str, text: str, size: int = CHUNK_WORDS,
     return numbered.select(F.col("section.of").alias(key), F.col("place").alias("chunk_idx"), F.trim("chunk_text").alias("chunk_text"), "section.start_timestamp", "section.start_seconds")
 
 
-#: Interface lines of social pages and readers, in full.
-CONTROL_LINES = [
-    "reel", "reels", "log in", "login", "sign in", "signin", "sign up", "signup", "forgot password", "forgot password?", "forgot account", "forgot account?",
-    "privacy", "terms", "see more", "see more on facebook", "see less", "like", "comment", "share", "email or phone number", "password", "create new account",
-    "company", "about", "about us", "newsroom", "contact", "contact us", "careers", "tiktok for good", "get tiktok", "download now", "download the app", "qr code",
-    "terms of service", "privacy policy", "help center", "community guidelines", "transparency", "advertise", "developers", "tiktok rewards", "tiktok live",
-]
-#: What else interface lines say, the counts below a post, and lines that a reader adds.
-CONTROL_SHAPES = [r"log in to .+", r".+ sent you an? (?:reel|video|post|link)", r"(?:.+\s*[·|–-]\s*)?original audio(?:\s*[·|–-].*)?"]
-COUNT = r"[\d,.]+\s*[KMB]?\s*(?:reactions?|likes?|comments?|shares?|views?)"
-READER_LINES = r"^(?:Title:|URL Source:|Image |Published Time:)"
-SITE_NAMES = ["facebook", "instagram", "tiktok", "youtube", "log in", "login"]
-#: Fixed value: what shows that a page is a social site's wrapper of a post.
-WRAPPER = r"(?im)^URL Source:\s*https?://(?:[^/\s]+\.)?facebook\.com/|original audio|see more on facebook|email or phone number"
-MARKER_LINE = "Markdown Content:"
-
-
-def clean_source(text: Column, title: bool = False) -> Column:
-    """Prose without markdown links, images, reader headers and interface lines; of a title, without the site's name."""
-    body = F.coalesce(text, F.lit(""))
-    plain = F.regexp_replace(body, r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"(?m)^\s*\[[^\]]+\]:\s*https?://\S+.*$", "")
-    start = F.instr(plain, MARKER_LINE)
-    plain = F.when(start > 0, F.substring(plain, start + len(MARKER_LINE), F.char_length(plain))).otherwise(plain)
-    counts = rf"{COUNT}(?:\s*[·|]\s*{COUNT})*"
-    shapes = rf"(?i)^(?:{'|'.join([*CONTROL_SHAPES, counts])})$"
-    of_wrapper = body.rlike(WRAPPER)
-
-    def kept(line: Column) -> Column:
-        low = F.lower(line)
-        bare = (low == "public") | line.rlike(r"(?i)^[\d,.]+\s*[KMB]?$")
-        said = ~low.isin(CONTROL_LINES) & ~line.rlike(shapes) & ~line.rlike(READER_LINES) & ~(of_wrapper & bare)
-        return said & ~low.isin(SITE_NAMES) if title else said
-
-    lines = F.transform(F.split(plain, r"\r\n|[\r\n]"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[ *\t]+|[ *\t]+$", ""), r"^#{1,6}\s+", ""))
-    prose = F.transform(F.filter(lines, kept), lambda x: F.regexp_replace(x, rf"(?i)^{counts}\s*[|·]\s*", ""))
-    if title:
-        prose = F.transform(prose, lambda x: F.regexp_replace(x, r"(?i)\s*[|–-]\s*(?:Facebook|Instagram|TikTok|YouTube)\s*$", ""))
-    return F.trim(F.array_join(F.filter(prose, lambda x: x != ""), "\n"))
-
-
 def url_only(text: Column) -> Column:
     return F.trim(text).rlike(r"(?i)^(?:link:\s*)?https?://\S+\s*$")
 
 
-def usable_text(text: Column, video: bool = False) -> Column:
-    """What may be used of a fetched text: empty for blank ones, bare links, error pages and captchas; null if to be fetched again.
+#: Fixed value: characters from which a run of prose is not logged as it stands.
+LONG_RUN = 200
+#: Fixed value: what a run of prose is made of.
+PROSE_RUN = r"[\p{L}\p{N} '.,;:!?\-_()\[\]]+"
 
-    A video's text, and any that mentions a login, counts as its prose, of five words at least.
-    """
-    body = F.coalesce(text, F.lit(""))
-    code = F.regexp_extract(body, r"(?i)target url returned error\s+(\d{3})", 1)
-    prose = clean_source(body)
-    few = (F.size(F.filter(F.split(prose, r"(?U)\W+"), lambda w: w != "")) < 5) | url_only(prose)
-    walled = F.lit(video) | body.rlike(r"(?i)log\s?in|sign in")
-    nothing = (F.trim(body) == "") | url_only(body) | body.rlike(r"(?i)verify you are human|captcha|video (?:currently )?unavailable")
-    out = F.when(code >= "500", F.lit(None).cast("string")).when((code != "") | nothing, "")
-    return out.when(walled, F.when(few, "").otherwise(prose)).when(prose == "", "").otherwise(body)
+
+def digest(value: Column) -> Column:
+    """What stands for a hidden value: the first twelve digits of its SHA-256."""
+    return F.concat(F.lit("<"), F.substring(F.sha2(value, 256), 1, 12), F.lit(">"))
+
+
+def _cut(text: Column, pattern: Column, hidden: Column) -> Column:
+    """A text in which each match of a pattern is replaced by what ``hidden`` gives for it; what was put in is not looked at again."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    between = F.split(text, pattern)
+    pieces = F.zip_with(between, F.concat(F.transform(found, hidden), F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(text)
 
 
 def redact_long_runs(text: Column) -> Column:
-    """Runs of 200 characters or more that hold a space become a digest of their length."""
-    return F.regexp_replace(text, r"(?=[^\n]{0,199} )[^\n]{200,}", "<redacted prose>")
+    """Runs of letters, digits, spaces and plain marks that are long and hold a space, as prose does, become their digest and length; codes stay."""
+    said = lambda run: F.format_string("content=[private %s %d chars]", F.substring(F.sha2(run, 256), 1, 12), F.char_length(run))
+    hidden = lambda run: F.when((F.char_length(run) >= LONG_RUN) & F.contains(run, F.lit(" ")), said(run)).otherwise(run)
+    return _cut(text, F.lit(PROSE_RUN), hidden)
 
 
 def redact_known(text: Column, known: Column) -> Column:
-    """A text with each of the known values (an array) replaced by a digest of it, the longest first; null and empty ones hide nothing."""
-    longer = lambda a, b: F.char_length(b) - F.char_length(a)
-    order = lambda a, b: F.when(longer(a, b) != 0, longer(a, b)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    values = F.array_sort(F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")), order)
-    return F.aggregate(values, text, lambda said, v: F.replace(said, v, F.concat(F.lit("<"), F.substring(F.sha2(v, 256), 1, 12), F.lit(">"))))
+    """A text with each of the known values (an array) replaced by its digest; null and empty ones hide nothing.
+
+    The text is cut at all values at once, the longest first where several begin, so no digest is cut in turn.
+    """
+    quoted = lambda v: F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    longer = lambda a, b: F.coalesce(F.nullif(F.char_length(b) - F.char_length(a), F.lit(0)), F.when(a < b, -1).when(a > b, 1).otherwise(0))
+    values = F.array_sort(F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")), longer)
+    return F.when(F.size(values) > 0, _cut(text, F.array_join(F.transform(values, quoted), "|"), digest)).otherwise(text)
 
 
 def mask_share_paths(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import clock, identity, text
+from lodestone.operators import captures
 from lodestone.session import table
 from lodestone.sources.binders import NOW, TOPIC_LABELS, events, items, with_tables
 
@@ -126,11 +127,30 @@ def numbered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.transform("s", lambda x: F.concat(x["turn"].cast("string"), F.lit(": "), x["role"])), " > ").alias("outline"), "n")
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, source, regexp_replace(regexp_replace(coalesce(text, ''), '!\[[^\[\]\n]*\]\([^()\s]*\)', '', 'g'), '\[([^\[\]\n]*)\]\([^()\s]*\)', '\1', 'g') AS text FROM documents),
+l AS (SELECT doc_id, source, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[ *#\t\r]+|[ *\t\r]+$', '', 'g'), '^(?:Title|URL Source|Published Time|Markdown Content):.*$', '')) AS lines FROM d),
+s AS (SELECT DISTINCT doc_id, source, lower(x) AS line FROM (SELECT doc_id, source, unnest(lines) AS x FROM l) WHERE x <> '' AND len(regexp_extract_all(x, '\S+')) <= 4),
+n AS (SELECT source, count(*) AS captures FROM documents GROUP BY source), c AS (SELECT source, line, count(*) AS k FROM s GROUP BY ALL),
+known AS (SELECT c.source, list(line) AS known FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE k >= 5 AND k > 0.02 * captures GROUP BY c.source)
+SELECT doc_id, array_to_string(list_filter(lines, lambda x: x <> '' AND NOT coalesce(list_contains(known, lower(x)), false) AND NOT regexp_matches(x, '^[\d.,]+\s?[KMB]?\s?\p{L}{0,12}(?:\s*[·|,]\s*[\d.,]+\s?[KMB]?\s?\p{L}{0,12})*$')), chr(10)) AS prose FROM l LEFT JOIN known k ON l.source IS NOT DISTINCT FROM k.source""")
 def cleaned_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose of captured texts, empty for what isn't usable."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Title: x\nLog in\n[home](https://a.b/c) "), "text").alias("raw"))
-    return rows.select("doc_id", text.clean_source(text.usable_text(F.col("raw"))).alias("plain"))
+    """Prose of captured texts, a source's interface lines told by how often they recur there."""
+    return captures.prose(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+@query(r"""WITH d AS (SELECT page_id, html, regexp_extract(html, '(?i)target url returned error\s+(\d{3})', 1) AS code, len(regexp_extract_all(html, '\S+')) AS words FROM pages)
+SELECT page_id, CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN code >= '500' THEN 'retry' WHEN code <> '' THEN 'empty' WHEN regexp_matches(trim(html), '(?i)^(?:link:\s*)?https?://\S+$') THEN 'empty'
+  WHEN words < 60 AND regexp_matches(html, '(?i)captcha|verify you are human|video (?:currently )?unavailable') THEN 'empty' ELSE 'usable' END AS outcome FROM d""")
+def capture_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which captures hold something, hold nothing, or are to be fetched again."""
+    return table(spark, sf_dir, "pages").select("page_id", captures.outcome(F.col("html")).alias("outcome"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, text, string_split_regex(text, '[\p{L}\p{N} ''.,;:!?\-_()\[\]]+') AS between, regexp_extract_all(text, '[\p{L}\p{N} ''.,;:!?\-_()\[\]]+') AS found FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_zip(between, list_transform(found, lambda x: CASE WHEN len(x) >= 200 AND contains(x, ' ') THEN 'content=[private ' || substr(sha256(x), 1, 12) || ' ' || len(x) || ' chars]' ELSE x END)), lambda p: coalesce(p[1], '') || coalesce(p[2], '')), '') AS redacted FROM r""")
+def redacted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long runs of prose become their digest, everything else stays."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.redact_long_runs(F.col("text")).alias("redacted"))
 
 
 @query(rf"""{with_tables("items")} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(topics, tools, ['saved', 'The ' || category]), lambda t: lower(t)), lambda t: t <> 'saved' AND NOT starts_with(t, 'the ')))), '|') AS tags FROM items""")

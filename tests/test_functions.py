@@ -1,11 +1,15 @@
 """Literal cases of the identity, text and time functions."""
 
+import hashlib
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import clock, identity, text
-from lodestone.operators import ranking
+from lodestone.operators import captures, ranking
 
 
 @pytest.mark.parametrize(
@@ -109,16 +113,47 @@ def test_tags_profile_intent(spark):
 
 
 def test_sources_are_cleaned(spark):
-    clean = lambda t, **k: one(spark, text.clean_source(F.col("t"), **k), t=t)
-    page = "Title: x\nMarkdown Content:\n# Heading\n![i](u) Real [prose](https://a.b) here\nLog in\n12K views · 3 likes\n5 comments | Kept words\nAnn sent you a reel\n[1]: https://x.y z\nPublic"
-    assert clean(page) == "Heading\nReal prose here\nKept words\nPublic"
-    assert clean(page + "\nOriginal audio").endswith("Kept words")  # a social wrapper's own word goes too
-    assert clean("My page | Facebook", title=True) == "My page" and clean("Instagram", title=True) == ""
-    usable = lambda t, **k: one(spark, text.usable_text(F.col("t"), **k), schema="t string", t=t)
-    assert [usable(t) for t in (None, " ", "Link: https://a.b/c", "please verify you are human", "Target URL returned error 404")] == [""] * 5
-    assert usable("Target URL returned error 503") is None
-    assert usable("Log in\nonly four words here") == "" and usable("Log in\nnow these are five words") == "now these are five words"
-    assert usable("short text") == "short text" and usable("short text", video=True) == ""
+    page = "Title: x\nMarkdown Content:\n# Heading {0}\n![i](u) Real [prose](https://a.b) here {0}\n** Log in **\n12K views · 3 likes\nKept words {0}\r\nSuivre\n"
+    rows = [(i, "s", page.format(i)) for i in range(6)] + [(10 + i, None, "Suivre\nLog in\nown") for i in range(4)] + [(20, "s", None), (21, "s", "log in\n5 comments"), (22, "t", "Log in\nSuivre, encore une fois")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id: r.prose for r in captures.prose(docs, "doc_id", "source", "text").collect()}
+    assert {i: found[i] for i in range(6)} == {i: f"Heading {i}\nReal prose here {i}\nKept words {i}" for i in range(6)}
+    assert found[10] == "Suivre\nLog in\nown" and found[20] == found[21] == "" and found[22] == "Log in\nSuivre, encore une fois"
+    assert captures.prose(docs.where("false"), "doc_id", "source", "text").count() == 0
+
+
+def test_captures_have_an_outcome(spark):
+    of = lambda t: one(spark, captures.outcome(F.col("t")), schema="t string", t=t)
+    assert [of(t) for t in (None, " ", "Link: https://a.b/c", "please verify you are human", "Target URL returned error 404", "This video is no more: Video unavailable")] == ["empty"] * 6
+    assert of("Target URL returned error 503") == "retry" and of("short text") == "usable"
+    assert of("how a captcha works " * 30) == "usable"
+
+
+def plain_redacted(t):
+    """The text with each long run of prose hidden, one character after another."""
+    out, run = [], ""
+    for c in [*t, "\0"]:
+        if c.isalnum() or c in " '.,;:!?-_()[]":
+            run += c
+            continue
+        out += [f"content=[private {hashlib.sha256(run.encode()).hexdigest()[:12]} {len(run)} chars]" if len(run) >= 200 and " " in run else run, c]
+        run = ""
+    return "".join(out)[:-1]
+
+
+def test_long_runs_are_redacted(spark):
+    rng = random.Random(11)
+    cases = ["", "a b " * 50, "a b " * 49, "x" * 300, "{" + "word, " * 60 + "}" + "z" * 199, "\n".join(["some prose " * 30, "short", "\té" * 90]), *("".join(rng.choices("ab é\n{", [9, 9, 3, 3, 0.02, 0.02], k=900)) for _ in range(20))]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
+    assert {r.i: r.said for r in rows.select("i", text.redact_long_runs(F.col("t")).alias("said")).collect()} == {i: plain_redacted(t) for i, t in enumerate(cases)}
+
+
+def test_known_values_do_not_cut_digests(spark):
+    values = ["a", "1", "alpha", "a.b*", "\\E(", "alpha beta", "alpha"]
+    said = "alpha beta 1 met alpha a.b* axb* \\E( 1"
+    hidden = lambda v: f"<{hashlib.sha256(v.encode()).hexdigest()[:12]}>"
+    expected = re.sub("|".join(re.escape(v) for v in sorted(set(values), key=len, reverse=True)), lambda m: hidden(m[0]), said)
+    assert one(spark, text.redact_known(F.col("t"), F.array(*map(F.lit, values))), t=said) == expected
 
 
 def test_neighbours_equal_brute_force(spark):
