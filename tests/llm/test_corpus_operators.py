@@ -233,6 +233,26 @@ def test_a_language_without_labels_is_not_judged_by_others(spark):
     assert sum(not r.keep for r in found if r.doc_id >= 1000) <= 4
 
 
+def test_one_more_label_moves_a_threshold_little(spark):
+    """Thresholds of a language with 0 to 60 held-out documents, of which the first 60 in each test are the same."""
+    rng = random.Random(10)
+    big = [("en", True, 8_000 + rng.randrange(200), rng.randrange(3)) for _ in range(200)] + [("en", False, 8_000 + rng.randrange(200), 0) for _ in range(200)]
+    clean = [("de", 9_000 + rng.randrange(300), rng.randrange(2)) for _ in range(80)]
+    junk = [("de", False, 11_000 + rng.randrange(100), 90) for _ in range(30)]
+    found = {}
+    for n in (0, 1, 18, 19, 20, 21, 22, 60):
+        rows = big + junk + [(lang, i < n, step, odds) for i, (lang, step, odds) in enumerate(clean)]
+        steps = spark.createDataFrame(rows, "lang string, trusted boolean, step long, tenths long")
+        means = spark.createDataFrame([("en", 8.1), ("de", 9.2)], "lang string, mean double")
+        found[n] = {r.lang: (r.threshold, r.odds_limit) for r in quality._thresholds(means, steps, 0.99, 0.25).collect()}
+    assert len({x["en"] for x in found.values()}) <= 4
+    for a, b in ((0, 1), (18, 19), (19, 20), (20, 21), (21, 22)):
+        assert abs(found[a]["de"][0] - found[b]["de"][0]) < 0.02 and abs(found[a]["de"][1] - found[b]["de"][1]) <= 1
+    assert all(9.3 < x["de"][0] < 9.8 and x["de"][1] < 40 for x in found.values())  # junk sets neither
+    nothing = quality._thresholds(means, steps.withColumn("trusted", F.lit(False)), 0.99, 0.25)
+    assert nothing.count() == 0 and set(nothing.columns) == {"lang", "mean", "threshold", "odds_limit"}
+
+
 # -- near duplicates ---------------------------------------------------------
 
 
