@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import briefs, content, jobs, library, lifecycle, retrieval, schedule, search
+from lodestone.plans import briefs, content, jobs, library, lifecycle, retrieval, schedule, search, upkeep
 
-MODULES = [library, search, content, jobs, briefs, lifecycle, schedule, retrieval]
+MODULES = [library, search, content, jobs, briefs, lifecycle, schedule, retrieval, upkeep]
 
 
 def queries() -> dict:
