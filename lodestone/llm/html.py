@@ -48,7 +48,11 @@ PART_WORDS = {
     "link", "links", "list", "outer", "page", "panel", "post", "posts", "reader", "right", "section", "site", "slot", "stories", "sticky", "thread",
     "top", "unit", "user", "wrap", "wrapper",
 }
-COMMENT_NAMES = {"comment", "comments", "reply", "replies"}
+COMMENT_NAMES = {"comment", "comments", "disqus", "reply", "replies", "responses"}
+#: An element that only its name tells as boilerplate, on a page without article or main, is none with more than this share of its text.
+WRAPPER_SHARE = 0.5
+#: What stands beside an article, directly in main, and is text of its own.
+FLOW = {"blockquote", "dl", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ol", "p", "pre", "table", "ul"}
 #: An element of a key is closed by the start of one of its values, unless one of the barriers is open in between.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table"}
@@ -57,6 +61,7 @@ CONTAINERS = {"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "article", "
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _LONG_NUMBER = re.compile(r"&#\d{9,}")
+_COMMENT, _RAW, _TAG = re.compile("<!--"), ("script", "style", "textarea", "title"), re.compile(r"<[A-Za-z/!?]")
 
 
 class Page(HTMLParser):
@@ -72,10 +77,11 @@ class Page(HTMLParser):
         self.parts: list[list[str | int]] = [[]]
         self.named, self.headers = [False], [False]
         self._open, self._at = [0], {}  # open elements, and by tag where they stand among them
-        html = _shortened(html or "")
+        html = _shortened(_ended(html or ""))
         self._last_end = html.rfind("]]>")
         self.feed(html)
         self.close()
+        self._own = [sum(len("".join(p.split())) for p in parts if isinstance(p, str)) for parts in self.parts]
         self.kept = self._kept()
 
     # -- parsing
@@ -138,12 +144,15 @@ class Page(HTMLParser):
         inside, article, heading = [False] * n, [False] * n, [False] * n
         for i, tag in enumerate(self.tags):
             inside[i] = tag in ("article", "main") or (i > 0 and inside[self.parents[i]])
+        mass = self.mass([not d for d in self.dropped])
+        wrapped = not any(tag in ("article", "main") and mass[i] for i, tag in enumerate(self.tags))
         for i in range(n - 1, 0, -1):
             if self.dropped[i]:
                 continue
             article[i] |= self.tags[i] in ("article", "main")
             heading[i] |= self.tags[i] == "h1"
-            if (self.named[i] and not article[i]) or (self.headers[i] and not article[i] and not (heading[i] and inside[i])):
+            named = self.named[i] and not article[i] and not (wrapped and mass[i] > WRAPPER_SHARE * mass[0])
+            if named or (self.headers[i] and not article[i] and not (heading[i] and inside[i])):
                 self.dropped[i] = True
             else:
                 article[self.parents[i]] |= article[i]
@@ -153,24 +162,45 @@ class Page(HTMLParser):
             kept[i] = kept[self.parents[i]] and not self.dropped[i]
         return kept
 
+    def mass(self, kept: list[bool]) -> list[int]:
+        """The characters of text that each kept element holds, white space aside."""
+        out = [own if k else 0 for own, k in zip(self._own, kept, strict=True)]
+        for i in range(len(self.tags) - 1, 0, -1):
+            if kept[i]:
+                out[self.parents[i]] += out[i]
+        return out
+
     def roots(self) -> list[int]:
-        """The outermost article elements, else the main ones, else the page."""
-        n = len(self.tags)
-        text = [False] * n
-        for i in range(n - 1, -1, -1):
-            text[i] = self.kept[i] and (text[i] or any(isinstance(p, str) and not p.isspace() and p != "" for p in self.parts[i]))
-            if text[i] and i:
-                text[self.parents[i]] = True
-        for wanted in ("article", "main"):
+        """The elements that are the article, in page order and none within another.
+
+        The outermost articles, if they hold half of the text of the page or, if it has one, of its main; with them goes what
+        stands directly in main as text of its own. Otherwise articles are teasers: main, if it holds half of the page's text,
+        else the page.
+        """
+        mass, n = self.mass(self.kept), len(self.tags)
+
+        def outermost(wanted: str) -> list[int]:
             within, found = [False] * n, []
             for i, tag in enumerate(self.tags):
                 within[i] = i > 0 and within[self.parents[i]]
-                if tag == wanted and text[i] and not within[i]:
+                if tag == wanted and mass[i] and not within[i]:
                     within[i] = True
                     found.append(i)
-            if found:
-                return found
-        return [0]
+            return found
+
+        articles, mains = outermost("article"), outermost("main")
+        scope = sum(mass[i] for i in mains) or mass[0]
+        if articles and 2 * sum(mass[i] for i in articles) >= scope:
+            beside = [i for i in range(n) if self.parents[i] in mains and self.tags[i] in FLOW and mass[i]]
+            return articles if self._within(mains, articles) else sorted({*articles, *beside})
+        return mains if mains and 2 * scope >= mass[0] else [0]
+
+    def _within(self, inner: list[int], outer: list[int]) -> bool:
+        """Whether any of some elements lies within another of some."""
+        held, within = set(outer), [False] * len(self.tags)
+        for i in range(len(self.tags)):
+            within[i] = i in held or (i > 0 and within[self.parents[i]])
+        return any(within[i] and i not in held for i in inner)
 
     def digests(self, roots: list[int]) -> list[int]:
         """Each element's subtree hash, 0 if it has no text; only those within the roots."""
@@ -229,6 +259,18 @@ class Page(HTMLParser):
         return out
 
 
+def _ended(html: str) -> str:
+    """A page without the tag or comment that its end cuts off: neither is text, and neither is looked for again and again."""
+    html = html.replace("<!-->", "").replace("<!--->", "")  # comments that end where they begin
+    start = _COMMENT.search(html, html.rfind("-->") + 1)
+    if start:
+        low = html[: start.start()].lower()
+        if not any(low.rfind(f"<{tag}") > low.rfind(f"</{tag}") for tag in _RAW):
+            html = html[: start.start()]
+    open_ = _TAG.search(html, html.rfind(">") + 1)
+    return html[: open_.start()] if open_ else html
+
+
 def _shortened(html: str) -> str:
     """Character references of over eight digits, which no character has, cut; leading zeros of long ones go."""
     if not _LONG_NUMBER.search(html):
@@ -241,11 +283,16 @@ def _names_boilerplate(token: str) -> bool:
     return bool(words & NOT_TEXT_NAMES) and words <= NOT_TEXT_NAMES | PART_WORDS
 
 
+def _names_comments(token: str) -> bool:
+    words = {w.lower() for w in _NAME.findall(token)}
+    return bool(words & COMMENT_NAMES) and words <= COMMENT_NAMES | NOT_TEXT_NAMES | PART_WORDS
+
+
 def _verdict(tag: str, attrs: dict[str, str | None]) -> tuple[bool, bool, bool]:
     """Whether an element is boilerplate, whether its names say so, and whether it is a header."""
     tokens = [*(attrs.get("class") or "").split(), *(attrs.get("id") or "").split()]
     hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower()
-    comment = tag == "article" and any(t.lower() in COMMENT_NAMES for t in tokens)
+    comment = tag != "main" and any(map(_names_comments, tokens))
     named = tag not in ("article", "main") and any(map(_names_boilerplate, tokens))
     dropped = tag in NOT_TEXT or hidden or comment or (attrs.get("role") or "").lower() in NOT_TEXT_ROLES
     return dropped, named, tag == "header" or any(t.lower() in ("header", "page-header", "site-header") for t in tokens)
@@ -286,8 +333,8 @@ def extract_text(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PA
 
     Returns page_id, url, text (blocks joined by line feeds), n_chars (code points), a row per input row. A null or empty
     page has an empty text; a null url, or one without a host, belongs to a host of its own. Malformed markup is parsed
-    leniently, and pages of any length and nesting whole. Repeated rows stay; a page without article or main element gives
-    what is left of its body. An empty table gives an empty result; other columns are ignored.
+    leniently, a tag or comment that the page's end cuts off is no text, and pages of any length and nesting are read whole.
+    Repeated rows stay; a page whose article or main elements hold less than half of its text gives what is left of its body. An empty table gives an empty result; other columns are ignored.
     """
     rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", host().alias("host"), "html")
     template = stored(template_subtrees(rows, ratio, min_pages))

@@ -6,6 +6,7 @@ import io
 import json
 import math
 import random
+import time
 import wave
 import zlib
 
@@ -152,6 +153,35 @@ def test_numbers_of_any_length():
     assert text_blocks(f"<p>a&#{'9' * 5000};b&#{'0' * 5000}65;c&#x41;</p>") == ["a\ufffdbAcA"]
 
 
+def test_reader_comments_go_even_as_articles():
+    blog = '<div id="comments"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>reader says</p></article></li></ol></div>'
+    assert text_blocks(f"<article><p>post</p></article>{blog}") == text_blocks(f"<article><p>post</p>{blog}</article>") == ["post"]
+    assert text_blocks('<article class="reply"><p>no</p></article><article><p>post</p></article>') == ["post"]
+
+
+def test_roots_are_chosen_by_what_they_hold():
+    long = "the story goes on " * 9
+    assert text_blocks(f'<div><p>{long}</p></div><article class="card">teaser</article>') == [long.strip(), "teaser"]
+    assert text_blocks("<main><p>lead</p><article>the article</article><div>beside</div><p>tail</p></main>") == ["lead", "the article", "tail"]
+    assert text_blocks(f"<article><main><p>in</p></main><p>{long}</p></article>") == ["in", long.strip()]
+    for name in ('class="sidebar-left"', 'class="search-list"', 'id="widget-list"'):
+        assert text_blocks(f'<div {name}><div class="content">all there is</div></div>') == ["all there is"]
+        assert text_blocks(f"<div {name}>{long}</div><article>post</article>") == ["post"]
+
+
+@pytest.mark.parametrize(("source", "text"), [("a<!-- never closed <p>b", ["a"]), ("a<!-->b", ["ab"]), ("<script><!-- x </script>text", ["text"]), ('<p>x</p><a href="', ["x"]), ("a < b and <3", ["a < b and <3"]), ("a<!-- b --><p>c<!-- d", ["a", "c"])])
+def test_markup_that_the_end_cuts_off(source, text):
+    assert text_blocks(source) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", '<a href="', "<a b='>", "</", "<!", "<?", "&#", "</a ", "<![", "<p><!-"])
+@pytest.mark.parametrize("last", ["", ">"])
+def test_broken_markup_takes_no_long_time(piece, last):
+    began = time.process_time()
+    text_blocks(piece * (500_000 // len(piece)) + last)
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("attribute", ['class="related-work"', 'class="search-results"', 'id="content-widget-main"', 'class="ad-hoc social-science"', 'class="comment-on-law"', 'id="share-price"'])
 def test_text_is_not_lost_by_parts_of_names(attribute):
     assert text_blocks(f"<body {attribute}><article><p>one</p><div {attribute}>two</div></article></body>") == ["one", "two"]
