@@ -162,7 +162,7 @@ def test_reader_comments_go_even_as_articles():
 def test_roots_are_chosen_by_what_they_hold():
     long = "the story goes on " * 9
     assert text_blocks(f'<div><p>{long}</p></div><article class="card">teaser</article>') == [long.strip(), "teaser"]
-    assert text_blocks("<main><p>lead</p><article>the article</article><div>beside</div><p>tail</p></main>") == ["lead", "the article", "tail"]
+    assert text_blocks("<main><p>lead</p><article>the article is longer</article><div>beside</div><p>tail</p></main>") == ["lead", "the article is longer", "tail"]
     assert text_blocks(f"<article><main><p>in</p></main><p>{long}</p></article>") == ["in", long.strip()]
     for name in ('class="sidebar-left"', 'class="search-list"', 'id="widget-list"'):
         assert text_blocks(f'<div {name}><div class="content">all there is</div></div>') == ["all there is"]
