@@ -170,11 +170,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     Returns doc_id, item_id, score (1 for an exact copy), n_seeds (the item's seeds in the place, 0 if it was found by
     common grams alone), start_word, end_word (the copy's words in the document), a row per document and item: the best
     place. Null and empty texts match nothing, and neither do items
-    of fewer than three words. Repeated rows of either table give one row for each pair of ids. Texts of any length are
+    of fewer than three words. Items without an id are sought like any other; of all these a document has one row, with
+    a null item_id. Repeated rows of either table give one row for each pair of ids. Texts of any length are
     searched whole. Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").dropDuplicates())
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropDuplicates())
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = int(total // block_words) + 1
     found = spark.createDataFrame([], RESULT)

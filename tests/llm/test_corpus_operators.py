@@ -96,6 +96,16 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark, block_words):
     assert decontamination.find_leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_items_without_an_id_are_sought(spark):
+    rng = random.Random(14)
+    items = [words(rng, 20) for _ in range(3)]
+    docs = frame(spark, [(i, " ".join(words(rng, 30) + (items[i] if i < 3 else []) + words(rng, 9)), "s", "en") for i in range(6)])
+    benchmark = spark.createDataFrame([(None, " ".join(items[0])), (None, " ".join(items[1])), (7, " ".join(items[2])), (None, None)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.score) for r in decontamination.find_leaks(docs, benchmark).collect()}
+    assert found == {(0, None, 1.0), (1, None, 1.0), (2, 7, 1.0)}
+    assert {r.doc_id for r in decontamination.drop_leaks(docs, benchmark).collect()} == {3, 4, 5}
+
+
 def test_leaks_equal_all_pairs_aligned(spark):
     rng = random.Random(12)
     items = [words(rng, rng.randrange(4, 30), 300) for _ in range(7)]
