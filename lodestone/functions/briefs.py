@@ -36,8 +36,8 @@ def repaired_title(title: Column) -> Column:
     return F.when(F.char_length(one) <= TITLE_LENGTH, one).otherwise(F.regexp_replace(whole, r"[ ,;:\-–—]+$", ""))
 
 
-def rejection(tags: Column, phrases: Column, points: Column, names: Column, segments: Column, written: Column, level: Column, confidence: Column, missing: Column, intent: Column, prose: Column) -> Column:
-    """Why a brief is rejected, the first rule that fails, or null.
+def broken_rules(tags: Column, phrases: Column, points: Column, names: Column, segments: Column, written: Column, level: Column, confidence: Column, missing: Column, intent: Column, prose: Column) -> Column:
+    """All rules that a brief breaks, in the order in which they are looked at; a rule that a null keeps open is not broken.
 
     points: array of (point, segment_ids); segments: array of (id, text). Named entities need a written source, as speech
     recognition mishears names; points must not copy a sentence of three words or more.
@@ -47,14 +47,20 @@ def rejection(tags: Column, phrases: Column, points: Column, names: Column, segm
     full = level == "full_transcript"
     bad_citation = F.exists(points, lambda p: (full & (F.size(p["segment_ids"]) <= 0)) | (F.size(F.array_except(p["segment_ids"], ids)) > 0))
     copied = F.exists(points, lambda p: (F.size(F.split(plain(p["point"]), " ")) >= 3) & F.array_contains(sentences, plain(p["point"])))
-    return (
-        F.when(~F.size(tags).between(*TAGS), "tag_count")
-        .when(~F.size(phrases).between(*PHRASES), "schema")
-        .when(bad_citation, "timestamp")
-        .when(F.exists(names, lambda n: ~says(written, n)), "unsupported_name")
-        .when(copied, "copied_transcript")
-        .when(prose.rlike(COMMENTARY) | (intent.isNotNull() & ~intent.rlike(HEDGES)) | (~full & ((confidence == "high") | F.coalesce(missing == "", F.lit(True)))), "grounding")
-    )
+    rules = {
+        "tag_count": ~F.size(tags).between(*TAGS),
+        "schema": ~F.size(phrases).between(*PHRASES),
+        "timestamp": bad_citation,
+        "unsupported_name": F.exists(names, lambda n: ~says(written, n)),
+        "copied_transcript": copied,
+        "grounding": prose.rlike(COMMENTARY) | (intent.isNotNull() & ~intent.rlike(HEDGES)) | (~full & ((confidence == "high") | F.coalesce(missing == "", F.lit(True)))),
+    }
+    return F.array_compact(F.array(*(F.when(broken, code) for code, broken in rules.items())))
+
+
+def rejection(*brief: Column) -> Column:
+    """Why a brief is rejected, the first rule that fails, or null; arguments as ``broken_rules`` takes them."""
+    return F.get(broken_rules(*brief), F.lit(0))
 
 
 def array_text(values: Column, separator: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.functions import briefs
+from lodestone.functions import briefs, report
 from lodestone.operators import filters
 from lodestone.plans import search
 from lodestone.session import table
@@ -40,6 +40,42 @@ def brief_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("id", code.alias("code"), briefs.repaired_title(F.col("title")).alias("title"))
 
 
+_BRIEFED = r"""w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w, string_split(coalesce(text, ''), chr(10))[1] AS head, source, n_chars FROM documents)"""
+
+
+@query(f"""WITH {_BRIEFED}, t AS (SELECT doc_id, substr(head, 1, 120) AS title, len(w) AS n, least(len(w), 40) AS tags, len(list_filter(w, lambda x: len(x) > 11)) AS phrases, source FROM w)
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN len(title) < 1 THEN '$.title too_short' WHEN len(title) > 80 THEN '$.title too_long' END, CASE WHEN source IS NULL THEN '$.content_type missing' ELSE '$.content_type not_allowed' END,
+  CASE WHEN n >= 2 THEN '$.instant_brief type' WHEN n = 0 THEN '$.instant_brief missing' END, CASE WHEN n > 0 THEN '$.key_points[0].source_ref type' END,
+  '$.entities.people_orgs missing', '$.entities.places unknown', CASE WHEN tags < 15 THEN '$.tags too_short' WHEN tags > 30 THEN '$.tags too_long' END,
+  CASE WHEN phrases < 5 THEN '$.search_phrases too_short' WHEN phrases > 8 THEN '$.search_phrases too_long' END, '$.evidence_used[1] not_allowed', '$.mood unknown'], lambda x: x IS NOT NULL), '; ') AS problems,
+  CASE WHEN tags < 15 OR tags > 30 THEN 'tag_count' ELSE 'schema' END AS reason FROM t""")
+def brief_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every violation of the briefs' shape by briefs made of each document's own words, as JSON, with the reason that is counted."""
+    docs = table(spark, sf_dir, "documents")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = docs.select("doc_id", "source", F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 120).alias("title"), words.alias("w"))
+    n, some = F.size("w"), lambda name: F.array().cast("array<string>").alias(name)
+    points = F.when(n > 0, F.array(F.struct(F.get("w", F.lit(0)).alias("point"), F.lit(7).alias("source_ref")))).otherwise(F.array().cast("array<struct<point:string,source_ref:int>>"))
+    brief = F.struct(
+        "title",
+        F.col("source").alias("content_type"),
+        F.when(n >= 2, F.parse_json(F.to_json(F.array(n)))).when(n == 1, F.parse_json(F.lit('"one"'))).alias("instant_brief"),
+        points.alias("key_points"),
+        F.struct(some("tools_products"), some("numbers"), some("places")).alias("entities"),
+        some("topics"),
+        F.slice("w", 1, 40).alias("tags"),
+        F.filter("w", lambda x: F.char_length(x) > 11).alias("search_phrases"),
+        F.lit("low").alias("confidence"),
+        F.array(F.lit("caption"), F.lit("hearsay")).alias("evidence_used"),
+        F.lit(True).alias("mood"),
+    )
+    found = report.violations(F.try_parse_json(F.to_json(brief)), report.BRIEF)
+    judged = rows.select("doc_id", found.alias("found"))
+    listed = F.array_join(F.transform("found", lambda v: F.concat(v["path"], F.lit(" "), v["problem"])), "; ")
+    return judged.select("doc_id", listed.alias("problems"), report.reason(F.col("found"), F.array().cast("array<string>")).alias("reason"))
+
+
 @query()
 def structured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured data flattened to paths and values; broken JSON is repaired first."""
