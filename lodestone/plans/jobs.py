@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import identity
-from lodestone.session import table
+from lodestone.session import shared_dir, table
 from lodestone.sources.binders import NOW, events, items, with_tables
 from lodestone.streaming import jobs
 
@@ -37,8 +36,7 @@ def job_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T6 as a stream: one micro-batch of all there is, state in the state store, the same transitions."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-stream-")
-    base = f"{folder.rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     log = jobs.as_log(raw.withColumn("at_s", F.unix_seconds(F.col("ts").cast("timestamp"))))
     before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}

@@ -12,7 +12,7 @@ from lodestone.functions import embed, text
 from lodestone.functions.stem import porter
 from lodestone.operators import cells, postings, ranking
 from lodestone.plans import retrieval, search
-from lodestone.sources import binders
+from lodestone.sources import binders, fixtures
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -157,3 +157,18 @@ def test_reasons_name_times_and_notes(spark):
     assert said("pear", "an apple", None, None, None) == "apple (in the content)"
     assert said("pear", None, None, "apple pie", None) == "apple (your note)"
     assert said("pear", None, None, None, None) == "similar meaning"
+
+
+def test_fixtures_are_read_under_their_schemas(spark, tmp_path):
+    lines = [
+        '{"key": "a", "title": "T", "tags": ["x", "y"], "brief": {"title": "B", "structured_data": {"steps": [1, {"two": null}], "n": 2.5}, "topics": ["t"]}, "invented": 1}',
+        '{"key": "b", "brief": {"structured_data": "plain"}}',
+        "{broken",
+    ]
+    (tmp_path / "documents.json").write_text("\n".join(lines))
+    rows = fixtures.read(spark, str(tmp_path / "documents.json"), fixtures.DOCUMENTS).select("key", "tags", "brief.title", F.to_json("brief.structured_data").alias("data")).collect()
+    assert [tuple(r) for r in rows] == [("a", ["x", "y"], "B", '{"n":2.5,"steps":[1,{"two":null}]}'), ("b", None, None, '"plain"'), (None, None, None, None)]
+    (tmp_path / "golden.json").write_text('{\n "items": [{"id": "1", "title": "One", "tags": ["x"]}, {"id": "2"}],\n "queries": [{"q": "first", "expect": "1"}, {"q": "second", "expect": "2"}],\n "metric": "recall"}')
+    golden = fixtures.read(spark, str(tmp_path / "golden.json"), fixtures.GOLDEN, multi_line=True)
+    assert [tuple(r) for r in fixtures.golden_queries(golden).collect()] == [(1, "first", ["1"]), (2, "second", ["2"])]
+    assert [(r.id, r.title, r.tags) for r in fixtures.golden_items(golden).collect()] == [("1", "One", ["x"]), ("2", None, None)]
