@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import briefs, content, jobs, library, lifecycle, retrieval, schedule, search, upkeep
+from lodestone.plans import briefs, content, jobs, library, lifecycle, retrieval, saves, schedule, search, upkeep
 
-MODULES = [library, search, content, jobs, briefs, lifecycle, schedule, retrieval, upkeep]
+MODULES = [library, search, content, jobs, briefs, lifecycle, schedule, retrieval, upkeep, saves]
 
 
 def queries() -> dict:
