@@ -61,3 +61,16 @@ def read_facets(values: dict) -> dict:
     if "saved" in values:
         date.fromisoformat(values["saved"])
     return values
+
+
+#: What a failure's reason says, and what the user is told then.
+ACCESS_WORDS, ACCESS = ("paywall", "403", "401", "sign-in", "login"), "This page requires access or sign-in."
+OUTAGE_WORDS, OUTAGE = ("timeout", "temporarily unavailable", "connection"), "This page was temporarily unavailable. Try again."
+UNREADABLE = "This page could not be read. Try again or keep the link."
+
+
+def failure_message(status: Column, needs_retry: Column, reason: Column) -> Column:
+    """What the user is told about a save that failed or is to be retried; null for any other. A null reason says nothing."""
+    said = F.lower(F.coalesce(reason, F.lit("")))
+    failed = F.coalesce((status == "failed") | needs_retry, F.lit(False))
+    return F.when(failed, F.when(said.rlike("|".join(ACCESS_WORDS)), ACCESS).when(said.rlike("|".join(OUTAGE_WORDS)), OUTAGE).otherwise(UNREADABLE))

@@ -93,7 +93,7 @@ def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def segment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as segments, filled greedily into groups."""
+    """Lines as segments, filled greedily into groups; ``packed_segments`` also splits."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("s"))
     return rows.select("doc_id", briefs.segment_groups(F.col("s"), 1_000).alias("groups"))
 
@@ -150,7 +150,7 @@ def share_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')} SELECT id, left(summary, 300) AS summary, CASE WHEN intent IN ('research', 'project') THEN intent ELSE 'other' END AS intent, array_to_string(list_transform(topics, lambda t: lower(t))[1:15], '|') AS tags,
 left(coalesce(title, 'Saved'), 120) AS title_clean, CASE WHEN link_only THEN edited_summary ELSE coalesce(edited_summary, summary) END AS shown FROM items""")
 def memory_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A brief as stored columns; a link-only save shows only what its owner wrote."""
+    """A brief as stored columns; a link-only save shows only what its owner wrote."""
     tags = F.slice(F.transform("topics", lambda t: F.lower(t)), 1, 15)
     return items(spark, sf_dir).select("id", F.substring("summary", 1, 300).alias("summary"), F.when(F.col("intent").isin("research", "project"), F.col("intent")).otherwise("other").alias("intent"), F.array_join(tags, "|").alias("tags"), F.substring(F.coalesce("title", F.lit("Saved")), 1, 120).alias("title_clean"), filters.display_summary().alias("shown"))
 
@@ -158,7 +158,7 @@ def memory_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')}, old AS (SELECT id, title, summary FROM items WHERE id % 2 = 0), new AS (SELECT id, 'New ' || title AS title, NULL AS summary, id % 3 = 0 AS failed FROM items WHERE id % 4 = 0)
 SELECT o.id, CASE WHEN n.id IS NULL OR n.failed THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN 'kept' WHEN n.failed THEN 'restored' ELSE 'replaced' END AS outcome FROM old o LEFT JOIN new n ON o.id = n.id""")
 def reprocess_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """U16, R2: a failed reprocessing restores the saved fields."""
+    """U16: a failed reprocessing restores the saved fields."""
     own = items(spark, sf_dir)
     old = own.where("id % 2 = 0").select("id", "title")
     new = own.where("id % 4 = 0").select("id", F.concat(F.lit("New "), "title").alias("new_title"), (F.col("id") % 3 == 0).alias("failed"))
@@ -184,7 +184,7 @@ def offline_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{with_tables('items', 'memories')} SELECT count(*) AS n, count(DISTINCT user_id) AS owners, count(*) FILTER (user_intent IS NULL) AS without_intent FROM memories WHERE user_id IN (SELECT user_id FROM items WHERE user_id % 4 <> 1)""")
 def guest_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a sweep keeps, counted."""
+    """What a sweep keeps, counted; ``guest_leavings`` is the sweep."""
     keep = items(spark, sf_dir).where("user_id % 4 <> 1").select("user_id").distinct()
     return memories(spark, sf_dir).join(keep, "user_id", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("owners"), F.count_if(F.col("user_intent").isNull()).alias("without_intent"))
 

@@ -188,7 +188,7 @@ def typo_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, len(text) - len(regexp_replace(text, '[0-9]{4,}', '#', 'g')) > 0 AS has_long_number, sha256(source)[1:12] AS source_hash, 'Text(' || len(text) || ' chars)' AS described FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions without content."""
+    """Descriptions without content."""
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike("[0-9]{4,}").alias("has_long_number"), identity.short_hash(F.col("source")).alias("source_hash"), F.format_string("Text(%d chars)", F.char_length("text")).alias("described"))
 
 
@@ -209,7 +209,7 @@ _PREF = "SELECT c_custkey AS owner, (c_custkey % 7)::INT AS weekday, (c_custkey
 s AS (SELECT *, (local_s // 86400 - ((((local_s // 86400 + 3) % 7) - weekday + 7) % 7)) * 86400 + hour * 3600 + minute * 60 AS scheduled_s FROM loc)
 SELECT owner, scheduled_s, local_s - scheduled_s BETWEEN 0 AND 899 AS due, strftime(make_timestamp(scheduled_s::BIGINT * 1000000), '%G-W%V') AS week FROM s""")
 def weekly_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16, X49, T9, Q: local wall clock within fifteen minutes after the preferred time; the scheduled day names the week."""
+    """Local wall clock within fifteen minutes after the preferred time; the scheduled day names the week."""
     k = F.col("c_custkey")
     zone = F.when(k % 3 == 0, "UTC").when(k % 3 == 1, "Etc/GMT-3").otherwise("Etc/GMT+8")
     pref = table(spark, sf_dir, "customer").select(k.alias("owner"), (k % 7).alias("weekday"), (k % 24).alias("hour"), (k % 4 * 15).alias("minute"), clock.local_seconds(F.lit(NOW), zone).alias("local_s"))
@@ -244,7 +244,7 @@ def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')}, taken AS (SELECT DISTINCT user_id FROM items WHERE id % 5 = 0 AND user_id % 2 = 0)
 SELECT user_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY created_s DESC, id DESC) AS ids FROM items WHERE created_s < {NOW} - 604800 AND opened_s IS NULL AND deleted_s IS NULL AND user_id NOT IN (SELECT user_id FROM taken) GROUP BY user_id""")
 def weekly_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forgotten saves of owners that have no snapshot of this week, newest first; all owners in one plan."""
+    """forgotten saves of owners that have no snapshot of this week, newest first; all owners in one plan."""
     from lodestone.operators import filters
 
     own = items(spark, sf_dir)

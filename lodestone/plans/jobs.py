@@ -62,7 +62,7 @@ def quota_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('log')}, clicks AS (SELECT user_id, event_id, at_s, lag(at_s) OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS before FROM log WHERE event_type IN ('error', 'view'))
 SELECT user_id, count(*) AS n, count(*) FILTER (at_s - before > 21600 OR before IS NULL) AS bursts FROM clicks GROUP BY user_id""")
 def dispatch_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims grouped into bursts by the gap before them."""
+    """Claims grouped into bursts by the gap before them; ``admitted_calls`` is the limiter."""
     order = W.partitionBy("user_id").orderBy("at_s", "event_id")
     rows = events(spark, sf_dir).where("event_type in ('error', 'view')").withColumn("before", F.lag("at_s").over(order))
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if((F.col("at_s") - F.col("before") > 21_600) | F.col("before").isNull()).alias("bursts"))
@@ -101,7 +101,7 @@ _ASSETS = "assets AS (SELECT content_id, url, CASE id % 3 WHEN 0 THEN 'PUBLIC' W
 UNION ALL SELECT i.id, a.asset, a.created_s, 2 AS tier FROM items i JOIN assets a ON i.url = a.url WHERE (a.visibility = 'PUBLIC' AND (NOT a.is_cache OR a.has_payload)) OR (a.visibility <> 'PUBLIC' AND a.owner = i.user_id))
 SELECT id, arg_min(asset, (tier, created_s, asset)) AS asset FROM usable GROUP BY id""")
 def reusable_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The asset to reuse: by content first, then by URL, the earliest of those one may see."""
+    """The asset to reuse: by content first, then by URL, the earliest of those one may see."""
     own, i = items(spark, sf_dir), F.col("id")
     visibility = F.when(i % 3 == 0, "PUBLIC").when(i % 3 == 1, "PRIVATE").otherwise("UNKNOWN")
     assets = own.where("content_id is not null").select("content_id", "url", visibility.alias("visibility"), F.col("user_id").alias("owner"), ((i % 2 != 0) | (i % 4 == 0)).alias("complete"), F.col("created_s").alias("at"), i.alias("asset"))
@@ -150,7 +150,7 @@ def resolve_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{with_tables('items')} SELECT id, CASE WHEN edited_title IS NOT NULL THEN 'confirm' WHEN status = 'pending' THEN 'busy' WHEN id % 10 = 3 THEN 'quota' ELSE 'queued' END AS regenerate,
 CASE WHEN status = 'pending' THEN 'no-op' WHEN status = 'failed' OR needs_retry THEN 'retried' ELSE 'refused' END AS retry FROM items""")
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guarded transitions, tried in order."""
+    """Guards of transitions, tried in order; ``asked_transitions`` applies them."""
     regenerate = F.when(F.col("edited_title").isNotNull(), "confirm").when(F.col("status") == "pending", "busy").when(F.col("id") % 10 == 3, "quota").otherwise("queued")
     retry = F.when(F.col("status") == "pending", "no-op").when((F.col("status") == "failed") | F.col("needs_retry"), "retried").otherwise("refused")
     return items(spark, sf_dir).select("id", regenerate.alias("regenerate"), retry.alias("retry"))
@@ -167,7 +167,7 @@ def account_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events""")
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON that may be broken gives null, never an error."""
+    """JSON that may be broken gives null, never an error."""
     rows = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"), "props")
     return rows.select("event_id", F.try_variant_get("v", "$.k", "string").alias("k"), F.col("v").isNotNull().alias("valid"))
 
@@ -181,10 +181,10 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.sqrt(F.aggregate("n", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("size"), F.size("n").alias("width"))
 
 
-@query(f"""{with_tables('items')} SELECT content_id, arg_max(coalesce(edited_title, title), (created_s, id)) AS title, max(created_s) AS updated_s, bool_or(id % 3 = 0) AS public FROM items WHERE content_id IS NOT NULL AND status = 'ready' AND user_id < 20 GROUP BY content_id""")
+@query(f"""{with_tables('items')} SELECT content_id, arg_max(coalesce(edited_title, title), (created_s, id)) AS title, max(created_s) AS updated_s, bool_or(id % 3 = 0) AS public FROM items WHERE content_id IS NOT NULL AND status = 'ready' GROUP BY content_id""")
 def asset_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest finished save of an owner range overwrites its asset; only listed columns are read."""
-    own = items(spark, sf_dir).where("content_id is not null and status = 'ready' and user_id < 20")
+    """The newest finished save of a content overwrites its asset; only listed columns are read."""
+    own = items(spark, sf_dir).where("content_id is not null and status = 'ready'")
     newest = F.max_by(F.coalesce("edited_title", "title"), F.struct("created_s", "id"))
     return own.groupBy("content_id").agg(newest.alias("title"), F.max("created_s").alias("updated_s"), F.bool_or(F.col("id") % 3 == 0).alias("public"))
 

@@ -133,7 +133,7 @@ def left_join_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < 0)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that nothing refers to, by anti joins."""
+    """Rows that nothing refers to, by anti joins."""
     poor = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("c_nationkey"))
     owners = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
     return owners.join(poor, "c_nationkey", "left_anti").select("c_custkey")
@@ -165,7 +165,7 @@ def asset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ITEMS}, members AS (SELECT DISTINCT content_id, user_id FROM items WHERE content_id IS NOT NULL), assets AS (SELECT DISTINCT content_id FROM items WHERE content_id IS NOT NULL AND id % 2 = 0)
 SELECT a.content_id, m.user_id, md5(a.content_id || '|' || m.user_id) AS copy_id FROM assets a JOIN members m ON a.content_id = m.content_id""")
 def split_per_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A private copy for each distinct member."""
+    """A copy for each distinct member; ``split_assets`` moves their rows too."""
     own = items(spark, sf_dir).where("content_id is not null")
     return merges.split_per_owner(own.where("id % 2 = 0").select("content_id").distinct(), own, "content_id", "user_id").select("content_id", "user_id", "copy_id")
 
@@ -187,7 +187,7 @@ def newest_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH local AS (SELECT event_id AS id, value AS v, event_id % 5 = 0 AS dirty FROM events WHERE event_id % 2 = 0), remote AS (SELECT event_id AS id, value + 1 AS v FROM events WHERE event_id % 3 = 0)
 SELECT coalesce(l.id, r.id) AS id, round(CASE WHEN coalesce(l.dirty, false) THEN l.v ELSE r.v END, 6) AS v, coalesce(l.dirty, false) AS dirty FROM local l FULL JOIN remote r ON l.id = r.id WHERE coalesce(l.dirty, false) OR r.id IS NOT NULL""")
 def reconcile_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty local rows win, clean ones missing remotely go."""
+    """Dirty local rows win, clean ones missing remotely go; ``reminder_sync`` is the merge of reminders."""
     log = table(spark, sf_dir, "events")
     local = log.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.col("value").alias("v"), (F.col("event_id") % 5 == 0).alias("dirty"))
     remote = log.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), (F.col("value") + 1).alias("v"))
@@ -197,7 +197,7 @@ def reconcile_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH stored AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND event_id % 4 = 0)
 SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM stored) GROUP BY user_id""")
 def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incoming rows whose key isn't stored, the first of each."""
+    """Incoming rows whose key isn't stored, the first of each."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     stored = log.where("event_type = 'view' and event_id % 4 = 0")
     fresh = log.where("event_type = 'click'").join(stored.select("user_id").distinct(), "user_id", "left_anti")
@@ -256,7 +256,7 @@ BOUNDS = [1000.0, 5000.0, 20000.0, 50000.0]
 
 @query("SELECT l_returnflag, " + ", ".join(f"count(*) FILTER (l_extendedprice <= {b}) AS le_{str(b).replace('.', '_')}" for b in BOUNDS) + ", count(l_extendedprice) AS le_inf, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_returnflag")
 def histogram_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every bucket up to its bound, in one pass."""
+    """Every bucket up to its bound, in one pass."""
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*clock.cumulative_buckets(F.col("l_extendedprice"), BOUNDS)).withColumn("total", F.round("total", 2))
 
 
@@ -307,7 +307,7 @@ def daily_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{with_tables('log')} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS trailing FROM log WHERE event_type IN ('click', 'view')")
 def trailing_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses in the trailing day, by a range frame over each user's own events."""
+    """Uses in the trailing day, by a range frame over each user's own events."""
     frame = W.partitionBy("user_id").orderBy("at_s").rangeBetween(-86_400, 0)
     return events(spark, sf_dir).where("event_type in ('click', 'view')").select("event_id", F.count("*").over(frame).alias("trailing"))
 
@@ -359,12 +359,27 @@ def cursor_and_etag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{ITEMS} SELECT id, CASE WHEN status = 'failed' OR needs_retry THEN CASE WHEN contains(lower(title), 'the') THEN 'unavailable' WHEN contains(lower(title), 'en') THEN 'blocked' ELSE 'other' END END AS failure,
 coalesce(edited_title, title) AS title, array_to_string(topics, ', ') AS topic_line FROM items""")
 def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A message class only for failed or retried rows."""
+    """A class only for failed or retried rows; ``item_details`` has the messages."""
     has = lambda s: F.contains(F.lower("title"), F.lit(s))
     kind = F.when((F.col("status") == "failed") | F.col("needs_retry"), F.when(has("the"), "unavailable").when(has("en"), "blocked").otherwise("other"))
     return items(spark, sf_dir).select("id", kind.alias("failure"), filters.display_title().alias("title"), F.array_join("topics", ", ").alias("topic_line"))
 
 
+_REASON = "lower(coalesce(search_text, ''))"
+
+
+@query(f"""{ITEMS} SELECT id, coalesce(edited_title, title) AS title, coalesce(edited_summary, CASE WHEN NOT link_only THEN summary END) AS summary, edited_title IS NOT NULL OR edited_summary IS NOT NULL AS edited,
+array_to_string(CASE WHEN len(topics) > 1 THEN topics ELSE list_concat(topics, tools) END, ', ') AS topic_line, CASE WHEN status = 'failed' OR needs_retry THEN
+  CASE WHEN regexp_matches({_REASON}, '{"|".join(filters.ACCESS_WORDS)}') THEN '{filters.ACCESS}' WHEN regexp_matches({_REASON}, '{"|".join(filters.OUTAGE_WORDS)}') THEN '{filters.OUTAGE}' ELSE '{filters.UNREADABLE}' END END AS failure FROM items""")
+def item_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A save as it is shown: overlaid fields, topics of its second brief or else of its first, and what went wrong in the user's words."""
+    own = items(spark, sf_dir)
+    second = F.when(F.size("topics") > 1, F.col("topics"))
+    failure = filters.failure_message(F.col("status"), F.col("needs_retry"), F.col("search_text"))
+    edited = F.col("edited_title").isNotNull() | F.col("edited_summary").isNotNull()
+    return own.select("id", filters.display_title().alias("title"), filters.display_summary().alias("summary"), edited.alias("edited"), F.array_join(F.coalesce(second, F.concat("topics", "tools")), ", ").alias("topic_line"), failure.alias("failure"))
+
+
 @query(f"{ITEMS} SELECT id, trim(regexp_replace(concat_ws(' ', coalesce(edited_title, title), summary, array_to_string(topics, ' '), array_to_string(tools, ' '), url), '\\s+', ' ', 'g')) AS document, sha256(concat_ws(' ', title, summary)) AS content_hash FROM items")
 def search_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat text that is indexed."""
@@ -424,7 +439,7 @@ def offline_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH r AS (SELECT o_orderkey AS id, o_custkey AS owner, epoch(o_orderdate)::BIGINT AS due_s, o_orderstatus = 'F' AS delivered FROM orders)
 SELECT r.id, c_name AS owner_name, r.due_s, CASE WHEN r.due_s <= 1000000000 THEN true ELSE delivered END AS delivered FROM r JOIN customer ON owner = c_custkey WHERE c_mktsegment = 'BUILDING'""")
 def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reminders with their owner; those past are delivered."""
+    """Reminders with their owner; those past are delivered."""
     due = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("due_s"), (F.col("o_orderstatus") == "F").alias("delivered"))
     owners = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("owner_name"))
     return due.join(owners, "o_custkey").select("id", "owner_name", "due_s", (F.col("delivered") | (F.col("due_s") <= 1_000_000_000)).alias("delivered"))

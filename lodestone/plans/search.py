@@ -189,7 +189,7 @@ def recency_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 hits AS (SELECT query_id, doc_id, count(*) AS overlap FROM (SELECT query_id, unnest(terms) AS w FROM q) JOIN (SELECT doc_id, unnest(words) AS w FROM d) USING (w) GROUP BY ALL)
 SELECT query_id, doc_id, overlap, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, doc_id) AS position FROM hits) WHERE position <= 5""")
 def bag_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known-item queries by token overlap, as a join on words rather than of all pairs."""
+    """Known-item queries by token overlap, as a join on words rather than of all pairs."""
     return _bag(spark, sf_dir)
 
 
