@@ -16,45 +16,55 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: a row per page; see ``html.extract_text`` for null, empty and broken ones."""
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of benchmark items, exact or edited, in all documents: a row per document and item; see ``decontamination.find_leaks`` for null and short items."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: a row per place; see ``licenses.scan_licenses`` for null and empty texts."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as sound and read back: a row per document; a null text counts as empty, see ``media.store_as_media``."""
     return media.media_digest(media.store_as_media(table(spark, sf_dir, "documents")))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text: a row per document; a null text counts as empty, see ``tokens.count_tokens``."""
     import public_tokenizers
 
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every document, by perplexity and by words of refused documents: see ``quality.classify`` for what departs from perplexity alone."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words are one group, see ``simhash.near_duplicates``."""
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated strings of 200 bytes: a row per document; see ``suffixes.remove_repeats``."""
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes: a row per document; a null source is a source, see ``mixing.mix``."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its source's boilerplate lines: a row per document; a null text stays null, see ``lines.drop_boilerplate_lines``."""
     rows = lines.drop_boilerplate_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
 
