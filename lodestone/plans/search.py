@@ -38,10 +38,11 @@ def term_counts(rows: DataFrame, key: list[str], column: str) -> DataFrame:
 def lexical_scores(terms: DataFrame, rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """(query_id, key..., raw): a saturating term-frequency score of every row that holds any term of a query.
 
-    The terms are joined before the words are counted, so only matches are aggregated; Spark broadcasts the few terms.
+    Words that are no term of the batch, which its caller bounds, are dropped within their row, so only matches become rows.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
-    hits = rows.select(*key, F.explode(words).alias("term")).join(terms, "term")
+    wanted = [r.term for r in terms.select("term").distinct().collect()]
+    hits = rows.select(*key, F.explode(F.filter(words, lambda w: w.isin(wanted))).alias("term")).join(terms, "term")
     counted = hits.groupBy("query_id", *key, "term").agg(F.count("*").alias("tf"))
     return counted.groupBy("query_id", *key).agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.2)), 9).alias("raw"))
 
