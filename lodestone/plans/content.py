@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import clock, identity, text
-from lodestone.operators import captures
+from lodestone.operators import captures, evaluate
 from lodestone.session import table
 from lodestone.sources.binders import NOW, TOPIC_LABELS, events, items, with_tables
 
@@ -260,13 +260,22 @@ def weekly_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""{0}, said AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(summary), '[a-z]{{4,}}'))) AS w, lower(search_text) AS body FROM items),
 checked AS (SELECT id, count(*) AS n, count(*) FILTER (contains(body, w)) AS found FROM said GROUP BY id) SELECT id, n, round(found / n, 6) AS share, found / n >= 0.6 AS grounded FROM checked""".format(with_tables("items")))
 def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of a brief's content words that its source has; 0.6 supports it."""
+    """The share of a brief's longer words that its source has; ``grounded_answers`` is the measure with stems."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("summary"), F.lit("[a-z]{4,}"), 0))
     rows = items(spark, sf_dir).select("id", words.alias("words"), F.lower("search_text").alias("body")).where(F.size("words") > 0)
     found = F.size(F.filter("words", lambda w: F.contains(F.col("body"), w)))
     return rows.select("id", F.size("words").alias("n"), F.round(found / F.size("words"), 6).alias("share"), (found / F.size("words") >= 0.6).alias("grounded"))
 
 
+@query()
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's answers as statements, held against all that was asked in it."""
+    turns = table(spark, sf_dir, "conversations")
+    listed = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    talks = turns.groupBy("conv_id").agg(listed("assistant").alias("said"), F.array_join(listed("user"), "\n").alias("body"))
+    return evaluate.groundedness(talks, "conv_id", "said", "body").select("conv_id", "checked", "supported", F.size("unsupported").alias("unsupported"), "score")
+
+
 @query(f"""{with_tables('items')} SELECT id, round(((len(title) > 0)::INT + (len(summary) >= 100)::INT + (len(topics) >= 2)::INT + (intent IS NOT NULL)::INT) / 4.0, 4) AS usefulness, brief_source = 'model' AND category IS NOT NULL AS extracted FROM items""")
 def brief_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of named checks."""
