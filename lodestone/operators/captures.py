@@ -58,3 +58,40 @@ def outcome(text: Column) -> Column:
     link = F.trim(body).rlike(r"(?i)^(?:link:\s*)?https?://\S+$")
     wall = (words < SHORT_PAGE) & body.rlike(WALL)
     return F.when(code >= "500", "retry").when((code != "") | (words == 0) | link | wall, "empty").otherwise("usable")
+
+
+#: What a page behind a wall says, and the names of query keys that carry a secret.
+WALL_WORDS = (
+    r"(?:log\s?in|sign in) (?:to|with)|this (?:video|post|content|account) is private|content (?:isn.t|is not) available|subscribe to (?:read|continue)|"
+    r"^(?:facebook|instagram|tiktok|youtube)\s*[-–:]?\s*(?:login|log in|sign in)|^private video"
+)
+SECRET_KEYS = r"token|secret|password|signature|credential|api.?key|authorization|^auth$|^sig$|^x-(?:amz|goog)-"
+#: Characters that a public text has at least, and those of it that are looked at for a wall.
+PUBLIC_CHARS, LOOKED_AT = 40, 2_000
+
+
+def carries_secret(url: Column) -> Column:
+    """Whether a URL has user info, or a query key that names a secret and has a value. A null URL carries none."""
+    rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: F.regexp_like(p, F.lit("^[^=]*=.")))
+    return F.contains(rest, F.lit("@")) | F.exists(pairs, lambda p: F.substring_index(p, "=", 1).rlike(f"(?i){SECRET_KEYS}"))
+
+
+def anonymous_usable(url: Column, provenance: Column, title: Column, text: Column, private: Column, login: Column) -> Column:
+    """Whether what was fetched may be shared with others: proven, long enough, marked neither private nor behind a login, by a URL
+    that carries no secret, and saying nothing of a wall in its title or its first 2,000 characters."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    walled = lambda t: t.rlike(f"(?i){WALL_WORDS}")
+    marked = F.coalesce(private, F.lit(False)) | F.coalesce(login, F.lit(False))
+    return ~carries_secret(url) & (F.coalesce(provenance, F.lit("none")) != "none") & (F.char_length(body) >= PUBLIC_CHARS) & ~marked & ~walled(F.coalesce(title, F.lit(""))) & ~walled(F.substring(body, 1, LOOKED_AT))
+
+
+def evidence_level(transcript: Column, others: list[Column]) -> Column:
+    """full_transcript for four words of it or more, partial if there is any other evidence, else metadata_only. Blank is none."""
+    words = F.regexp_count(F.coalesce(transcript, F.lit("")), F.lit(r"\S+"))
+    some = [F.coalesce(F.trim(x) != "", F.lit(False)) for x in others]
+    anything = some[0]
+    for more in some[1:]:
+        anything = anything | more
+    return F.when(words >= 4, "full_transcript").when(anything, "partial").otherwise("metadata_only")

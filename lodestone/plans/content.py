@@ -194,7 +194,7 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{with_tables('items')} SELECT id, CASE WHEN len(list_filter(regexp_split_to_array(search_text, '\\s+'), lambda x: x <> '')) >= 4 AND id % 3 = 0 THEN 'full_transcript' WHEN trim(coalesce(summary, '')) <> '' AND id % 3 = 1 THEN 'partial' ELSE 'metadata_only' END AS level FROM items")
 def evidence_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A transcript of four words or more, any other evidence, else metadata only."""
+    """A transcript of four words or more, any other evidence, else metadata only; ``talk_evidence`` reads given evidence."""
     words = F.size(F.filter(F.split("search_text", r"\s+"), lambda w: w != ""))
     level = F.when((words >= 4) & (F.col("id") % 3 == 0), "full_transcript").when((F.trim(F.coalesce("summary", F.lit(""))) != "") & (F.col("id") % 3 == 1), "partial").otherwise("metadata_only")
     return items(spark, sf_dir).select("id", level.alias("level"))
@@ -267,6 +267,28 @@ def groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size("words").alias("n"), F.round(found / F.size("words"), 6).alias("share"), (found / F.size("words") >= 0.6).alias("grounded"))
 
 
+_PAGE = r"""p AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages)"""
+
+
+@query(rf"""WITH {_PAGE}, k AS (SELECT *, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.')) AS pairs FROM p)
+SELECT page_id, NOT regexp_matches(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*@') AND len(list_filter(pairs, lambda x: regexp_matches(string_split(x, '=')[1], '(?i){captures.SECRET_KEYS}'))) = 0 AND len(body) >= 40
+  AND NOT regexp_matches(title, '(?i){captures.WALL_WORDS}') AND NOT regexp_matches(substr(body, 1, 2000), '(?i){captures.WALL_WORDS}') AS usable FROM k""")
+def public_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """which fetched pages may be shared: no secret in the URL, long enough, behind no wall."""
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+    usable = captures.anonymous_usable(F.col("url"), F.lit("page"), F.regexp_extract("html", "<title>([^<]*)", 1), body, F.lit(False), F.lit(False))
+    return table(spark, sf_dir, "pages").select("page_id", usable.alias("usable"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN text END, ' ') AS said, string_agg(CASE WHEN role = 'user' THEN text END, ' ') AS asked, string_agg(CASE WHEN role NOT IN ('user', 'assistant') THEN text END, ' ') AS more FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN len(regexp_extract_all(coalesce(said, ''), '\S+')) >= 4 THEN 'full_transcript' WHEN trim(coalesce(asked, '')) <> '' OR trim(coalesce(more, '')) <> '' THEN 'partial' ELSE 'metadata_only' END AS level FROM t""")
+def talk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a transcript, questions and anything else as other evidence."""
+    said = lambda c: F.array_join(F.collect_list(F.when(c, F.col("text"))), " ")
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said(F.col("role") == "assistant").alias("said"), said(F.col("role") == "user").alias("asked"), said(~F.col("role").isin("user", "assistant")).alias("more"))
+    return talks.select("conv_id", captures.evidence_level(F.col("said"), [F.col("asked"), F.col("more")]).alias("level"))
+
+
 @query()
 def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's answers as statements, held against all that was asked in it."""

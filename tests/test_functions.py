@@ -129,6 +129,23 @@ def test_captures_have_an_outcome(spark):
     assert of("how a captcha works " * 30) == "usable"
 
 
+def test_what_may_be_shared(spark):
+    body = "a text that is long enough to be shared with others"
+    def usable(url="https://a.b/c?q=1", provenance="page", title="T", text=body, private=None, login=False):  # noqa: E306
+        return one(spark, captures.anonymous_usable(*map(F.col, "uptxvl")), schema="u string, p string, t string, x string, v boolean, l boolean", u=url, p=provenance, t=title, x=text, v=private, l=login)
+    assert usable() and usable(title=None) and usable(url=None)
+    assert not any(usable(url=u) for u in ("https://me:pw@a.b/", "https://a.b/?access_token=1", "https://a.b/?x=1&API-Key=2", "https://a.b/?sig=3"))
+    assert usable(url="https://a.b/?token=&design=1") and usable(url="https://a.b/token?signs=1") and usable(url="https://a.b/?q=me@x")
+    assert not any((usable(provenance=None), usable(provenance="none"), usable(text=" short "), usable(text=None), usable(private=True), usable(login=True)))
+    assert not any((usable(title="Facebook – log in"), usable(title="Private video"), usable(text=body + " Sign in to go on"), usable(text="This post is private. " + body)))
+    assert usable(text=body * 60 + " log in to read") and usable(title="My private video")
+
+
+def test_levels_of_evidence(spark):
+    level = lambda t, *o: one(spark, captures.evidence_level(F.col("t"), [F.lit(x).cast("string") for x in o]), schema="t string", t=t)
+    assert [level("one two three four", None), level("one two three", "x"), level(None, " ", "y"), level("one", None, " ")] == ["full_transcript", "partial", "partial", "metadata_only"]
+
+
 def plain_redacted(t):
     """The text with each long run of prose hidden, one character after another."""
     out, run = [], ""
