@@ -53,10 +53,10 @@ BRIEF = Field(
 
 
 def kind_of(value: Column) -> Column:
-    """string, integer, number, boolean, array, object or null, of a variant."""
-    shape = F.schema_of_variant(value)
-    kinds = {"STRING": "string", "BIGINT": "integer", "ARRAY": "array", "OBJECT": "object", "BOOLEAN": "boolean", "VOID": "null"}
-    return F.coalesce(*(F.when(F.startswith(shape, F.lit(k)), F.lit(v)) for k, v in kinds.items()), F.when(shape.isNotNull(), "number"), F.lit("null"))
+    """string, integer, number, boolean, array, object, null or other (a date, say), of a variant."""
+    first = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    kinds = {"STRING": "string", "BIGINT": "integer", "ARRAY": "array", "OBJECT": "object", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "number", "FLOAT": "number", "DECIMAL": "number"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), first), F.when(value.isNotNull(), "other"), F.lit("null"))
 
 
 def _none() -> Column:

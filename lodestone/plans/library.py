@@ -291,10 +291,12 @@ def topic_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("n").desc(), ordinal))).where("place <= 2")
 
 
-@query(f"{ITEMS} SELECT user_id, label, count(DISTINCT url) AS size FROM (SELECT user_id, url, unnest(list_concat(topics, tools)) AS label FROM items WHERE deleted_s IS NULL) GROUP BY user_id, label HAVING count(DISTINCT url) >= 2")
+@query(f"""{ITEMS} SELECT user_id, label, count(DISTINCT url) AS size FROM (SELECT user_id, url, CASE WHEN regexp_matches(x, '(?i)^claude(?:\\s|$)') THEN 'Claude' ELSE trim(x) END AS label FROM (SELECT user_id, url, unnest(list_concat(topics, tools)) AS x FROM items WHERE deleted_s IS NULL))
+WHERE len(label) BETWEEN 1 AND 80 GROUP BY user_id, label HAVING count(DISTINCT url) >= 2""")
 def auto_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups by topic and tool of two distinct links or more."""
-    rows = items(spark, sf_dir).where("deleted_s is null").select("user_id", "url", F.explode(F.array_union("topics", "tools")).alias("label"))
+    """Groups by topic and tool of two distinct links or more; tools of one family share a label."""
+    raw = items(spark, sf_dir).where("deleted_s is null").select("user_id", "url", F.explode(F.array_union("topics", "tools")).alias("x"))
+    rows = raw.select("user_id", "url", F.when(F.col("x").rlike(r"(?i)^claude(?:\s|$)"), "Claude").otherwise(F.trim("x")).alias("label")).where("char_length(label) between 1 and 80")
     return rows.groupBy("user_id", "label").agg(F.countDistinct("url").alias("size")).where("size >= 2")
 
 

@@ -16,7 +16,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 #: The registered queries search for these words; a service passes its own batch.
-DEMO_QUERIES = [(1, "the tion and erthat"), (2, "eau lequeux"), (3, "looking for thatthe onnd"), (4, "cheitkeit und die")]
+DEMO_QUERIES = [(1, "the tion and erthat"), (2, "eau lequeux"), (3, "looking for thatthe onnd"), (4, "cheitkeit und die"), (5, "the recipe that has a note")]
 
 
 def query(sql: str | None = None):
@@ -120,7 +120,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("query_id", "position", "id", "score", "n_lists", "title", reason.alias("reason"))
 
 
-LEX = """terms AS (SELECT * FROM (VALUES (1, 'tion'), (1, 'erthat'), (2, 'eau'), (2, 'lequeux'), (3, 'thatthe'), (3, 'onnd'), (4, 'cheitkeit'), (4, 'und'), (4, 'die')) AS t(query_id, term)),
+LEX = """terms AS (SELECT * FROM (VALUES (1, 'tion'), (1, 'erthat'), (2, 'eau'), (2, 'lequeux'), (3, 'thatthe'), (3, 'onnd'), (4, 'cheitkeit'), (4, 'und'), (4, 'die'), (5, 'recipe'), (5, 'note')) AS t(query_id, term)),
 words AS (SELECT id, unnest(regexp_extract_all(lower(search_text), '[\\p{L}\\p{N}]+')) AS term FROM items WHERE status = 'ready' AND deleted_s IS NULL AND (link_only OR brief_source <> 'fallback')),
 tf AS (SELECT query_id, id, term, count(*) AS tf FROM words JOIN terms USING (term) GROUP BY ALL),
 scored AS (SELECT query_id, id, round(sum(tf / (tf + 1.2::DOUBLE)), 9) AS raw FROM tf GROUP BY ALL)"""
