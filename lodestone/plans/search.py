@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import embed, text
 from lodestone.functions.stem import stems
 from lodestone.operators import filters, ranking
-from lodestone.session import table
+from lodestone.session import stored, table
 from lodestone.sources.binders import EPOCH, NOW, STEP, items, memories, with_tables
 
 QUERIES: dict = {}
@@ -78,7 +78,7 @@ def _own_chunk(top: DataFrame) -> DataFrame:
     return top.select("query_id", F.floor(F.col("id") / PLACES).alias("id"), (F.col("id") % PLACES).cast("int").alias("chunk_idx"), "rank", "raw")
 
 
-def candidates(spark: SparkSession, sf_dir: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(spark: SparkSession, sf_dir: str, queries: DataFrame, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(candidates of all lists, chunk candidates with their chunk) of a batch of queries, which its caller bounds.
 
     Notes are the owner's own on the save's content. Queries, saves and chunks are embedded alike; every chunk has a vector.
@@ -87,7 +87,7 @@ def candidates(spark: SparkSession, sf_dir: str, queries: DataFrame) -> tuple[Da
     info, words = found.select("id", "created_s", "content_id"), query_words(queries)
     asked = embed.embedded(queries, "query_id", "query").where("vector is not null")
     lexical = ranking.top_rows(lexical_scores(words, found, ["id"], "search_text"), "query_id", "raw", ["id"])
-    chunks = chunk_rows(spark, sf_dir)
+    chunks = chunk_rows(spark, sf_dir) if chunks is None else chunks
     chunk_lexical = _own_chunk(ranking.top_rows(lexical_scores(words, chunks, ["chunk_no"], "chunk_text").withColumnRenamed("chunk_no", "id"), "query_id", "raw", ["id"]))
     note = ranking.top_rows(lexical_scores(words, notes(spark, sf_dir), ["id"], "note"), "query_id", "raw", ["id"])
     nearest = lambda rows, key, body: ranking.exact_neighbours(asked, embed.embedded(rows, key, body).withColumnRenamed(key, "id").where("vector is not null"), ranking.LIST_SIZE).withColumnRenamed("cosine", "raw")
@@ -109,11 +109,12 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship; every query of the batch at once."""
     queries = query_table(spark)
-    lists, shown = candidates(spark, sf_dir, queries)
+    chunks = stored(chunk_rows(spark, sf_dir))  # cut once: scored by words, by vectors, and shown
+    lists, shown = candidates(spark, sf_dir, queries, chunks)
     best = ranking.collapse(ranking.fuse(lists, NOW).withColumn("score", F.round("score", 9)), 10)
     chosen = best.join(ranking.best_chunk(shown).select("query_id", "id", "chunk_idx"), ["query_id", "id"], "left")
     # a save's texts are fetched for the few that are shown: ten a query
-    chunk = chunk_rows(spark, sf_dir).select("id", "chunk_idx", "chunk_text", "start_timestamp")
+    chunk = chunks.select("id", "chunk_idx", "chunk_text", "start_timestamp")
     own = items(spark, sf_dir).select("id", filters.display_title().alias("title"), F.concat_ws(" ", "search_text", filters.display_title(), filters.display_summary(), F.array_join("topics", " ")).alias("document"))
     joined = chosen.join(chunk, ["id", "chunk_idx"], "left").join(own, "id").join(notes(spark, sf_dir).drop("note"), "id", "left").join(F.broadcast(queries.select("query_id", "terms")), "query_id")
     reason = text.evidence_reason(F.col("terms"), F.col("document"), F.col("chunk_text"), F.col("start_timestamp"), F.col("user_note"), F.col("user_intent"))
