@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.upkeep import copy_id
+from lodestone.session import stored
 
 #: Shares that a user takes in a day, and new summaries that a save gets in one.
 DAY, SHARES_A_DAY, SUMMARIES_A_DAY = 86_400, 100, 3
@@ -23,14 +24,14 @@ def redeem(shares: DataFrame, taken: DataFrame, items: DataFrame, asks: DataFram
     """
     live = shares.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_s") > now)).select("token_hash", "url")
     rows = asks.join(live, "token_hash", "left")
-    before = taken.select("user_id", "token_hash", F.col("item_id").alias("old_id"), F.lit(True).alias("took"))
-    rows = rows.join(before, ["user_id", "token_hash"], "left")
     alive = items.where("deleted_s is null").select(F.col("id").alias("old_id"), F.lit(True).alias("has_old"))
-    rows = rows.join(alive, "old_id", "left")
+    # what was taken, fewer rows than are asked for, meets the saves
+    before = taken.select("user_id", "token_hash", F.col("item_id").alias("old_id"), F.lit(True).alias("took")).join(alive, "old_id", "left")
+    rows = rows.join(before, ["user_id", "token_hash"], "left")
     own = items.select("user_id", "url", F.col("id").alias("own_id"), F.col("deleted_s").isNull().alias("kept"))
     rows = rows.join(own, ["user_id", "url"], "left")
     fixed = F.when(F.col("url").isNull(), "gone").when(F.col("has_old"), "again").when(F.col("kept"), "existing")
-    rows = rows.withColumn("fixed", fixed)
+    rows = stored(rows.select("ask_id", "user_id", "token_hash", "url", "took", "old_id", "own_id", fixed.alias("fixed")))
     first = F.row_number().over(W.partitionBy("user_id", "url").orderBy("ask_id"))
     open_ = rows.where("fixed is null").withColumn("place", first)
     makers = open_.where("place = 1")
@@ -39,10 +40,11 @@ def redeem(shares: DataFrame, taken: DataFrame, items: DataFrame, asks: DataFram
     made = makers.withColumn("earlier", earlier).join(lately, "user_id", "left")
     over = F.coalesce("lately", F.lit(0)) + F.col("earlier") >= most
     made = made.select("user_id", "url", F.col("ask_id").alias("maker"), F.when(over, "limit").when(F.col("own_id").isNotNull(), "restored").otherwise("created").alias("did"), F.when(~over, F.coalesce("own_id", copy_id("share", F.col("user_id"), F.col("token_hash")))).alias("made_id"))
-    met = rows.join(made, ["user_id", "url"], "left")
+    met = rows.where("fixed is null").join(made, ["user_id", "url"], "left")
     late = F.when(F.col("ask_id") == F.col("maker"), F.col("did")).when(F.col("did") == "limit", "limit").otherwise("existing")
-    item = F.when(F.col("fixed") == "again", F.col("old_id")).when(F.col("fixed") == "existing", F.col("own_id")).when(F.col("fixed").isNull(), F.col("made_id"))
-    return met.select("ask_id", F.coalesce("fixed", late).alias("outcome"), item.alias("item_id"))
+    item = F.when(F.col("fixed") == "again", F.col("old_id")).when(F.col("fixed") == "existing", F.col("own_id"))
+    settled = rows.where("fixed is not null").select("ask_id", F.col("fixed").alias("outcome"), item.alias("item_id"))
+    return settled.unionByName(met.select("ask_id", late.alias("outcome"), F.col("made_id").alias("item_id")))
 
 
 def decide(items: DataFrame, jobs: DataFrame, asks: DataFrame, today: int, most: int = SUMMARIES_A_DAY) -> DataFrame:
