@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import stored
+
 # -- reminders ---------------------------------------------------------------
 
 
@@ -93,7 +95,7 @@ def detach(items: DataFrame, memories: DataFrame, asked: DataFrame) -> tuple[Dat
     (id, owner, item_id, parent). Repeated and unknown ids change nothing more; a save without content gets one, and no memory of it.
     """
     wanted = items.join(asked.select("id").distinct(), "id", "left_semi").select("id", "user_id", F.col("content_id").alias("parent"))
-    wanted = wanted.withColumn("copy", copy_id("detach", F.col("id"), F.col("parent")))
+    wanted = stored(wanted.withColumn("copy", copy_id("detach", F.col("id"), F.col("parent"))))
     after = items.join(wanted.select("id", "copy"), "id", "left")
     after = after.select(*(F.coalesce("copy", "content_id").alias(c) if c == "content_id" else F.col(c) for c in items.columns))
     own = memories.join(wanted.select("copy", "user_id", F.col("parent").alias("content_id")), ["content_id", "user_id"])
@@ -120,10 +122,10 @@ def sweep_guests(users: DataFrame, items: DataFrame, memories: DataFrame, assets
     busy = jobs.where((F.col("status") == "PROCESSING") | F.col("locked_s").isNotNull()).select("content_id").distinct()
     old = items.where((F.col("created_s") < limit) & F.col("deleted_s").isNull()).join(guests, "user_id", "left_semi")
     # what has content waits for its worker; a null content has none, and never matches
-    gone = old.join(busy, "content_id", "left_anti").select("id", "user_id", "content_id")
-    left = items.join(gone.select("id"), "id", "left_anti").select("user_id", "content_id").where("content_id is not null").distinct()
+    gone = stored(old.join(busy, "content_id", "left_anti").select("id", "user_id", "content_id"))
+    left = stored(items.join(gone.select("id"), "id", "left_anti").select("user_id", "content_id").where("content_id is not null").distinct())
     touched = gone.where("content_id is not null").select("user_id", "content_id").distinct()
-    forgotten = memories.select("user_id", "content_id").distinct().join(touched, ["user_id", "content_id"], "left_semi").join(left, ["user_id", "content_id"], "left_anti")
+    forgotten = stored(memories.select("user_id", "content_id").distinct().join(touched, ["user_id", "content_id"], "left_semi").join(left, ["user_id", "content_id"], "left_anti"))
     remembered = memories.select("user_id", "content_id").distinct().join(forgotten, ["user_id", "content_id"], "left_anti")
     held = left.select("content_id").unionByName(remembered.select("content_id")).unionByName(busy).distinct()
     own = assets.where(~F.coalesce(F.col("visibility") == "PUBLIC", F.lit(False))).join(guests.withColumnRenamed("user_id", "owner"), "owner", "left_semi")
