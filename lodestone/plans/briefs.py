@@ -70,8 +70,9 @@ def brief_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("caption"), F.lit("hearsay")).alias("evidence_used"),
         F.lit(True).alias("mood"),
     )
-    found = report.violations(F.try_parse_json(F.to_json(brief)), report.BRIEF)
-    judged = rows.select("doc_id", found.alias("found"))
+    # a column of its own, so that a brief is written and parsed once rather than for each of its keys
+    answers = rows.select("doc_id", F.try_parse_json(F.to_json(brief)).alias("answer"))
+    judged = answers.select("doc_id", report.violations(F.col("answer"), report.BRIEF).alias("found"))
     listed = F.array_join(F.transform("found", lambda v: F.concat(v["path"], F.lit(" "), v["problem"])), "; ")
     return judged.select("doc_id", listed.alias("problems"), report.reason(F.col("found"), F.array().cast("array<string>")).alias("reason"))
 
