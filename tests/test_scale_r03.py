@@ -3,6 +3,11 @@
 import numpy as np
 
 from lodestone.operators import cells, ranking
+from lodestone.plans import retrieval
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def unit(rng, n, width=64):
@@ -63,3 +68,7 @@ def test_vectors_are_made_once_for_the_cells(spark, tmp_path):
 
     index = cells.build(rows.mapInArrow(counted, rows.schema), str(tmp_path / "cells"), 5)
     assert made.value == 300 == index.rows().count()
+
+
+def test_the_true_neighbours_are_looked_for_once(spark, data):
+    assert plan_of(retrieval.QUERIES["neighbour_recall"](spark, data)).count("MapInArrow") == 1
