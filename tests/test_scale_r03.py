@@ -2,8 +2,8 @@
 
 import numpy as np
 
-from lodestone.operators import cells, ranking
-from lodestone.plans import retrieval
+from lodestone.operators import cells, evaluate, ranking
+from lodestone.plans import content, retrieval
 
 
 def plan_of(df):
@@ -72,3 +72,10 @@ def test_vectors_are_made_once_for_the_cells(spark, tmp_path):
 
 def test_the_true_neighbours_are_looked_for_once(spark, data):
     assert plan_of(retrieval.QUERIES["neighbour_recall"](spark, data)).count("MapInArrow") == 1
+
+
+def test_a_body_is_stemmed_once_and_not_for_each_word(spark, data):
+    plan = plan_of(content.QUERIES["grounded_answers"](spark, data))
+    assert "array_contains(array_distinct(" not in plan and plan.count("(__body") <= 2
+    talk = spark.createDataFrame([(1, ["baking breads daily", "baking cars daily rockets", "x"], "He bakes a bread; daily baking!")], "id long, said array<string>, body string")
+    assert tuple(evaluate.groundedness(talk, "id", "said", "body").first()) == (1, 2, 1, ["baking cars daily rockets"], 0.5)
