@@ -228,10 +228,12 @@ def train(sample: DataFrame) -> tuple[list[DataFrame], float]:
         discount = _discount(levels[n])
         for part in range(PARTS if n == ORDER else 1):
             own, shared = names[ORDER - n :], names[ORDER - n : -1]
-            level = levels[n].where(F.pmod(F.xxhash64(*shared), F.lit(PARTS)) == part) if n == ORDER else levels[n]
+            # by a word that the n-grams share with their contexts and with the order below, so all three come in parts
+            mine = (lambda df: df.where(F.pmod(F.xxhash64(shared[-1]), F.lit(PARTS)) == part)) if n == ORDER else lambda df: df  # noqa: B023
+            level = mine(levels[n])
             backoff = level.groupBy(*shared).agg(F.sum("c").alias("total"), (F.sum(discount) / F.sum("c")).alias("backoff"))
             contexts.append(stored(backoff))
-            met = level.join(contexts[-1], shared).join(orders[-1].select(*own[1:], F.col("p").alias("lower")), own[1:])
+            met = level.join(contexts[-1], shared).join(mine(orders[-1]).select(*own[1:], F.col("p").alias("lower")), own[1:])
             p = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("lower")
             met = met.withColumn("p", p).withColumn("own", F.log("p") - F.log("backoff") - F.log("lower"))
             if n < ORDER:
@@ -446,10 +448,12 @@ def _bitmap(weights: DataFrame) -> bytes:
 
     bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
     parts = weights.select(bit.alias("bit"), F.shiftright(bit, segment).alias("segment")).groupBy("segment").applyInArrow(build, "segment long, bits binary")
+    parts = stored(parts)  # so the shuffle of all keys goes at once; collected, it would stay beside the texts' keys
     out = bytearray((1 << FILTER_BITS) // 8)
     size = len(out) >> 8
     for number, bits in parts.collect():
         out[number * size : (number + 1) * size] = bits
+    discard(parts)
     return bytes(out)
 
 

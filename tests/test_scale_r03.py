@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from lodestone.llm import quality
 from lodestone.operators import cells, evaluate, ranking
 from lodestone.plans import content, retrieval
 
@@ -79,3 +80,16 @@ def test_a_body_is_stemmed_once_and_not_for_each_word(spark, data):
     assert "array_contains(array_distinct(" not in plan and plan.count("(__body") <= 2
     talk = spark.createDataFrame([(1, ["baking breads daily", "baking cars daily rockets", "x"], "He bakes a bread; daily baking!")], "id long, said array<string>, body string")
     assert tuple(evaluate.groundedness(talk, "id", "said", "body").first()) == (1, 2, 1, ["baking cars daily rockets"], 0.5)
+
+
+def test_no_shuffle_of_the_model_stays_beside_the_keys_of_the_texts(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    keys = np.random.default_rng(7).integers(-(1 << 63), 1 << 63, 500)
+    before = shuffled()
+    bits = np.frombuffer(quality._bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long")), np.uint8)
+    assert not shuffled() - before
+    places = np.unique(keys.view(np.uint64) >> np.uint64(64 - quality.FILTER_BITS)).astype(int)
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == places.tolist()
