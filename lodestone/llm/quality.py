@@ -47,14 +47,13 @@ STEP = 0.001
 
 #: Words that speak against documents and go to every task; if there are more, the others are joined.
 AGAINST = 1 << 17
-#: Most frequent n-grams of the model whose weights are broadcast (24 bytes each).
-HOT = 1 << 17
+#: Most frequent n-grams of a part of the model whose weights are broadcast (12 bytes each).
+HOT = 1 << 19
 #: Bits of a key (11 at least) that the bitmap of the model's other n-grams tells apart; it has 2^26 bits, 8 MB, for any model.
 FILTER_BITS = 26
-#: Parts in which the highest order's n-grams meet their contexts and the order below.
-PARTS = 4
-#: Parts by key in which the n-grams of the corpus are joined with their weights.
-PHASES = 8
+#: Parts, by the word before the last, in which n-grams are counted, weighted and met by those of the corpus, one after another: one for
+#: so many bytes of the texts fitted on, and at most PARTS.
+PART_BYTES, PARTS = 16 << 20, 8
 #: Bytes of texts that are hashed together, and of the pieces of a longer one.
 GROUP_BYTES, PIECE = 1 << 19, 1 << 20
 
@@ -143,10 +142,9 @@ def refused_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 class Grams:
-    """The n-grams of a list of texts as 64-bit keys, a position a word; words are runs of anything but ASCII white space.
+    """The n-grams of a list of texts, a position a word; words are runs of anything but ASCII white space.
 
-    keys[n - 1] is the n-gram that ends at a position; word and history[k - 1] are the word there and k words before. A text's
-    first words have START before them. ``before`` says how many words at the start of each text are only read as
+    word and history[k - 1] are the hashes of the word at a position and k words before. A text's first words have START before them. ``before`` says how many words at the start of each text are only read as
     context, which is how a very long text is taken in pieces.
     """
 
@@ -162,14 +160,16 @@ class Grams:
         self.counts = np.bincount(self.doc, minlength=len(texts))
         place = np.arange(len(word)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         self.word, self.history = word, [np.where(place >= k, np.roll(word, k), START) for k in range(1, ORDER)]
-        self.keys = [_key([*self.history[: n - 1][::-1], word]) for n in range(1, ORDER + 1)]
         self.last = place == self.counts[self.doc] - 1
         if before is not None:
             scored = place >= np.array(before)[self.doc]
-            self.doc, self.last = self.doc[scored], self.last[scored]
-            self.word, self.keys, self.history = word[scored], [k[scored] for k in self.keys], [h[scored] for h in self.history]
+            self.doc, self.last, self.word, self.history = self.doc[scored], self.last[scored], word[scored], [h[scored] for h in self.history]
             self.counts = np.bincount(self.doc, minlength=len(texts))
 
+    def words(self, n: int, at: np.ndarray) -> list[np.ndarray]:
+        """The words, in order, of the n-grams that end at the positions."""
+        return [*(h[at] for h in self.history[: n - 1][::-1]), self.word[at]]
+
 
 def _key(words: list[np.ndarray]) -> np.ndarray:
     """A key of words in order; of n-grams of different lengths too, keys are as good as distinct."""
@@ -181,76 +181,126 @@ def _key(words: list[np.ndarray]) -> np.ndarray:
 
 #: The word that stands before a text.
 START = np.uint64(0x2545F4914F6CDD1D)
-#: The contexts of each text's first word, one of each length: not the end of any n-gram.
-START_KEYS = np.array([_key([np.array([START])] * n)[0] for n in range(1, ORDER)], np.uint64)
+#: What tells the key of an n-gram as the context of the next word, or as the last of its text, from its own.
+CONTEXT, END = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _as(key: np.ndarray, role: np.uint64) -> np.ndarray:
+    return mixed(key ^ role)
+
+
+def _part(word: np.ndarray, parts: int) -> np.ndarray:
+    """The part that a word's n-grams belong to; ``_part_of`` is the same on a column."""
+    return (word >> np.uint64(33)) % np.uint64(parts)
+
+
+def _part_of(word: str, parts: int) -> Column:
+    return F.shiftrightunsigned(word, 33) % parts
+
+
+class Parts:
+    """The tables of a model, to be gone through once, and how many there are."""
+
+    def __init__(self, number: int, tables: Iterator[DataFrame]):
+        self.number, self.tables = number, tables
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        return self.tables
 
 
 # -- training ----------------------------------------------------------------
 
 
-def train(sample: DataFrame) -> tuple[list[DataFrame], float]:
+def train(sample: DataFrame) -> tuple[Parts, float]:
     """The model of a sample (column text), as weights of n-grams, and the log-probability of a word it has not seen.
 
     Interpolated Kneser-Ney probabilities add up in logarithms: a word's is that of an unseen word, plus for each n-gram
     ending in it that was seen what this n-gram tells beyond the next shorter one, plus for each context before it that
     was seen the logarithm of its back-off weight. So a text's log-probability is a sum over its n-grams, and scoring is
-    a join of counts. Returns stored tables (key, own, whole, seen) without a common key, weights in millionths of a nat: own as the end of a word's
-    history, whole with what the n-gram weighs as the context of the word after it; seen is how often the sample has it.
+    a join of counts.
 
     Every level's counts are sharded by n-gram: occurrences at the highest order, distinct words before at the lower ones.
-    The highest order, which is nearly as long as the sample, meets its contexts in PARTS one after another.
+    A trigram, its context and the bigram below it share the word in the middle, so all are counted and weighted in parts by
+    this word, one after another. The weights come as stored tables (key, weight, seen), one a part, made when it is reached, so that
+    the model, which is about as long as the sample, need never be there as a whole: whoever is done with a table discards it
+    before taking the next. Weights are whole millionths of a nat; seen is how often the sample has the n-gram. Keys are those of
+    trigrams and bigrams, of bigrams as the CONTEXT of a word, and of words, with and (END) without what they weigh as contexts.
     """
-    names = [f"w{n}" for n in range(1, ORDER + 1)]
+    texts = stored(sample.select(utf8().alias("text")))
+    parts = min(max(-(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES), 1), PARTS)
+    trigrams = [stored(_trigrams(texts, part, parts)) for part in range(parts)]
+    discard(texts)
+    bigrams = [stored(t.groupBy("w2", "w3").agg(F.count("*").alias("c"), F.sum("c").alias("seen")).sortWithinPartitions("w2", "w3")) for t in trigrams]
+    words = stored(_union(bigrams).groupBy("w3").agg(F.count("*").alias("c"), F.sum("seen").alias("seen")))
+    discounts = [_level_discounts(words), _level_discounts(_union(bigrams)), _level_discounts(_union(trigrams))]
+    kinds, total, kept_back = words.agg(F.count("*"), F.sum("c"), F.sum(_discount(discounts[0]))).first()
+    spare = (kept_back / total if total else 1.0) / (kinds + 1)
+    unseen = float(np.log(spare))
+    share = F.greatest(F.col("c") - _discount(discounts[0]), F.lit(0.0)) / F.lit(float(total or 1))
+    return Parts(parts, _weights(trigrams, bigrams, words.select("w3", "seen", (share + spare).alias("p")), discounts, unseen, [words])), unseen
+
+
+def _trigrams(texts: DataFrame, part: int, parts: int) -> DataFrame:
+    """(w1, w2, w3, c) of one part, with the continuations of (w1, w2): their sum ``total``, and how many occur once, twice or more; ``first`` in one row of each."""
+    names = ["w1", "w2", "w3"]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(0)]
-            yield rows_of(Grams([t for t in texts if len(t) <= PIECE]))
-            for text in texts:
+            short = [t.as_py() for t in batch.column(0)]
+            yield rows_of(Grams([t for t in short if len(t) <= PIECE]))
+            for text in short:
                 for piece, before, _ in _pieces(text, PIECE) if len(text) > PIECE else ():
                     yield rows_of(Grams([piece], [before]))
 
     def rows_of(g: Grams) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (*g.history[::-1], g.word)], names)
-
-    rows = bounded_batches(sample).select(utf8().alias("text")).mapInArrow(grams, ", ".join(f"{n} long" for n in names))
-    level, levels = rows.withColumn("seen", F.lit(1)), {}
-    for n in range(ORDER, 0, -1):
-        level = levels[n] = stored(level.groupBy(*names[ORDER - n :]).agg(F.count("*").alias("c"), F.sum("seen").alias("seen")))
-    discount = _discount(levels[1])
-    words, total, kept_back = levels[1].agg(F.count("*"), F.sum("c"), F.sum(discount)).first()
-    spare = (kept_back / total if total else 1.0) / (words + 1)
-    unseen = float(np.log(spare))
-    share = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.lit(float(total or 1))
-    orders = [stored(levels[1].select(names[-1], "seen", (share + spare).alias("p")).withColumn("own", F.log("p") - unseen))]
-    contexts, whole = [], []
-    for n in range(2, ORDER + 1):
-        discount = _discount(levels[n])
-        for part in range(PARTS if n == ORDER else 1):
-            own, shared = names[ORDER - n :], names[ORDER - n : -1]
-            # by a word that the n-grams share with their contexts and with the order below, so all three come in parts
-            mine = (lambda df: df.where(F.pmod(F.xxhash64(shared[-1]), F.lit(PARTS)) == part)) if n == ORDER else lambda df: df  # noqa: B023
-            level = mine(levels[n])
-            backoff = level.groupBy(*shared).agg(F.sum("c").alias("total"), (F.sum(discount) / F.sum("c")).alias("backoff"))
-            contexts.append(stored(backoff))
-            met = level.join(contexts[-1], shared).join(mine(orders[-1]).select(*own[1:], F.col("p").alias("lower")), own[1:])
-            p = F.greatest(F.col("c") - discount, F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("lower")
-            met = met.withColumn("p", p).withColumn("own", F.log("p") - F.log("backoff") - F.log("lower"))
-            if n < ORDER:
-                orders.append(stored(met.select(*own, "seen", "p", "own")))
-            else:  # no context of anything
-                own_only = _millionths(F.col("own"))
-                whole.append(stored(_keyed(met.select(*own, own_only.alias("own"), own_only.alias("whole"), "seen"), own)))
-        discard(levels.pop(n))
-    none = F.lit(0.0)
-    every = [_keyed(o.select(*names[-n:], "own", none.alias("context"), "seen"), names[-n:]) for n, o in enumerate(orders, 1)]
-    for c in contexts:
-        own = [x for x in names if x in c.columns]
-        every.append(_keyed(c.select(*own, none.alias("own"), F.log("backoff").alias("context"), F.lit(0).cast("long").alias("seen")), own))
-    lower = _union(every).groupBy("key").agg(F.sum("own").alias("own"), F.sum("context").alias("context"), F.sum("seen").alias("seen"))
-    whole.append(stored(lower.select("key", _millionths(F.col("own")).alias("own"), _millionths(F.col("own") + F.col("context")).alias("whole"), "seen")))
-    discard(levels[1], *orders, *contexts)
-    return whole, unseen
+        mine = g.words(ORDER, np.flatnonzero(_part(g.history[0], parts) == part))
+        _, at, n = np.unique(_key(mine), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in mine), pa.array(n.astype(np.int64))], [*names, "n"])
+
+    # shuffled once, by context: an n-gram's rows, and all n-grams of a context, are then in one partition
+    rows = bounded_batches(texts).mapInArrow(grams, "w1 long, w2 long, w3 long, n long").repartition("w1", "w2")
+    counted, context = rows.groupBy(*names).agg(F.sum("n").alias("c")), W.partitionBy("w1", "w2")
+    return counted.select(*names, "c", *(f.over(context).alias(name) for name, f in _continuations().items()), (F.col("w3") == F.min("w3").over(context)).alias("first"))
+
+
+def _continuations() -> dict[str, Column]:
+    """Aggregates over the n-grams of a context: the sum of their counts, and how many have each of the discounts."""
+    return {"total": F.sum("c")} | {name: F.sum(has.cast("int")) for name, has in (("once", F.col("c") == 1), ("twice", F.col("c") == 2), ("more", F.col("c") > 2))}
+
+
+def _weights(trigrams: list[DataFrame], bigrams: list[DataFrame], words: DataFrame, discounts: list[tuple], unseen: float, last: list[DataFrame]) -> Iterator[DataFrame]:
+    """The tables of ``train``. What a part was made of is deleted with it, and ``last`` at the end."""
+    for part, (tri, bi) in enumerate(zip(trigrams, bigrams, strict=True)):
+        contexts = bi.groupBy("w2").agg(*(f.alias(name) for name, f in _continuations().items()))
+        contexts = stored(contexts.select("w2", "total", _backoff(discounts[1]).alias("backoff")))
+        met = bi.join(contexts, "w2").join(words.select("w3", F.col("p").alias("lower")), "w3")
+        pairs = stored(_interpolated(met, discounts[1]).select("w2", "w3", "p", "weight", "seen"))
+        discard(bi)
+        known = tri.withColumn("backoff", _backoff(discounts[2])).withColumnRenamed("c", "seen").withColumn("c", F.col("seen"))
+        met = known.select("w1", "w2", "w3", "c", "seen", "total", "backoff").join(pairs.select("w2", "w3", F.col("p").alias("lower")), ["w2", "w3"])
+        single = words.where(_part_of("w3", len(trigrams)) == part).join(contexts, F.col("w2") == F.col("w3"), "full")
+        own, context = F.log("p") - unseen, F.log("backoff")
+        single = single.select(F.coalesce("w3", "w2").alias("w"), own.alias("own"), (F.coalesce(own, F.lit(0.0)) + F.coalesce(context, F.lit(0.0))).alias("whole"), F.coalesce("seen", "total").alias("seen"))
+        every = [
+            _keyed(_interpolated(met, discounts[2]), ["w1", "w2", "w3"]),
+            _keyed(known.where("first").select("w1", "w2", _millionths(context).alias("weight"), F.col("total").alias("seen")), ["w1", "w2"], CONTEXT),
+            _keyed(pairs, ["w2", "w3"]),
+            _keyed(single.select("w", _millionths(F.col("whole")).alias("weight"), "seen"), ["w"]),
+            _keyed(single.where("own is not null").select("w", _millionths(F.col("own")).alias("weight"), "seen"), ["w"], END),
+        ]
+        out = stored(_union(every))
+        discard(tri, pairs, contexts, *(last if part == len(trigrams) - 1 else []))
+        yield out
+
+
+def _interpolated(met: DataFrame, discounts: tuple) -> DataFrame:
+    """``met`` (c, total, backoff, lower) with p, and weight, what the n-gram tells beyond the next shorter one."""
+    p = F.greatest(F.col("c") - _discount(discounts), F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("lower")
+    return met.withColumn("p", p).withColumn("weight", _millionths(F.log("p") - F.log("backoff") - F.log("lower")))
+
+
+def _backoff(discounts: tuple) -> Column:
+    return sum((F.col(name) * F.lit(d) for name, d in zip(("once", "twice", "more"), discounts, strict=True)), F.lit(0.0)) / F.col("total")
 
 
 def _millionths(c: Column) -> Column:
@@ -264,22 +314,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _keyed(grams: DataFrame, words: list[str]) -> DataFrame:
-    """``grams`` with the key of their ``words`` in the place of these."""
-    others = [f for f in grams.schema if f.name not in words]
+def _keyed(grams: DataFrame, words: list[str], role: np.uint64 | None = None) -> DataFrame:
+    """(key, weight, seen) of ``grams``, the key being that of their ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = _key([batch.column(w).to_numpy().view(np.uint64) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(f.name) for f in others)], ["key", *(f.name for f in others)])
+            key = key if role is None else _as(key, role)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("weight"), batch.column("seen")], ["key", "weight", "seen"])
+
+    return grams.select(*words, "weight", "seen").mapInArrow(run, "key long, weight int, seen long")
+
 
-    return grams.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others))
+def _discount(discounts: tuple) -> Column:
+    return F.when(F.col("c") == 1, discounts[0]).when(F.col("c") == 2, discounts[1]).otherwise(discounts[2])
 
 
-def _discount(level: DataFrame) -> Column:
-    n1, n2, n3, n4 = (x or 0 for x in level.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first())
-    d1, d2, d3 = _discounts(n1, n2, n3, n4)
-    return F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+def _level_discounts(level: DataFrame) -> tuple[float, float, float]:
+    return _discounts(*(x or 0 for x in level.agg(*(F.count_if(F.col("c") == k) for k in (1, 2, 3, 4))).first()))
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -293,46 +345,37 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 
 
 class _Local:
-    """What each task has of the model: weights of the most frequent n-grams, and a bitmap that tells most unseen ones."""
+    """What each task has of a part of the model: weights of the most frequent n-grams, and a bitmap that tells most unseen ones."""
 
-    def __init__(self, unseen: float, keys: np.ndarray, own: np.ndarray, whole: np.ndarray, bits: bytes, against: dict[str, int]):
+    def __init__(self, part: int, parts: int, keys: np.ndarray, weight: np.ndarray, bits: bytes):
         order = np.argsort(keys)
-        self.unseen, self.against = round(unseen * 1e6), against
-        self.keys, self.own, self.whole = keys[order], own[order], whole[order]
+        self.part, self.parts, self.keys, self.weight = part, parts, keys[order], weight[order]
         self.shift = np.uint64(64 - FILTER_BITS)
         self.bits = np.frombuffer(bits, np.uint8)  # stays packed: a copy goes to every executor
 
-    def find(self, keys: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The weights of the frequent n-grams (0 for others), and which of the others the model may have."""
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            known = self.keys[at] == keys
-            weight = np.where(known, np.where(last, self.own[at], self.whole[at]), 0)
-        else:
-            known, weight = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        bit = keys >> self.shift
-        maybe = self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
-        return weight, ~known & maybe.astype(bool)
-
-    def rows(self, texts: list[bytes], before: list[int] | None = None, ended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words and known weight of each text, and (text, key, last) of the n-grams whose weights must be fetched."""
+    def rows(self, texts: list[bytes], before: list[int] | None = None, ended: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The known weight of each text, and (text, key) of the n-grams whose weights must be fetched."""
         grams = Grams(texts, before)
         last = grams.last if ended else np.zeros(len(grams.last), bool)
-        known = grams.counts * self.unseen
-        docs, keys, lasts = [], [], []
-        for own in grams.keys:
-            weight, wanted = self.find(own, last)
-            known = known + np.bincount(grams.doc, weights=weight, minlength=len(texts)).astype(np.int64)  # exact: below 2^53
-            docs.append(grams.doc[wanted])
-            keys.append(own[wanted])
-            lasts.append(last[wanted])
-        if before is None or not any(before):  # the words before the first one are contexts too
-            weight, wanted = self.find(START_KEYS, np.zeros(len(START_KEYS), bool))
-            known, some = known + np.where(grams.counts > 0, weight.sum(), 0), np.flatnonzero(grams.counts)
-            docs.append(np.repeat(some, wanted.sum()))
-            keys.append(np.tile(START_KEYS[wanted], len(some)))
-            lasts.append(np.zeros(len(docs[-1]), bool))
-        return grams.counts, known, *(np.concatenate(x) for x in (docs, keys, lasts))
+        own, after = (np.flatnonzero(_part(word, self.parts) == self.part) for word in (grams.history[0], grams.word))
+        word, context = _key(grams.words(1, after)), after[~last[after]]
+        docs = [grams.doc[own], grams.doc[own], grams.doc[after], grams.doc[context]]
+        keys = [_key(grams.words(3, own)), _key(grams.words(2, own)), np.where(last[after], _as(word, END), word), _as(_key(grams.words(2, context)), CONTEXT)]
+        start = np.array([START])
+        if (before is None or not any(before)) and _part(start, self.parts)[0] == self.part:  # the words before the first one are contexts too
+            some = np.flatnonzero(grams.counts)
+            docs += [some, some]
+            keys += [np.repeat(_key([start]), len(some)), np.repeat(_as(_key([start, start]), CONTEXT), len(some))]
+        doc, key = np.concatenate(docs), np.concatenate(keys)
+        bit = key >> self.shift
+        maybe = (self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        doc, key, known = doc[maybe], key[maybe], np.zeros(len(texts), np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hot = self.keys[at] == key
+            known = np.bincount(doc[hot], weights=self.weight[at[hot]], minlength=len(texts)).astype(np.int64)  # exact: below 2^53
+            doc, key = doc[~hot], key[~hot]
+        return known, doc, key
 
 
 def _pieces(text: bytes, size: int) -> Iterator[tuple[bytes, int, bool]]:
@@ -348,106 +391,124 @@ def _pieces(text: bytes, size: int) -> Iterator[tuple[bytes, int, bool]]:
         start = end
 
 
-def perplexities(docs: DataFrame, model: tuple[list[DataFrame], float], refused: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+def perplexities(docs: DataFrame, model: tuple[Parts, float], refused: DataFrame | None = None, hot: int = HOT) -> DataFrame:
     """``docs`` (columns __id, __lang, text) with __n words, __log, the sum of their log-probabilities, and __odds against them.
 
-    A map over the texts adds up the weights of the most frequent n-grams, which are broadcast as they would be hot keys,
-    and of the others emits the keys that a bitmap of fixed size does not rule out. These are joined with the sharded
-    weights and added up per text, in PHASES parts by key one after another, each of which is deleted when its sums are
-    written. Weights are whole numbers, so sums do not depend on order. Words of ``refused`` count alike: AGAINST of them in
-    the map, others by a join. Returns a stored table; the model's and that of ``refused`` are deleted.
+    The texts are read once for each part of the model, which is deleted when their sums are written, before the next part
+    is made. Weights are whole numbers, so sums do not depend on order. A text's sums of several parts meet by 128 bits of
+    hash, as rows need not come in the same order when ``docs`` is read again; equal texts have equal sums. Words of ``refused``
+    count alike: AGAINST of them in a map, others by a join. Returns a stored table; the model's and that of ``refused`` are deleted.
     """
     against = {}
     if refused is not None:
         first = refused.orderBy(F.col("bad").desc(), "word").limit(AGAINST).select("word", "odds").toArrow()
         against = dict(zip(*(c.to_pylist() for c in first.columns), strict=True))
     beyond = refused is not None and refused.count() > len(against)
-    spark, (tables, unseen) = docs.sparkSession, model
-    weights = _union(tables)
-    common = weights.orderBy(F.array_contains(F.lit(START_KEYS.view(np.int64).tolist()), F.col("key")).desc(), F.col("seen").desc(), "key").limit(hot)
-    keys, own, whole = (c.to_numpy() for c in common.select("key", "own", "whole").toArrow().columns)  # at most ``hot`` rows
-    rest = stored(weights.join(F.broadcast(spark.createDataFrame(pa.table({"key": keys}))), "key", "left_anti").drop("seen"))
-    discard(*tables)
-    local = spark.sparkContext.broadcast(_Local(unseen, keys.view(np.uint64), own, whole, _bitmap(rest), against))
-    lists = [f"k{phase}" for phase in range(PHASES)]
+    tables, unseen = model
+    known_words = docs.sparkSession.sparkContext.broadcast(against)
+
+    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, odds, others = [], [], []
+            for text in batch.column(4):
+                text = text.as_py() or b""
+                kinds = _kinds(text.decode("utf-8", "replace")) if known_words.value else set()
+                n.append(len(text.split()))
+                odds.append(sum(known_words.value[w] for w in known_words.value.keys() & kinds))
+                others.append(sorted(kinds - known_words.value.keys()) if beyond else [])
+            arrays = [*batch.columns[:4], pa.array(n, pa.int64()), pa.array(odds, pa.int64()), pa.array(others, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["__id", "__lang", "__a", "__b", "__n", "__odds", "others"])
+
+    hashes = [F.xxhash64(whole_text()).alias("__a"), F.xxhash64(F.lit(1), whole_text()).alias("__b")]
+    rows = bounded_batches(docs).select("__id", "__lang", *hashes, utf8().alias("text"))
+    base = stored(rows.mapInArrow(about, "__id long, __lang string, __a long, __b long, __n long, __odds long, others array<string>"))
+    sums = [_met(rows.select("__a", "__b", "text"), weights, part, tables.number, hot) for part, weights in enumerate(tables)]
+    fetched = _union(sums).groupBy("__a", "__b").agg(F.sum("weight").alias("weight"))
+    narrow = base.join(fetched, ["__a", "__b"])
+    if beyond:
+        met = base.select("__a", "__b", "others").dropDuplicates(["__a", "__b"]).select("__a", "__b", F.explode("others").alias("word")).join(refused, "word")
+        narrow = narrow.join(met.groupBy("__a", "__b").agg(F.sum("odds").alias("odds")), ["__a", "__b"], "left").withColumn("__odds", F.col("__odds") + F.coalesce("odds", F.lit(0)))
+    out = stored(narrow.select("__id", "__lang", "__n", ((F.col("__n") * round(unseen * 1e6) + F.col("weight")) / 1e6).alias("__log"), "__odds"))
+    discard(base, *sums, *([] if refused is None else [refused]))
+    return out
+
+
+def _met(texts: DataFrame, weights: DataFrame, part: int, parts: int, hot: int) -> DataFrame:
+    """(__a, __b, weight), stored: what a part of the model adds to each text. Its ``weights`` are deleted.
+
+    A map over the texts adds up the weights of the most frequent n-grams, which are broadcast as they would be hot keys,
+    and of the others emits the keys that a bitmap of fixed size does not rule out. These are joined with the sharded weights.
+    """
+    common = weights.where(F.col("seen") >= _frequent(weights, hot)).limit(hot)
+    keys, weight = (c.to_numpy() for c in common.select("key", "weight").toArrow().columns)  # at most ``hot`` rows
+    local = texts.sparkSession.sparkContext.broadcast(_Local(part, parts, keys.view(np.uint64), weight, _bitmap(weights)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group, held = [], 0
-            for meta in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                text = meta[3].as_py() or b""
+            for meta in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
+                text = meta[2].as_py() or b""
                 if len(text) > PIECE:
-                    yield table([meta[:3]], [text], long(text))
+                    yield table([meta[:2]], long(text))
                     continue
-                group.append((*meta[:3], text))
+                group.append((*meta[:2], text))
                 held += len(text)
                 if held >= GROUP_BYTES:
-                    yield together(group)
+                    yield table(group, local.value.rows([g[2] for g in group]))
                     group, held = [], 0
             if group:
-                yield together(group)
-
-    def together(group: list[tuple]) -> pa.RecordBatch:
-        texts = [g[3] for g in group]
-        return table([g[:3] for g in group], texts, local.value.rows(texts))
+                yield table(group, local.value.rows([g[2] for g in group]))
 
     def long(text: bytes) -> tuple:
-        parts = [local.value.rows([piece], [before], ended) for piece, before, ended in _pieces(text, PIECE)]
-        n, known, *found = zip(*parts, strict=True)
-        return np.sum(n, axis=0), np.sum(known, axis=0), *(np.concatenate(x) for x in found)
-
-    def table(meta: list[tuple], texts: list[bytes], found: tuple) -> pa.RecordBatch:
-        n, known, doc, keys, last = found
-        known_words = local.value.against
-        kinds = [_kinds(t.decode("utf-8", "replace")) if known_words else set() for t in texts]
-        odds = [sum(known_words[w] for w in known_words.keys() & some) for some in kinds]
-        others = pa.array([sorted(some - known_words.keys()) if beyond else [] for some in kinds], pa.list_(pa.string()))
-        order = np.argsort(doc, kind="stable")
-        doc, keys, last = doc[order], keys[order], last[order]
-        part = np.where(last, PHASES, (keys % np.uint64(PHASES)).astype(np.int64))
-        arrays = []
-        for phase in range(PHASES + 1):
-            some = part == phase
-            offsets = np.searchsorted(doc[some], np.arange(len(meta) + 1)).astype(np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].view(np.int64))))
-        row, ids, langs = zip(*meta, strict=True)
-        columns = [pa.array(row, pa.int64()), pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(odds, pa.int64()), others, *arrays]
-        return pa.RecordBatch.from_arrays(columns, ["__row", "__id", "__lang", "__n", "__known", "__odds", "others", *lists, "ends"])
-
-    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("__row"), "__id", "__lang", utf8().alias("text"))
-    schema = "__row long, __id long, __lang string, __n long, __known long, __odds long, others array<string>, " + ", ".join(f"{x} array<long>" for x in [*lists, "ends"])
-    wanted = stored(rows.mapInArrow(score, schema))
-    sums = [stored(_fetched(wanted, rest, phase)) for phase in range(PHASES)]
-    fetched = _union(sums).groupBy("__row").agg(F.sum("weight").alias("weight"))
-    narrow = wanted.select("__row", "__id", "__lang", "__n", "__known", "__odds").join(fetched, "__row", "left")
-    if beyond:
-        met = wanted.select("__row", F.explode("others").alias("word")).join(refused, "word").groupBy("__row").agg(F.sum("odds").alias("odds"))
-        narrow = narrow.join(met, "__row", "left").withColumn("__odds", F.col("__odds") + F.coalesce("odds", F.lit(0)))
-    out = stored(narrow.select("__id", "__lang", "__n", ((F.col("__known") + F.coalesce("weight", F.lit(0))) / 1e6).alias("__log"), "__odds"))
-    discard(wanted, rest, *sums, *([] if refused is None else [refused]))
+        known, *found = zip(*(local.value.rows([piece], [before], ended) for piece, before, ended in _pieces(text, PIECE)), strict=True)
+        return np.sum(known, axis=0), *(np.concatenate(x) for x in found)
+
+    def table(meta: list[tuple], found: tuple) -> pa.RecordBatch:
+        known, doc, keys = found  # what is known of a text is a row without a key
+        text = np.concatenate([np.arange(len(meta)), doc])
+        a, b = (np.array([m[i] for m in meta], np.int64)[text] for i in range(2))
+        fetch = np.arange(len(text)) >= len(meta)
+        columns = [pa.array(a), pa.array(b), pa.array(fetch), pa.array(np.concatenate([a[: len(meta)], keys.view(np.int64)])), pa.array(np.concatenate([known, np.zeros(len(keys), np.int64)]))]
+        return pa.RecordBatch.from_arrays(columns, ["__a", "__b", "fetch", "key", "known"])
+
+    wanted = texts.mapInArrow(score, "__a long, __b long, fetch boolean, key long, known long")
+    met = wanted.alias("t").join(weights.select("key", "weight").hint("shuffle_hash").alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("fetch"), "left")
+    # equal texts have equal weights, and a row each that is not fetched
+    out = stored(met.groupBy("__a", "__b").agg(F.expr("sum(known + coalesce(weight, 0)) div count_if(not fetch)").alias("weight")))
+    discard(weights)
+    local.destroy()
     return out
 
 
-def _fetched(wanted: DataFrame, weights: DataFrame, phase: int) -> DataFrame:
-    """(__row, weight): what the n-grams of one phase add to each text. Both sides are shuffled by key."""
-    mine = F.pmod(F.col("key"), F.lit(PHASES)) == phase
-    within = wanted.select("__row", F.explode(f"k{phase}").alias("key"), F.lit(False).alias("last"))
-    ends = wanted.select("__row", F.explode("ends").alias("key"), F.lit(True).alias("last")).where(mine)
-    met = within.unionByName(ends).join(weights.where(mine).hint("shuffle_hash"), "key")
-    return met.groupBy("__row").agg(F.sum(F.when(F.col("last"), F.col("own")).otherwise(F.col("whole"))).alias("weight"))
+def _frequent(weights: DataFrame, most: int) -> int:
+    """The smallest number of times seen, 2 at least, that at most so many n-grams reach."""
+    rarest = F.least(F.col("seen"), F.lit(10_000)).alias("seen")  # so few values; rarer ones are told apart
+    reached, least = 0, 10_001
+    for seen, count in sorted(map(tuple, weights.where("seen > 1").groupBy(rarest).count().collect()), reverse=True):
+        reached += count
+        if reached > most:
+            break
+        least = seen
+    return least
 
 
 def _bitmap(weights: DataFrame) -> bytes:
     """A bit for each value of a key's first FILTER_BITS bits, set if a key has it; built in segments, of one size for any model."""
-    segment = FILTER_BITS - 8
+    bits, segments = FILTER_BITS, 1 << 8
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << bits, bool)
+        for batch in batches:
+            own[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+        packed = np.packbits(own, bitorder="little").reshape(segments, -1)
+        some = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["segment", "bits"])
 
-    def build(key: tuple, rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << segment, bool)
-        bits[rows.column("bit").to_numpy() & ((1 << segment) - 1)] = True
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+    def together(key: tuple, rows: pa.Table) -> pa.Table:
+        every = np.stack([np.frombuffer(some.as_py(), np.uint8) for some in rows.column("bits")])  # as many as tasks before
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.bitwise_or.reduce(every).tobytes()], pa.binary())})
 
-    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    parts = weights.select(bit.alias("bit"), F.shiftright(bit, segment).alias("segment")).groupBy("segment").applyInArrow(build, "segment long, bits binary")
+    parts = weights.select("key").mapInArrow(seen, "segment long, bits binary").groupBy("segment").applyInArrow(together, "segment long, bits binary")
     parts = stored(parts)  # so the shuffle of all keys goes at once; collected, it would stay beside the texts' keys
     out = bytearray((1 << FILTER_BITS) // 8)
     size = len(out) >> 8
