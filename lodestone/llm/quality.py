@@ -3,7 +3,7 @@
 Training counts n-grams in Spark, sharded by key, and joins each order's counts with its contexts' and with the next
 lower order's probabilities, from which come discounted probabilities and back-off weights (Chen and Goodman, 1999).
 It is fitted on every trusted document but the held-out half. Scoring joins the n-grams of every document of the corpus with the sharded
-weights. A document's log-perplexity, drawn towards its language's mean by a few pseudo-words so that very short texts
+weights. Both go through the model in parts, so it is never there as a whole. A document's log-perplexity, drawn towards its language's mean by a few pseudo-words so that very short texts
 aren't judged by one rare word, is compared with a quantile of its language's held-out trusted documents.
 
 Insults and marks strewn over fluent text hardly change its perplexity. They are learned from the labels: words that are
