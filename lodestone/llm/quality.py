@@ -16,9 +16,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,13 +51,19 @@ STEP = 0.001
 AGAINST = 1 << 17
 #: Most frequent n-grams of a part of the model whose weights are broadcast (12 bytes each).
 HOT = 1 << 19
+#: How often an n-gram was seen is told apart up to so many times, and rows that Python hands on at once.
+MOST_SEEN, ROWS = 10_000, 10_000
 #: Bits of a key (11 at least) that the bitmap of the model's other n-grams tells apart; it has 2^26 bits, 8 MB, for any model.
 FILTER_BITS = 26
 #: Parts, by the word before the last, in which n-grams are counted, weighted and met by those of the corpus, one after another: one for
 #: so many bytes of the texts fitted on, and at most PARTS.
 PART_BYTES, PARTS = 16 << 20, 8
-#: Bytes of texts that are hashed together, and of the pieces of a longer one.
-GROUP_BYTES, PIECE = 1 << 19, 1 << 20
+#: Bytes of texts that are hashed together, and of the pieces of a longer one; texts that are hashed together at most.
+GROUP_BYTES, PIECE, GROUP_TEXTS = 1 << 19, 1 << 20, 1 << 16
+#: Shards of a part of the model, by key, one of which is in a task's memory at a time: so many, or one for so many trigrams of the texts fitted on.
+SHARDS, SHARD_TRIGRAMS = 128, 1 << 19
+#: Bytes of sums that a task holds before it hands them on, and words whose tokens a task keeps.
+SUMS_BYTES, KEPT_WORDS = 32 << 20, 1 << 17
 
 #: Ids of documents that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -111,6 +119,25 @@ def _kinds(text: str | None) -> set[str]:
     return set(TOKEN.findall((text or "").lower()))
 
 
+class _Kinds:
+    """Those of ``_kinds`` that are ``among`` some, of many texts: a token never spans white space, so in a word they are looked for once."""
+
+    def __init__(self, among: dict):
+        self.among, self.found, self.none = among, {}, set()
+
+    def __call__(self, text: str) -> set[str]:
+        if len(self.found) + len(self.none) > KEPT_WORDS:
+            self.found, self.none = {}, set()
+        words = set(text.lower().split()) - self.none
+        new = [w for w in words if w not in self.found]
+        if self.among.keys().isdisjoint(TOKEN.findall(" ".join(new))):
+            self.none.update(w for w in new if len(w) <= 64)
+            return {t for w in words for t in self.found.get(w, ())}
+        for word in new:
+            self.found[word] = self.among.keys() & set(TOKEN.findall(word))
+        return {t for w in words for t in self.found[w]}
+
+
 def refused_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, bad, odds), stored: the words that speak against a document, in how many refused ones they are, and hundredths of their log odds.
 
@@ -199,10 +226,10 @@ def _part_of(word: str, parts: int) -> Column:
 
 
 class Parts:
-    """The tables of a model, to be gone through once, and how many there are."""
+    """The tables of a model, to be gone through once, how many there are, and how many shards each has."""
 
-    def __init__(self, number: int, tables: Iterator[DataFrame]):
-        self.number, self.tables = number, tables
+    def __init__(self, number: int, tables: Iterator[DataFrame], shards: int):
+        self.number, self.tables, self.shards = number, tables, shards
 
     def __iter__(self) -> Iterator[DataFrame]:
         return self.tables
@@ -221,10 +248,10 @@ def train(sample: DataFrame) -> tuple[Parts, float]:
 
     Every level's counts are sharded by n-gram: occurrences at the highest order, distinct words before at the lower ones.
     A trigram, its context and the bigram below it share the word in the middle, so all are counted and weighted in parts by
-    this word, one after another. The weights come as stored tables (key, weight, seen), one a part, made when it is reached, so that
+    this word, one after another. The weights come as stored tables (shard, key, weight, seen), one a part, made when it is reached, so that
     the model, which is about as long as the sample, need never be there as a whole: whoever is done with a table discards it
-    before taking the next. Weights are whole millionths of a nat; seen is how often the sample has the n-gram. Keys are those of
-    trigrams and bigrams, of bigrams as the CONTEXT of a word, and of words, with and (END) without what they weigh as contexts.
+    before taking the next. A row has the n-grams that a task found of a shard, in arrays (see ``_shards``), so few rows are shuffled and joined. Weights
+    are whole millionths of a nat; seen is how often the sample has the n-gram, MOST_SEEN at most. Keys are those of trigrams and bigrams, of bigrams as the CONTEXT of a word, and of words, with and (END) without what they weigh as contexts.
     """
     texts = stored(sample.select(utf8().alias("text")))
     parts = min(max(-(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES), 1), PARTS)
@@ -237,7 +264,8 @@ def train(sample: DataFrame) -> tuple[Parts, float]:
     spare = (kept_back / total if total else 1.0) / (kinds + 1)
     unseen = float(np.log(spare))
     share = F.greatest(F.col("c") - _discount(discounts[0]), F.lit(0.0)) / F.lit(float(total or 1))
-    return Parts(parts, _weights(trigrams, bigrams, words.select("w3", "seen", (share + spare).alias("p")), discounts, unseen, [words])), unseen
+    shards = max(SHARDS, -(-sum(t.count() for t in trigrams) // parts // SHARD_TRIGRAMS))
+    return Parts(parts, _weights(trigrams, bigrams, words.select("w3", "seen", (share + spare).alias("p")), discounts, unseen, [words], shards), shards), unseen
 
 
 def _trigrams(texts: DataFrame, part: int, parts: int) -> DataFrame:
@@ -257,10 +285,30 @@ def _trigrams(texts: DataFrame, part: int, parts: int) -> DataFrame:
         _, at, n = np.unique(_key(mine), return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in mine), pa.array(n.astype(np.int64))], [*names, "n"])
 
-    # shuffled once, by context: an n-gram's rows, and all n-grams of a context, are then in one partition
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        w1, w2, w3, n = (np.concatenate([b.column(name).to_numpy() for b in held]) for name in (*names, "n"))
+        del held
+        order = np.lexsort((w3, w1, w2))
+        w1, w2, w3, n = w1[order], w2[order], w3[order], n[order]
+        context = np.ones(len(n), bool)
+        context[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+        gram = context.copy()
+        gram[1:] |= w3[1:] != w3[:-1]
+        at = np.flatnonzero(gram)
+        c, first = np.add.reduceat(n, at), context[at]
+        starts = np.flatnonzero(first)
+        sums = [np.add.reduceat(x.astype(np.int64), starts) for x in (c, c == 1, c == 2, c > 2)]
+        sums = [np.repeat(x, np.diff(np.append(starts, len(c)))) for x in sums]
+        table = pa.RecordBatch.from_arrays([pa.array(x) for x in (w1[at], w2[at], w3[at], c, *sums, first)], [*names, "c", "total", "once", "twice", "more", "first"])
+        for start in range(0, table.num_rows, ROWS):
+            yield table.slice(start, ROWS)
+
+    # shuffled once, by context: an n-gram's rows, and all n-grams of a context, are then in one partition, which Spark bounds
     rows = bounded_batches(texts).mapInArrow(grams, "w1 long, w2 long, w3 long, n long").repartition("w1", "w2")
-    counted, context = rows.groupBy(*names).agg(F.sum("n").alias("c")), W.partitionBy("w1", "w2")
-    return counted.select(*names, "c", *(f.over(context).alias(name) for name, f in _continuations().items()), (F.col("w3") == F.min("w3").over(context)).alias("first"))
+    return rows.mapInArrow(counted, "w1 long, w2 long, w3 long, c long, total long, once long, twice long, more long, first boolean")
 
 
 def _continuations() -> dict[str, Column]:
@@ -268,35 +316,55 @@ def _continuations() -> dict[str, Column]:
     return {"total": F.sum("c")} | {name: F.sum(has.cast("int")) for name, has in (("once", F.col("c") == 1), ("twice", F.col("c") == 2), ("more", F.col("c") > 2))}
 
 
-def _weights(trigrams: list[DataFrame], bigrams: list[DataFrame], words: DataFrame, discounts: list[tuple], unseen: float, last: list[DataFrame]) -> Iterator[DataFrame]:
+def _weights(trigrams: list[DataFrame], bigrams: list[DataFrame], words: DataFrame, discounts: list[tuple], unseen: float, last: list[DataFrame], shards: int) -> Iterator[DataFrame]:
     """The tables of ``train``. What a part was made of is deleted with it, and ``last`` at the end."""
     for part, (tri, bi) in enumerate(zip(trigrams, bigrams, strict=True)):
         contexts = bi.groupBy("w2").agg(*(f.alias(name) for name, f in _continuations().items()))
         contexts = stored(contexts.select("w2", "total", _backoff(discounts[1]).alias("backoff")))
-        met = bi.join(contexts, "w2").join(words.select("w3", F.col("p").alias("lower")), "w3")
-        pairs = stored(_interpolated(met, discounts[1]).select("w2", "w3", "p", "weight", "seen"))
-        discard(bi)
-        known = tri.withColumn("backoff", _backoff(discounts[2])).withColumnRenamed("c", "seen").withColumn("c", F.col("seen"))
-        met = known.select("w1", "w2", "w3", "c", "seen", "total", "backoff").join(pairs.select("w2", "w3", F.col("p").alias("lower")), ["w2", "w3"])
+        met = bi.join(contexts.hint("shuffle_hash"), "w2").join(words.select("w3", F.col("p").alias("lower")).hint("shuffle_hash"), "w3")
+        p = F.greatest(F.col("c") - _discount(discounts[1]), F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("lower")
+        pairs = met.withColumn("p", p).withColumn("weight", _millionths(F.log("p") - F.log("backoff") - F.log("lower")))
         single = words.where(_part_of("w3", len(trigrams)) == part).join(contexts, F.col("w2") == F.col("w3"), "full")
         own, context = F.log("p") - unseen, F.log("backoff")
         single = single.select(F.coalesce("w3", "w2").alias("w"), own.alias("own"), (F.coalesce(own, F.lit(0.0)) + F.coalesce(context, F.lit(0.0))).alias("whole"), F.coalesce("seen", "total").alias("seen"))
         every = [
-            _keyed(_interpolated(met, discounts[2]), ["w1", "w2", "w3"]),
-            _keyed(known.where("first").select("w1", "w2", _millionths(context).alias("weight"), F.col("total").alias("seen")), ["w1", "w2"], CONTEXT),
-            _keyed(pairs, ["w2", "w3"]),
-            _keyed(single.select("w", _millionths(F.col("whole")).alias("weight"), "seen"), ["w"]),
-            _keyed(single.where("own is not null").select("w", _millionths(F.col("own")).alias("weight"), "seen"), ["w"], END),
+            _interpolated(tri.withColumn("backoff", _backoff(discounts[2])), pairs, discounts[2], shards),
+            _keyed(single.select("w", _millionths(F.col("whole")).alias("weight"), "seen"), ["w"], shards),
+            _keyed(single.where("own is not null").select("w", _millionths(F.col("own")).alias("weight"), "seen"), ["w"], shards, END),
         ]
         out = stored(_union(every))
-        discard(tri, pairs, contexts, *(last if part == len(trigrams) - 1 else []))
+        discard(tri, bi, contexts, *(last if part == len(trigrams) - 1 else []))
         yield out
 
 
-def _interpolated(met: DataFrame, discounts: tuple) -> DataFrame:
-    """``met`` (c, total, backoff, lower) with p, and weight, what the n-gram tells beyond the next shorter one."""
-    p = F.greatest(F.col("c") - _discount(discounts), F.lit(0.0)) / F.col("total") + F.col("backoff") * F.col("lower")
-    return met.withColumn("p", p).withColumn("weight", _millionths(F.log("p") - F.log("backoff") - F.log("lower")))
+def _interpolated(trigrams: DataFrame, pairs: DataFrame, discounts: tuple, shards: int) -> DataFrame:
+    """``_shards`` of trigrams, of their contexts and of ``pairs``, the next shorter n-grams: they meet by (w2, w3), and a trigram weighs what it tells beyond its pair."""
+    longer = trigrams.select("w1", "w2", "w3", "c", "total", F.col("backoff").alias("share"), "first")
+    shorter = pairs.select(F.lit(None).cast("long").alias("w1"), "w2", "w3", F.col("seen").alias("c"), F.col("weight").cast("long").alias("total"), F.col("p").alias("share"), F.lit(False).alias("first"))
+    discount = np.array([0.0, *discounts])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if not sum(b.num_rows for b in rows):
+            return
+        rows = pa.Table.from_batches(rows)
+        pair = rows.column("w1").is_null().to_numpy(zero_copy_only=False)
+        w1 = rows.column("w1").fill_null(0).to_numpy().view(np.uint64)
+        w2, w3 = (rows.column(w).to_numpy().view(np.uint64) for w in ("w2", "w3"))
+        c, total, share, first = (rows.column(name).to_numpy() for name in ("c", "total", "share", "first"))
+        del rows
+        below, tri = _key([w2, w3]), ~pair
+        known, p = below[pair], share[pair]
+        order = np.argsort(known)
+        lower = p[order][np.searchsorted(known[order], below[tri])]  # every trigram's pair is there
+        backoff = share[tri]
+        weight = np.log(np.maximum(c[tri] - discount[np.minimum(c[tri], 3)], 0.0) / total[tri] + backoff * lower) - np.log(backoff) - np.log(lower)
+        keys = [_key([w1[tri], w2[tri], w3[tri]]), _as(_key([w1[first], w2[first]]), CONTEXT), known]
+        weights = [np.rint(weight * 1e6), np.rint(np.log(share[first]) * 1e6), total[pair]]
+        yield from _shards(np.concatenate(keys), np.concatenate(weights), np.concatenate([c[tri], total[first], c[pair]]), shards)
+
+    # a pair's trigrams are in one partition, which Spark bounds
+    return longer.unionByName(shorter).repartition("w2", "w3").mapInArrow(weighed, SHARD)
 
 
 def _backoff(discounts: tuple) -> Column:
@@ -314,16 +382,40 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _keyed(grams: DataFrame, words: list[str], role: np.uint64 | None = None) -> DataFrame:
-    """(key, weight, seen) of ``grams``, the key being that of their ``words``."""
+def _keyed(grams: DataFrame, words: list[str], shards: int, role: np.uint64 | None = None) -> DataFrame:
+    """``_shards`` of ``grams`` (and weight, seen), the key being that of their ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = _key([batch.column(w).to_numpy().view(np.uint64) for w in words])
-            key = key if role is None else _as(key, role)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("weight"), batch.column("seen")], ["key", "weight", "seen"])
+            yield from _shards(key if role is None else _as(key, role), batch.column("weight").to_numpy(), batch.column("seen").to_numpy(), shards)
+
+    return bounded_batches(grams.select(*words, "weight", "seen")).mapInArrow(run, SHARD)
+
+
+#: N-grams of a shard: keys (unsigned 64 bits, in order), weights (32 bits) and how often each was seen (unsigned 16 bits).
+SHARD = "shard int, key binary, weight binary, seen binary"
+
 
-    return grams.select(*words, "weight", "seen").mapInArrow(run, "key long, weight int, seen long")
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
+
+
+def _shards(key: np.ndarray, weight: np.ndarray, seen: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row (SHARD) for each shard that the n-grams are of."""
+    shard = _shard(key, shards)
+    order = np.lexsort((key, shard))
+    shard, key, weight, seen = shard[order], key[order], weight[order].astype(np.int32), np.minimum(seen[order], MOST_SEEN).astype(np.uint16)
+    rows = [(s, *(x[a:b].tobytes() for x in (key, weight, seen))) for s, a, b in _runs(shard)]
+    if rows:
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "weight", "seen"])
+
+
+def _runs(ordered: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of equal values."""
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.array([], np.int64)
+    return list(zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ordered)], strict=False))
 
 
 def _discount(discounts: tuple) -> Column:
@@ -408,13 +500,14 @@ def perplexities(docs: DataFrame, model: tuple[Parts, float], refused: DataFrame
     known_words = docs.sparkSession.sparkContext.broadcast(against)
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds_of = _kinds if beyond else _Kinds(known_words.value)
         for batch in batches:
             n, odds, others = [], [], []
             for text in batch.column(4):
                 text = text.as_py() or b""
-                kinds = _kinds(text.decode("utf-8", "replace")) if known_words.value else set()
+                kinds = kinds_of(text.decode("utf-8", "replace")) if known_words.value else set()
                 n.append(len(text.split()))
-                odds.append(sum(known_words.value[w] for w in known_words.value.keys() & kinds))
+                odds.append(sum(known_words.value.get(w, 0) for w in kinds))
                 others.append(sorted(kinds - known_words.value.keys()) if beyond else [])
             arrays = [*batch.columns[:4], pa.array(n, pa.int64()), pa.array(odds, pa.int64()), pa.array(others, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["__id", "__lang", "__a", "__b", "__n", "__odds", "others"])
@@ -422,8 +515,9 @@ def perplexities(docs: DataFrame, model: tuple[Parts, float], refused: DataFrame
     hashes = [F.xxhash64(whole_text()).alias("__a"), F.xxhash64(F.lit(1), whole_text()).alias("__b")]
     rows = bounded_batches(docs).select("__id", "__lang", *hashes, utf8().alias("text"))
     base = stored(rows.mapInArrow(about, "__id long, __lang string, __a long, __b long, __n long, __odds long, others array<string>"))
-    sums = [_met(rows.select("__a", "__b", "text"), weights, part, tables.number, hot) for part, weights in enumerate(tables)]
-    fetched = _union(sums).groupBy("__a", "__b").agg(F.sum("weight").alias("weight"))
+    sums = [_met(rows.select("__a", "__b", "text"), weights, part, tables.number, hot, tables.shards) for part, weights in enumerate(tables)]
+    # equal texts have equal weights, and each of them counts once in every part
+    fetched = _union(sums).groupBy("__a", "__b").agg(F.expr(f"sum(weight) div (sum(n) div {tables.number})").alias("weight"))
     narrow = base.join(fetched, ["__a", "__b"])
     if beyond:
         met = base.select("__a", "__b", "others").dropDuplicates(["__a", "__b"]).select("__a", "__b", F.explode("others").alias("word")).join(refused, "word")
@@ -433,58 +527,147 @@ def perplexities(docs: DataFrame, model: tuple[Parts, float], refused: DataFrame
     return out
 
 
-def _met(texts: DataFrame, weights: DataFrame, part: int, parts: int, hot: int) -> DataFrame:
-    """(__a, __b, weight), stored: what a part of the model adds to each text. Its ``weights`` are deleted.
+def _met(texts: DataFrame, weights: DataFrame, part: int, parts: int, hot: int, shards: int) -> DataFrame:
+    """(__a, __b, weight, n), stored: what a part of the model adds to each text, and 1, or 0 in more rows of a long text. Its ``weights`` are deleted.
 
     A map over the texts adds up the weights of the most frequent n-grams, which are broadcast as they would be hot keys,
-    and of the others emits the keys that a bitmap of fixed size does not rule out. These are joined with the sharded weights.
+    and of the others hands on the keys that a bitmap of fixed size does not rule out. Keys, weights and sums travel in arrays, a row for a group of texts
+    and a shard: a task keeps one shard of the model and streams the groups' keys past it, then what each shard adds to a group meets.
     """
-    common = weights.where(F.col("seen") >= _frequent(weights, hot)).limit(hot)
-    keys, weight = (c.to_numpy() for c in common.select("key", "weight").toArrow().columns)  # at most ``hot`` rows
+    least = _frequent(weights, hot)
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, weight, seen = (np.frombuffer(x, kind) for x, kind in zip(row, (np.int64, np.int32, np.uint16), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x[seen >= least]) for x in (key, weight)], ["key", "weight"])
+
+    common = bounded_batches(weights.select("key", "weight", "seen")).mapInArrow(often, "key long, weight int")
+    keys, weight = (c.to_numpy() for c in common.toArrow().columns)  # at most ``hot`` rows
     local = texts.sparkSession.sparkContext.broadcast(_Local(part, parts, keys.view(np.uint64), weight, _bitmap(weights)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
         for batch in batches:
             group, held = [], 0
             for meta in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
                 text = meta[2].as_py() or b""
                 if len(text) > PIECE:
-                    yield table([meta[:2]], long(text))
+                    for piece, before, ended in _pieces(text, PIECE):
+                        yield table([meta[:2]], local.value.rows([piece], [before], ended), number, int(ended))
+                        number += 1
                     continue
                 group.append((*meta[:2], text))
                 held += len(text)
-                if held >= GROUP_BYTES:
-                    yield table(group, local.value.rows([g[2] for g in group]))
-                    group, held = [], 0
+                if held >= GROUP_BYTES or len(group) == GROUP_TEXTS:
+                    yield table(group, local.value.rows([g[2] for g in group]), number)
+                    group, held, number = [], 0, number + 1
             if group:
-                yield table(group, local.value.rows([g[2] for g in group]))
-
-    def long(text: bytes) -> tuple:
-        known, *found = zip(*(local.value.rows([piece], [before], ended) for piece, before, ended in _pieces(text, PIECE)), strict=True)
-        return np.sum(known, axis=0), *(np.concatenate(x) for x in found)
-
-    def table(meta: list[tuple], found: tuple) -> pa.RecordBatch:
-        known, doc, keys = found  # what is known of a text is a row without a key
-        text = np.concatenate([np.arange(len(meta)), doc])
-        a, b = (np.array([m[i] for m in meta], np.int64)[text] for i in range(2))
-        fetch = np.arange(len(text)) >= len(meta)
-        columns = [pa.array(a), pa.array(b), pa.array(fetch), pa.array(np.concatenate([a[: len(meta)], keys.view(np.int64)])), pa.array(np.concatenate([known, np.zeros(len(keys), np.int64)]))]
-        return pa.RecordBatch.from_arrays(columns, ["__a", "__b", "fetch", "key", "known"])
-
-    wanted = texts.mapInArrow(score, "__a long, __b long, fetch boolean, key long, known long")
-    met = wanted.alias("t").join(weights.select("key", "weight").hint("shuffle_hash").alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("fetch"), "left")
-    # equal texts have equal weights, and a row each that is not fetched
-    out = stored(met.groupBy("__a", "__b").agg(F.expr("sum(known + coalesce(weight, 0)) div count_if(not fetch)").alias("weight")))
+                yield table(group, local.value.rows([g[2] for g in group]), number)
+                number += 1
+
+    def table(meta: list[tuple], found: tuple, number: int, n: int = 1) -> pa.RecordBatch:
+        known, doc, keys = found
+        shard = _shard(keys, shards)
+        order = np.argsort(shard, kind="stable")
+        shard, doc, keys = shard[order], doc[order].astype(np.uint16), keys[order]
+        about = np.array([[m[0] for m in meta], [m[1] for m in meta], known, [n] * len(meta)], np.int64)
+        place = np.uint64(TaskContext.get().partitionId() << 32 | number)
+        group = int(mixed(np.bitwise_xor.reduce(_key([about[0].view(np.uint64), about[1].view(np.uint64), np.arange(len(meta), dtype=np.uint64)]), keepdims=True) + place).view(np.int64)[0])
+        rows = [(s, 1, group, keys[a:b].tobytes(), doc[a:b].tobytes()) for s, a, b in _runs(shard)]
+        return _packed([*rows, (group % shards, 2, group, about.tobytes(), np.int64(len(keys)).tobytes())])
+
+    model = weights.select("shard", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("group"), F.col("key").alias("x"), F.col("weight").alias("y"))
+    wanted = model.unionByName(texts.mapInArrow(score, PACKED)).repartition("shard").sortWithinPartitions("shard", "kind")
+    met = bounded_batches(wanted).mapInArrow(_looked_up, PACKED).repartition("group").sortWithinPartitions("group")
+    out = stored(met.mapInArrow(_added_up, "__a long, __b long, weight long, n long"))
     discard(weights)
     local.destroy()
     return out
 
 
+#: What travels between texts and model. Kind 0: a shard's keys and weights; 1: keys that a group of texts has of it, and which text has each; 2: a
+#: group's texts (a, b, known weight, n) and how many keys it sent; 3: what shards add to a group's texts, and for how many keys.
+PACKED = "shard int, kind int, group long, x binary, y binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["shard", "kind", "group", "x", "y"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (PACKED) by shard and kind: kind 3 for the keys of groups that the shards' weights answer; kind 2 as it came."""
+    sums, held = {}, 0
+
+    def handed_on() -> pa.RecordBatch:
+        return _packed([(0, 3, group, added.tobytes(), np.int64(n).tobytes()) for group, (added, n) in sums.items()])
+
+    for _, rows in groupby(_rows(batches), lambda row: row[0]):
+        model, weight = [], None
+        for shard, kind, group, x, y in rows:
+            if kind == 0:
+                model.append((x, y))
+            elif kind == 2:
+                yield _packed([(shard, kind, group, x, y)])
+            else:
+                if weight is None:
+                    known, weight = (np.frombuffer(b"".join(m[i] for m in model), t) for i, t in enumerate((np.uint64, np.int32)))
+                    order = np.argsort(known)
+                    known, weight, model = np.append(known[order], np.uint64(0)), np.append(weight[order], np.int32(0)), []
+                key, doc = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint16)
+                at = np.searchsorted(known[:-1], key)
+                added = np.bincount(doc, weights=np.where(known[at] == key, weight[at], 0)).astype(np.int64)  # exact: below 2^53
+                before, n = sums.get(group, (added[:0], 0))
+                long, short = (added, before) if len(added) > len(before) else (before, added)
+                long[: len(short)] += short
+                sums[group] = long, n + len(key)
+                held += 8 * (len(long) - len(before))
+                if held > SUMS_BYTES:
+                    yield handed_on()
+                    sums, held = {}, 0
+    if sums:
+        yield handed_on()
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__a, __b, weight, n) of the texts of groups, whose rows (PACKED) come together."""
+    for _, rows in groupby(_rows(batches), lambda row: row[2]):
+        texts, parts, answered = [], [], 0
+        for _, kind, _, x, y in rows:
+            n = int(np.frombuffer(y, np.int64)[0])
+            if kind == 2:
+                texts.append((np.frombuffer(x, np.int64).reshape(4, -1), n))
+            else:
+                parts.append(np.frombuffer(x, np.int64))
+                answered += n
+        if len(texts) != 1 or texts[0][1] != answered:
+            raise RuntimeError("texts were not read again in the order of before")
+        a, b, weight, n = texts[0][0].copy()
+        for added in parts:
+            weight[: len(added)] += added
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, weight, n)], ["__a", "__b", "weight", "n"])
+
+
 def _frequent(weights: DataFrame, most: int) -> int:
     """The smallest number of times seen, 2 at least, that at most so many n-grams reach."""
-    rarest = F.least(F.col("seen"), F.lit(10_000)).alias("seen")  # so few values; rarer ones are told apart
-    reached, least = 0, 10_001
-    for seen, count in sorted(map(tuple, weights.where("seen > 1").groupBy(rarest).count().collect()), reverse=True):
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(MOST_SEEN + 1, np.int64)
+        for batch in batches:
+            for seen in batch.column(0):
+                total += np.bincount(np.frombuffer(seen.as_py(), np.uint16), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seen", "n"])
+
+    reached, least = 0, MOST_SEEN + 1
+    counts = weights.select("seen").mapInArrow(counted, "seen long, n long").where("seen > 1").groupBy("seen").agg(F.sum("n"))
+    for seen, count in sorted(map(tuple, counts.collect()), reverse=True):
         reached += count
         if reached > most:
             break
@@ -499,7 +682,8 @@ def _bitmap(weights: DataFrame) -> bytes:
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << bits, bool)
         for batch in batches:
-            own[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)] = True
+            for keys in batch.column(0):
+                own[np.frombuffer(keys.as_py(), np.uint64) >> np.uint64(64 - bits)] = True
         packed = np.packbits(own, bitorder="little").reshape(segments, -1)
         some = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([packed[i].tobytes() for i in some], pa.binary())], ["segment", "bits"])
