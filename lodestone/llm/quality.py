@@ -62,8 +62,8 @@ PART_BYTES, PARTS = 16 << 20, 8
 GROUP_BYTES, PIECE, GROUP_TEXTS = 1 << 19, 1 << 20, 1 << 16
 #: Shards of a part of the model, by key, one of which is in a task's memory at a time: so many, or one for so many trigrams of the texts fitted on.
 SHARDS, SHARD_TRIGRAMS = 128, 1 << 19
-#: Bytes of sums that a task holds before it hands them on, and words whose tokens a task keeps.
-SUMS_BYTES, KEPT_WORDS = 32 << 20, 1 << 17
+#: Bytes of sums that a task holds before it hands them on.
+SUMS_BYTES = 32 << 20
 
 #: Ids of documents that are broadcast at most (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -116,26 +116,10 @@ def _words_of(text: Column) -> Column:
 
 
 def _kinds(text: str | None) -> set[str]:
-    return set(TOKEN.findall((text or "").lower()))
-
-
-class _Kinds:
-    """Those of ``_kinds`` that are ``among`` some, of many texts: a token never spans white space, so in a word they are looked for once."""
-
-    def __init__(self, among: dict):
-        self.among, self.found, self.none = among, {}, set()
-
-    def __call__(self, text: str) -> set[str]:
-        if len(self.found) + len(self.none) > KEPT_WORDS:
-            self.found, self.none = {}, set()
-        words = set(text.lower().split()) - self.none
-        new = [w for w in words if w not in self.found]
-        if self.among.keys().isdisjoint(TOKEN.findall(" ".join(new))):
-            self.none.update(w for w in new if len(w) <= 64)
-            return {t for w in words for t in self.found.get(w, ())}
-        for word in new:
-            self.found[word] = self.among.keys() & set(TOKEN.findall(word))
-        return {t for w in words for t in self.found[w]}
+    """The tokens of a text. None spans white space, and a word of letters is one; only other words are searched."""
+    words = set((text or "").lower().split())
+    others = [w for w in words if not w.isalpha()]
+    return words.difference(others).union(TOKEN.findall(" ".join(others)))
 
 
 def refused_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -500,14 +484,13 @@ def perplexities(docs: DataFrame, model: tuple[Parts, float], refused: DataFrame
     known_words = docs.sparkSession.sparkContext.broadcast(against)
 
     def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds_of = _kinds if beyond else _Kinds(known_words.value)
         for batch in batches:
             n, odds, others = [], [], []
             for text in batch.column(4):
                 text = text.as_py() or b""
-                kinds = kinds_of(text.decode("utf-8", "replace")) if known_words.value else set()
+                kinds = _kinds(text.decode("utf-8", "replace")) if known_words.value else set()
                 n.append(len(text.split()))
-                odds.append(sum(known_words.value.get(w, 0) for w in kinds))
+                odds.append(sum(known_words.value[w] for w in known_words.value.keys() & kinds))
                 others.append(sorted(kinds - known_words.value.keys()) if beyond else [])
             arrays = [*batch.columns[:4], pa.array(n, pa.int64()), pa.array(odds, pa.int64()), pa.array(others, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["__id", "__lang", "__a", "__b", "__n", "__odds", "others"])

@@ -11,7 +11,7 @@ def test_many_ngrams_are_a_row(spark):
     parts, _ = quality.train(spark.createDataFrame(list(enumerate(texts)), "__id long, text string"))
     rows = [r for table in parts for r in table.collect()]
     trigrams = {t for text in texts for words in [["<", "<", *text.split()]] for t in zip(words, words[1:], words[2:], strict=False)}
-    assert len(trigrams) > 10_000 and len(rows) < len(trigrams) / 5
+    assert len(rows) < len(trigrams) / 5
     assert all(len(r.key) == 2 * len(r.weight) == 4 * len(r.seen) for r in rows)
     assert sum(len(r.key) // 8 for r in rows) > len(trigrams)
 
@@ -29,10 +29,7 @@ def test_sums_handed_on_early_and_equal_texts_count_alike(spark, monkeypatch):
 
 
 def test_tokens_of_words_are_those_of_texts():
-    words = ["Slur!!", "fine", "x1y", "ΑΣ", "ΑΣ.Σ", "a b", "é--é", "!!", "12", "_a_b", "İx", "\x1cq"]
+    words = ["Slur!!", "fine", "x1y", "ΑΣ", "ΑΣ.Σ", "a\u3000b", "é--é", "!!", "12", "²ab", "_a_b", "İx", "\x1cq", "e\u0301x"]
     rng = random.Random(13)
-    texts = [" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(200)]
-    every = set().union(*map(quality._kinds, texts))
-    among = dict.fromkeys(rng.sample(sorted(every), len(every) // 2), 1)
-    kinds_of = quality._Kinds(among)
-    assert [kinds_of(t) for t in texts] == [among.keys() & quality._kinds(t) for t in texts]
+    for text in (None, *(" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(300))):
+        assert quality._kinds(text) == set(quality.TOKEN.findall((text or "").lower()))
