@@ -33,7 +33,7 @@ def brief_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = items(spark, sf_dir).select("id", "title", "summary", words.alias("w"), "tools", "search_text")
     segments = F.transform(F.split("search_text", r"\n"), lambda t, n: F.struct((n + 1).alias("id"), t.alias("text")))
     copied = F.element_at(F.split("search_text", r"[.!?\n]+"), 1)
-    point = F.struct(F.when(i % 7 == 0, copied).otherwise(F.concat(F.lit("point about "), F.element_at("w", 1))).alias("point"), F.when(i % 5 == 0, F.array(F.lit(99))).otherwise(F.array(F.lit(1))).alias("segment_ids"))
+    point = F.struct(F.when(i % 7 == 0, copied).otherwise(F.concat(F.lit("point about "), F.get("w", F.lit(0)))).alias("point"), F.when(i % 5 == 0, F.array(F.lit(99))).otherwise(F.array(F.lit(1))).alias("segment_ids"))
     columns = [F.slice("w", 1, F.when(i % 11 == 0, 3).otherwise(20).cast("int")), F.slice("w", 1, 6), F.array(point), F.when(i % 3 == 0, F.col("tools")).otherwise(F.array().cast("array<string>")), segments, F.concat_ws(" ", "title", "summary")]
     intent = F.when(i % 13 == 0, "to read").otherwise("You may have saved this to read")
     code = briefs.rejection(*columns, F.lit("full_transcript"), F.lit("high"), F.lit(None).cast("string"), intent, F.col("title"))
