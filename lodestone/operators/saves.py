@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.upkeep import copy_id
-from lodestone.session import stored
 
 #: Shares that a user takes in a day, and new summaries that a save gets in one.
 DAY, SHARES_A_DAY, SUMMARIES_A_DAY = 86_400, 100, 3
@@ -23,28 +22,47 @@ def redeem(shares: DataFrame, taken: DataFrame, items: DataFrame, asks: DataFram
     batch is run again. A second redemption of a share does not count towards the limit. Keys of the tables are unique.
     """
     live = shares.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_s") > now)).select("token_hash", "url")
-    rows = asks.join(live, "token_hash", "left")
-    alive = items.where("deleted_s is null").select(F.col("id").alias("old_id"), F.lit(True).alias("has_old"))
-    # what was taken, fewer rows than are asked for, meets the saves
-    before = taken.select("user_id", "token_hash", F.col("item_id").alias("old_id"), F.lit(True).alias("took")).join(alive, "old_id", "left")
-    rows = rows.join(before, ["user_id", "token_hash"], "left")
-    own = items.select("user_id", "url", F.col("id").alias("own_id"), F.col("deleted_s").isNull().alias("kept"))
-    rows = rows.join(own, ["user_id", "url"], "left")
-    fixed = F.when(F.col("url").isNull(), "gone").when(F.col("has_old"), "again").when(F.col("kept"), "existing")
-    rows = stored(rows.select("ask_id", "user_id", "token_hash", "url", "took", "old_id", "own_id", fixed.alias("fixed")))
-    first = F.row_number().over(W.partitionBy("user_id", "url").orderBy("ask_id"))
-    open_ = rows.where("fixed is null").withColumn("place", first)
-    makers = open_.where("place = 1")
-    lately = taken.where(F.col("at_s") > now - DAY).groupBy("user_id").agg(F.count("*").alias("lately"))
-    earlier = F.coalesce(F.sum(F.col("took").isNull().cast("int")).over(W.partitionBy("user_id").orderBy("ask_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    made = makers.withColumn("earlier", earlier).join(lately, "user_id", "left")
-    over = F.coalesce("lately", F.lit(0)) + F.col("earlier") >= most
-    made = made.select("user_id", "url", F.col("ask_id").alias("maker"), F.when(over, "limit").when(F.col("own_id").isNotNull(), "restored").otherwise("created").alias("did"), F.when(~over, F.coalesce("own_id", copy_id("share", F.col("user_id"), F.col("token_hash")))).alias("made_id"))
-    met = rows.where("fixed is null").join(made, ["user_id", "url"], "left")
-    late = F.when(F.col("ask_id") == F.col("maker"), F.col("did")).when(F.col("did") == "limit", "limit").otherwise("existing")
-    item = F.when(F.col("fixed") == "again", F.col("old_id")).when(F.col("fixed") == "existing", F.col("own_id"))
-    settled = rows.where("fixed is not null").select("ask_id", F.col("fixed").alias("outcome"), item.alias("item_id"))
-    return settled.unionByName(met.select("ask_id", late.alias("outcome"), F.col("made_id").alias("item_id")))
+    asked = asks.select("user_id", "token_hash", F.lit(True).alias("asks"), "ask_id")
+    took = taken.select("user_id", "token_hash", F.lit(True).alias("took"), F.col("item_id").alias("took_id"), F.col("at_s").alias("took_s"))
+    of_shares = asked.unionByName(took, True).join(live, "token_hash", "left").withColumn("live", F.col("url").isNotNull())
+    own = items.select("user_id", "url", F.col("id").alias("own_id"), "deleted_s")
+    return settle(of_shares.unionByName(own, True), now, most)
+
+
+def settle(facts: DataFrame, now: int, most: int = SHARES_A_DAY, token: Column | None = None) -> DataFrame:
+    """What ``redeem`` returns, from one table of asks, redemptions and saves, which is dealt by user once and sorted there.
+
+    ``facts`` are (user_id, token_hash, url, live, asks, ask_id, took, took_id, took_s, own_id, deleted_s), null where a row says nothing: a row may be an
+    ask (``asks``), and besides it a redemption (``took``) or a save (``own_id``), not both. ``url`` is the share's or the save's, ``live`` whether
+    the share can be taken. Redemptions of a share by a user count as one, with the smallest id and the earliest time, and so do a
+    user's saves of a url, of which one with ``deleted_s`` deletes them all. Keys may be of any type; ``token`` is how a share is named in new ids.
+    """
+    of_user, of_url = W.partitionBy("user_id"), W.partitionBy("user_id", "url")
+    took, is_save = F.coalesce("took", F.lit(False)), F.col("own_id").isNotNull()
+    rows = facts.repartition("user_id").withColumns({"own": F.min("own_id").over(of_url), "gone_s": F.min("deleted_s").over(of_url)})
+    # a save of no url is one by itself
+    stands = F.when(F.col("url").isNull(), F.col("deleted_s").isNull()).otherwise((F.col("own_id") == F.col("own")) & F.col("gone_s").isNull())
+    rows = rows.withColumn("stands", is_save & stands).withColumn("known_id", F.coalesce("took_id", "own_id"))
+    rows = rows.withColumn("has", F.max("stands").over(W.partitionBy("user_id", "known_id")))
+    of_share = W.partitionBy("user_id", "url", "token_hash")
+    first = F.min(F.when(took, F.struct("took_id", "has"))).over(of_share)
+    rows = rows.withColumns({"first": first, "first_s": F.min(F.when(took, F.col("took_s"))).over(of_share)})
+    old, kept = F.col("first.took_id"), F.col("own").isNotNull() & F.col("gone_s").isNull()
+    fixed = F.when(F.col("url").isNull() | ~F.coalesce("live", F.lit(False)), "gone").when(old.isNotNull() & F.col("first.has"), "again").when(kept, "existing")
+    one = took & F.col("took_id").eqNullSafe(old)  # the row that counts among a user's redemptions of a share
+    rows = rows.select("user_id", "url", "token_hash", "asks", "ask_id", "own", old.alias("old"), F.col("first").isNotNull().alias("taken"), fixed.alias("fixed"), (one & (F.col("first_s") > now - DAY)).alias("late"))
+    open_ = F.col("asks") & F.col("fixed").isNull()
+    rows = rows.withColumn("maker", F.min(F.when(open_, F.col("ask_id"))).over(of_url))
+    makes = open_ & (F.col("ask_id") == F.col("maker"))
+    earlier = F.sum((makes & ~F.col("taken")).cast("int")).over(of_user.orderBy("ask_id").rowsBetween(W.unboundedPreceding, -1))
+    lately = F.sum(F.col("late").cast("int")).over(of_user)
+    rows = rows.withColumn("over", F.coalesce(lately, F.lit(0)) + F.coalesce(earlier, F.lit(0)) >= most)
+    of_maker = lambda c: F.max(F.when(makes, F.col(c))).over(of_url)
+    rows = rows.withColumns({"limited": of_maker("over"), "token_hash": of_maker("token_hash")}).where("asks")
+    did = F.when(F.col("limited"), "limit").when(F.col("ask_id") != F.col("maker"), "existing").when(F.col("own").isNotNull(), "restored").otherwise("created")
+    made = F.coalesce(F.col("own").cast("string"), copy_id("share", F.col("user_id"), F.col("token_hash") if token is None else token))
+    item = F.when(F.col("fixed") == "again", F.col("old").cast("string")).when(F.col("fixed") == "existing", F.col("own").cast("string")).when(F.col("fixed").isNull() & ~F.col("limited"), made)
+    return rows.select("ask_id", F.coalesce("fixed", did).alias("outcome"), item.alias("item_id"))
 
 
 def decide(items: DataFrame, jobs: DataFrame, asks: DataFrame, today: int, most: int = SUMMARIES_A_DAY) -> DataFrame:
